@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import bpe
+from loomspark.llm import bpe, mixing, quality_rules, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,3 +25,68 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.drop("failed_rules")
+
+
+ORACLE_SQL["op3_quality_rules"] = quality_rules.oracle_sql()
+
+
+@query
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    placed = sharding.kd_shards(docs, size, sharding.document_dimensions(size), shards=16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op9_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+b AS (SELECT *, [3, 1, 2][place % 3 + 1] AS weight, 2::DOUBLE * source_size AS bound FROM w),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(bound) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+  FROM b WINDOW o AS (ORDER BY bound / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, first_value(CASE WHEN level * weight <= bound THEN level END IGNORE NULLS)
+  OVER (ORDER BY bound / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_level FROM l),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(coalesce(first_level * weight, bound), bound) END::DOUBLE AS target FROM f),
+c AS (SELECT doc_id, size, source_size, target, floor(target / source_size)::BIGINT AS whole,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1-' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN start < target - whole * source_size AND whole < 2 THEN 1 ELSE 0 END) END::BIGINT AS taken FROM c"""
+
+ORACLE_SQL["op2_url_filters"] = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) AS q FROM u),
+r AS (SELECT *, CASE
+  WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+  regexp_replace(host, '^(www|m)\.([^.]+\.)', '\2') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '(\.html?|/)$', '')
+  || regexp_replace(regexp_replace(regexp_replace(q, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$)', '\1'), '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$)', '\1'), '[?&]$', '') AS canon FROM h),
+v AS (SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM r),
+g AS (SELECT canon, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS ruled FROM v WHERE host <> '' GROUP BY canon)
+SELECT page_id, host, path, rule, coalesce(said, ruled, 'allow') AS verdict FROM v LEFT JOIN g ON v.canon = g.canon AND host <> ''"""

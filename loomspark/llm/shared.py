@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word, by contract: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Mixed into the hash that orders documents inside a source.
+SHARES_SEED = "mix-1"
 _own_folder: list[str] = []
 
 
