@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, jaccard_join, mixing, quality_rules, sharding, url_filters, vector_dedup
+from loomspark.llm import bpe, byte_cnn, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts, url_filters, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,3 +125,22 @@ r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b =
 g AS (SELECT a, min(b) AS g FROM r GROUP BY a),
 k AS (SELECT doc_id, list_sort(s) AS s FROM s)
 SELECT doc_id, len(k.s)::BIGINT AS n_shingles, coalesce(g.g, doc_id) AS component_id FROM k LEFT JOIN c ON c.s = k.s LEFT JOIN g ON g.a = c.c"""
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.line_sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.attribute(docs, rule="majority").select("doc_id", "section", "n_chars", "n_tokens", "n_crossing")
+
+
+@query
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    return byte_cnn.score(docs, net).select("doc_id", byte_cnn.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
