@@ -1 +1,3 @@
+"""Registered queries by family; importing this package registers them all."""
 
+from loomspark.plans import analytics, curation, evidence, graph, retrieval  # noqa: F401
