@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 def clamp(confidence: Column, otherwise: float = 0.0) -> Column:
     """Into 0..1; NaN, infinities and nulls become ``otherwise``."""
-    finite = F.when(~F.isnan(confidence) & (F.abs(confidence) < F.lit(float("inf"))), confidence)
-    return F.coalesce(F.least(F.greatest(finite, F.lit(0.0)), F.lit(1.0)), F.lit(otherwise))
+    finite = ~F.isnan(confidence) & (F.abs(confidence) < F.lit(float("inf")))
+    # greatest and least pass over nulls, so the test stands outside
+    return F.when(finite, F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(otherwise))
 
 
 def weakened(old: Column, new: Column, factor: float = 0.4) -> Column:

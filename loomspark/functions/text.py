@@ -41,7 +41,7 @@ def clean_name(name: Column) -> Column:
 
 def clean_aliases(aliases: Column, most: int = 5) -> Column:
     """Trimmed, non-blank, distinct, the first ``most``."""
-    return F.slice(F.array_distinct(F.filter(F.transform(aliases, F.trim), lambda a: a != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: a != "")), 1, most)
 
 
 def capitalised(text: Column, most: int = 8) -> Column:
