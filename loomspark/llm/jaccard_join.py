@@ -7,8 +7,8 @@ every class form index lists. Three relations between sets keep the lists from b
 
 * lists are cut into blocks by set size, so a class reads only the blocks whose sizes can match, and
   inside these skips entries whose positions leave too few shingles to reach the threshold;
-* a class first compares itself with its neighbour in the list only, the one most like it in size; the
-  links found there give provisional groups, and a class inherits the answers of the sets it is linked
+* a class first compares itself with one set only, the neighbour in size that most of its lists give it;
+  the links found there give provisional groups, and a class inherits the answers of the sets it is linked
   with: pairs inside a group are not compared again;
 * what remains are pairs across groups; they are counted over all lists, and only pairs that share as
   many of their first shingles as the threshold needs are verified on the whole sets.
@@ -31,14 +31,14 @@ WORDS, PERCENT = 5, 75
 OFTEN = 8
 #: Bits of the filter that tells frequent shingles; its size in bytes is fixed, whatever the input.
 FILTER_BITS = 1 << 23
+#: Bits of the filter of documents to verify, likewise: 2 MB.
+DOCUMENT_BITS = 1 << 24
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+_SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = 0x9E3779B97F4A7C15
+#: Texts are hashed together up to so many bytes; the tables of powers cover them.
+_TOGETHER = 1 << 17
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,41 +47,86 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
+class _Tables:
+    """Values of bytes (A-Z as a-z, white space 0), powers of the base and of its inverse modulo 2^64."""
 
+    def __init__(self) -> None:
+        rng = np.random.default_rng(11)
+        self.space = np.zeros(256, bool)
+        self.space[_SPACES] = True
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.value[65:91] = self.value[97:123]
+        self.value[_SPACES] = 0
+        self.factors = rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+        self.size = 0
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _BASE)]), dtype=np.uint64)
-    return _powers[:n]
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.size < n:
+            self.size = max(2 * n, _TOGETHER)
+            self.up, self.down = (
+                np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.size, np.uint64(b))]), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))
+            )
+        return self.up[:n], self.down
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles, A-Z folded; int64.
+_tables = _Tables()
 
-    A word's hash is a polynomial over its bytes, taken for all words at once from running sums; a
-    shingle's hash chains those of its words. With fewer words than a shingle has, the whole sequence
-    is one shingle; without words there is none.
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z folded; int64.
+
+    A word's hash is a polynomial over its bytes, taken for all words at once from running sums and
+    then mixed; a shingle's hash is a mixed linear form of those of its words. With fewer words than a
+    shingle has, the whole sequence is one shingle; without words there is none.
     """
-    raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-    space = _SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    n = len(starts)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    # from the word's end, so that no inverse powers are needed: sum of byte * base^(distance to the last start)
-    value = _BYTE[_FOLD[raw]]
-    distance = np.arange(len(raw)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(raw)]])))
-    value = np.where(space, np.uint64(0), value * _power(int(distance.max()) + 1)[distance])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    word = _mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
-    width = min(words, n)
-    out = np.full(n - width + 1, np.uint64(width))
-    for k in range(width):
-        out = _mix(out * _BASE + word[k : n - width + 1 + k])
-    return np.unique(out.view(np.int64))
+    out: list[np.ndarray] = []
+    together: list[bytes] = []
+    size = 0
+    for text in texts:
+        data = (text or "").encode("utf-8")
+        if together and size + len(data) > _TOGETHER:
+            out += _hashed(together, words)
+            together, size = [], 0
+        together.append(data)
+        size += len(data) + 1
+    return out + (_hashed(together, words) if together else [])
+
+
+def _hashed(texts: list[bytes], words: int) -> list[np.ndarray]:
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    up, down = _tables.powers(len(raw))
+    space = _tables.space[raw]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        turns = np.concatenate([[0], turns])
+    starts, ends = turns[::2], turns[1::2]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_tables.value[raw] * up, dtype=np.uint64)])
+    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    linear = word * _tables.factors[0]
+    for k in range(1, words):
+        linear[: len(word) - k] += word[k:] * _tables.factors[k]
+    shingle = _mix(linear).view(np.int64)
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    found = []
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        n = last - first
+        if n >= words:
+            some = np.sort(shingle[first : last - words + 1])
+            found.append(some[np.concatenate([[True], some[1:] != some[:-1]])])
+        elif n:  # the whole sequence, told apart from others by its length
+            short = (word[first:last] * _tables.factors[:n]).sum(dtype=np.uint64) + np.uint64(n)
+            found.append(_mix(np.array([short])).view(np.int64))
+        else:
+            found.append(np.zeros(0, np.int64))
+    return found
+
+
+def class_of(hashes: np.ndarray) -> int | None:
+    """A 64-bit name of the set; None for the empty one."""
+    if not len(hashes):
+        return None
+    mixed = _mix(hashes.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(hashes))
+    return int(_mix(np.array([mixed])).view(np.int64)[0])
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -99,7 +144,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
             values, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.int64)]), return_counts=True)
             bits = np.unique(values[counts >= OFTEN].view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], ["at", "bit"])
@@ -113,54 +158,69 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, first): class names the set, first holds its first shingles in the order."""
+    """(doc_id, n, class, first): class names the set, first holds its first shingles in the order.
+
+    Of the documents of one class that a task meets, only the first carries ``first``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_often = shared.value
+        seen_often, met = shared.value, set()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 names, sizes, firsts = [], [], []
-                for text in part.column("text"):
-                    hashes = shingle_hashes(text.as_py(), words)
-                    n = len(hashes)
+                for hashes in shingle_sets(part.column("text").to_pylist(), words):
+                    n, name = len(hashes), class_of(hashes)
                     sizes.append(n)
-                    unsigned = hashes.view(np.uint64)
-                    names.append(int(_mix(np.array([_mix(unsigned).sum(dtype=np.uint64) + np.uint64(n)]))[0].view(np.int64)) if n else None)
-                    bits = (unsigned % np.uint64(FILTER_BITS)).astype(np.int64)
-                    often = (seen_often[bits >> 6] >> (bits & 63)) & 1
-                    order = np.argsort(often, kind="stable")  # hashes are sorted already
-                    firsts.append(hashes[order[: int(_prefix(np.int64(n), percent))]] if n else hashes)
-                flat = np.concatenate(firsts)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype("i4")
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+                    names.append(name)
+                    if not n or name in met:
+                        firsts.append(None)
+                        continue
+                    met.add(name)
+                    bits = (hashes.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+                    often = ((seen_often[bits >> 6] >> (bits & 63)) & 1).astype(bool)
+                    order = np.concatenate([hashes[~often], hashes[often]]) if often.any() else hashes
+                    firsts.append(order[: int(_prefix(n, percent))])
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n int, class bigint, first array<bigint>")
 
 
-def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) from (class, text)."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(class, shingles) of the documents whose ids are in ``wanted``, and of some others.
+
+    The ids go to the tasks as a bit filter of fixed size, so texts need no shuffle; documents that pass
+    by accident only cost their set. No document that is wanted fails to pass.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(DOCUMENT_BITS))
+    # at most DOCUMENT_BITS / 64 rows after the aggregation, whatever the input
+    found = wanted.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {DOCUMENT_BITS}) & 63 AS INT))").alias("bit"))
+    found = found.groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    table = np.zeros(DOCUMENT_BITS >> 6, np.int64)
+    table[found["at"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                sets = [shingle_hashes(t.as_py(), words) for t in part.column("text")]
-                packed = pa.array([x.tobytes() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("class"), packed], ["class", "shingles"])
+                sets = shingle_sets(batch.column("text").slice(start, 1000).to_pylist(), words)
+                names = pa.array([class_of(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([names, pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "shingles"])
 
-    return docs.mapInArrow(run, "class bigint, shingles binary")
+    return docs.select("text", slot.alias("slot")).mapInArrow(run, "class bigint, shingles binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold on their whole sets."""
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = reps.join(needed, "class").select("class", F.col("rep").alias("doc_id"))
-    texts = docs.join(wanted, "doc_id").dropDuplicates(["class"]).select("class", "text")
-    sets = materialise(_whole_sets(texts, words))
+    needed = materialise(reps.join(needed, "class").select("class", F.col("rep").alias("doc_id")))
+    # two rows with one set, from documents that pass by accident, give a link twice, which is harmless
+    sets = _whole_sets(docs, needed, words)
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -168,10 +228,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -197,9 +256,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     # index lists: one row for each first shingle of a class, with its position; lists of one entry go.
     # Dealt once by shingle; each entry looks only at its neighbours in size order, so no list is gathered.
-    one = sets.join(reps.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("rep")))
-    one = one.groupBy("class").agg(F.first("n").alias("n"), F.first("first").alias("first"))  # a repeated doc_id counts once
-    entry = one.select("class", "n", F.posexplode("first").alias("pos", "h"))
+    entry = sets.select("class", "n", F.posexplode("first").alias("pos", "h")).repartition("h")
+    entry = entry.groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     in_list = Window.partitionBy("h").orderBy("n", "class")
     step = math.log(100.0 / percent)
     lists = entry.select(
@@ -210,10 +268,21 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     )
     lists = materialise(lists.filter("before IS NOT NULL OR after IS NOT NULL").drop("after"))
 
-    # first pass: the neighbour in size order
+    small = materialise(sets.select("doc_id", "n", "class"))
+    release(sets)
+
+    def enough(shared: Column, n_x: Column, n_y: Column) -> Column:
+        """A similar pair shares so many of its first shingles: what it needs less what lies beyond them."""
+        beyond = F.greatest(*(F.ceil(F.lit(percent) * n / 100.0 - F.lit(1e-9)) - 1 for n in (n_x, n_y)))
+        return shared >= F.greatest(_need(n_x, n_y, percent) - beyond, F.lit(1))
+
+    # first pass: each class and the neighbour that most of its lists give it, if they give it enough
     neighbours = lists.filter("before IS NOT NULL").select(F.struct("class", "n", "pos").alias("x"), F.col("before").alias("y"))
-    near = neighbours.filter(can_match("x", "y")).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b"))
-    near = materialise(near.distinct())
+    near = neighbours.filter(can_match("x", "y")).groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    near = near.agg(F.count("*").alias("shared"), F.first("x.n").alias("n_x"), F.first("y.n").alias("n_y"))
+    near = near.filter(enough(F.col("shared"), F.col("n_x"), F.col("n_y")))
+    near = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    near = materialise(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     linked = materialise(_verified(near, reps, docs, words, percent))
     groups = materialise(connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
@@ -231,9 +300,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         F.least("x.n", "y.n").alias("small"), F.greatest("x.n", "y.n").alias("large"),
     )
     pairs = pairs.groupBy("a", "b", "small", "large").agg(F.count("*").alias("shared"))
-    small, large = F.col("small"), F.col("large")
-    beyond = F.greatest(*(F.ceil(F.lit(percent) * n / 100.0 - F.lit(1e-9)) - 1 for n in (small, large)))
-    pairs = pairs.filter(F.col("shared") >= F.greatest(_need(small, large, percent) - beyond, F.lit(1)))
+    pairs = pairs.filter(enough(F.col("shared"), F.col("small"), F.col("large")))
     pairs = materialise(pairs.select("a", "b").join(near, ["a", "b"], "left_anti"))
     more = _verified(pairs, reps, docs, words, percent)
     links = materialise(linked.unionByName(more))
@@ -244,7 +311,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     named = materialise(named.join(smallest, "g").select("class", "component_id"))
     for part in (lists, grouped, near, linked):
         release(part)
-    out = sets.select("doc_id", "n", "class").join(named, "class", "left")
+    out = small.join(named, "class", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
