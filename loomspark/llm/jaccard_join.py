@@ -6,10 +6,11 @@ on; shingles seen often inside a task come last in that order, the rest stand by
 every class form index lists. Three relations between sets keep the lists from being read in full:
 
 * lists are cut into blocks by set size, so a class reads only the blocks whose sizes can match, and
-  inside these skips entries whose positions leave too few shingles to reach the threshold;
-* a class first compares itself with one set only, the neighbour in size that most of its lists give it;
-  the links found there give provisional groups, and a class inherits the answers of the sets it is linked
-  with: pairs inside a group are not compared again;
+  inside these skips entries whose positions among the shared ones leave too few shingles to reach
+  the threshold;
+* a class first compares itself with one set only, the most central one that its lists name (the one
+  whose lists are longest); the links found there give groups, and a class inherits the answers of the
+  sets it is linked with: pairs inside a group are not compared again. This is repeated once by groups;
 * what remains are pairs across groups; they are counted over all lists, and only pairs that share as
   many of their first shingles as the threshold needs are verified on the whole sets.
 """
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from loomspark.llm.shared import connected_components, materialise, release
 
 WORDS, PERCENT = 5, 75
-#: A shingle seen in so many sets of one Arrow batch counts as frequent.
-OFTEN = 8
+#: A shingle seen in so many sets counts as frequent; sets of Arrow batches that hold it once are not seen.
+OFTEN = 12
 #: Bits of the filter that tells frequent shingles; its size in bytes is fixed, whatever the input.
 FILTER_BITS = 1 << 23
+#: Rounds in which each group tries one more central class before pairs across groups are listed.
+HUB_ROUNDS = 2
 #: Bits of the filter of documents to verify, likewise: 2 MB.
 DOCUMENT_BITS = 1 << 24
 
@@ -139,22 +142,34 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((F.lit(percent) * (a + b)) / F.lit(100.0 + percent) - F.lit(1e-9)).cast("int")
 
 
+def _bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits from a column ``slot``: at most bits / 64 rows come to the driver."""
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = slots.select(F.shiftright("slot", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit"))
+    got = words.toPandas()
+    table = np.zeros(bits >> 6, np.int64)
+    table[got["at"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
+    return table
+
+
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Bit filter of the shingles that occur in many sets of some batch, over the whole table."""
+    """Bit filter of the shingles that many sets hold, over the whole table.
+
+    A batch tells only the shingles that it holds twice or more, so what is shuffled is small; one that
+    many sets hold, but no batch twice, may pass as rare. The order of shingles needs no more than to be
+    the same everywhere, so this touches speed alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             values, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.int64)]), return_counts=True)
-            bits = np.unique(values[counts >= OFTEN].view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], ["at", "bit"])
+            some = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(counts[some])], ["h", "n"])
 
-    # at most FILTER_BITS / 64 rows after the aggregation, 1 MB for the driver
-    words_ = docs.select("text").mapInArrow(run, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bit"))
-    got = words_.toPandas()
-    table = np.zeros(FILTER_BITS >> 6, np.int64)
-    table[got["at"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64)
-    return table
+    seen = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    # the slot of a hash read as unsigned: the filter's size is a power of two
+    return _bit_table(seen.filter(F.col("n") >= OFTEN).select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
 
 
 def _sets(docs: DataFrame, words: int, percent: int, table: np.ndarray) -> DataFrame:
@@ -195,12 +210,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     The ids go to the tasks as a bit filter of fixed size, so texts need no shuffle; documents that pass
     by accident only cost their set. No document that is wanted fails to pass.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(DOCUMENT_BITS))
-    # at most DOCUMENT_BITS / 64 rows after the aggregation, whatever the input
-    found = wanted.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {DOCUMENT_BITS}) & 63 AS INT))").alias("bit"))
-    found = found.groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
-    table = np.zeros(DOCUMENT_BITS >> 6, np.int64)
-    table[found["at"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(DOCUMENT_BITS - 1))
+    table = _bit_table(wanted.select(slot.alias("slot")), DOCUMENT_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +247,42 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _ranked(entries: DataFrame) -> DataFrame:
+    """Add rank (from 0, by position) and entries, the number of a class's entries; a class has no more
+    of them than first shingles."""
+    own = Window.partitionBy("class")
+    return entries.withColumns({"rank": F.row_number().over(own.orderBy("pos")) - 1, "entries": F.count("*").over(own)})
+
+
+def _hub_pairs(grouped: DataFrame, can_match, enough) -> DataFrame:
+    """(a, b, g_a, g_b): for each group the one pair with a more central class of another group that most
+    lists name. A list names its most central class; nothing but that head is looked at."""
+    first = F.struct("class", "n", "pos", "rank", "entries", "c", "g")
+    by_centre = Window.partitionBy("h").orderBy(F.desc("c"), "class").rowsBetween(Window.unboundedPreceding, 0)
+    rows = grouped.select(first.alias("x"), F.first(first).over(by_centre).alias("y"))
+    rows = rows.filter(can_match("x", "y") & (F.col("x.g") != F.col("y.g")))
+    pairs = rows.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
+        F.count("*").alias("shared"), F.first("x").alias("x"), F.first("y").alias("y")
+    )
+    pairs = pairs.filter(enough(F.col("shared"), F.col("x.n"), F.col("y.n")))
+    best = F.max_by(F.struct("a", "b", F.col("y.g").alias("g_b")), F.struct("shared", "a", "b"))
+    return pairs.groupBy(F.col("x.g").alias("g_a")).agg(best.alias("p")).select("p.a", "p.b", "g_a", "p.g_b")
+
+
+def _followed(groups: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, component) after the components of ``groups`` have themselves been merged."""
+    on = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = groups.join(on, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.unionByName(merged.join(groups.select("node"), "node", "left_anti"))
+
+
+def _across(grouped: DataFrame, merged: DataFrame) -> DataFrame:
+    """Entries with their new groups, of the lists that still hold more than one."""
+    now = grouped.join(merged, F.col("g") == F.col("node"), "left").withColumn("g", F.coalesce("component", "g")).drop("node", "component")
+    mixed = now.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h")
+    return _ranked(now.join(mixed, "h"))
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document of ``docs`` (doc_id, text).
 
@@ -249,47 +296,55 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     sets = materialise(_sets(docs, words, percent, _frequent(docs, words)))
     reps = materialise(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
 
+    def beyond(n: Column) -> Column:
+        """Members of a set of n that stand after its first ones."""
+        return F.ceil(F.lit(percent) * n / 100.0 - F.lit(1e-9)) - 1
+
     def can_match(x: str, y: str) -> Column:
-        n_x, n_y, p_x, p_y = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-        left = F.least(p_x, p_y) + F.least(n_x - p_x, n_y - p_y)
+        """Sizes fit, and what can be common before this entry and from here on reaches the need.
+
+        Before it, only entries that other groups share count. From here on, of two sets the one whose
+        first shingles end earlier in the order has all else that is common beyond them."""
+        n_x, n_y, p_x, p_y, r_x, r_y, s_x, s_y = (F.col(f"{side}.{c}") for c in ("n", "pos", "rank", "entries") for side in (x, y))
+        after = F.greatest(s_x - r_x + beyond(n_x), s_y - r_y + beyond(n_y))
+        left = F.least(r_x, r_y) + F.least(after, n_x - p_x, n_y - p_y)
         return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & (left >= _need(n_x, n_y, percent))
 
     # index lists: one row for each first shingle of a class, with its position; lists of one entry go.
-    # Dealt once by shingle; each entry looks only at its neighbours in size order, so no list is gathered.
+    # Dealt once by shingle; each entry looks only at its neighbours, so no list is gathered.
     entry = sets.select("class", "n", F.posexplode("first").alias("pos", "h")).repartition("h")
     entry = entry.groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    in_list = Window.partitionBy("h").orderBy("n", "class")
+    in_list = Window.partitionBy("h").orderBy("class")
     step = math.log(100.0 / percent)
     lists = entry.select(
-        "h", "class", "n", "pos",
-        F.floor(F.log("n") / F.lit(step)).cast("int").alias("block"),
-        F.lag(F.struct("class", "n", "pos")).over(in_list).alias("before"),
-        F.lead("class").over(in_list).alias("after"),
+        "h", "class", "n", "pos", F.floor(F.log("n") / F.lit(step)).cast("int").alias("block"),
+        (F.lag("class").over(in_list).isNotNull() | F.lead("class").over(in_list).isNotNull()).alias("shared"),
     )
-    lists = materialise(lists.filter("before IS NOT NULL OR after IS NOT NULL").drop("after"))
-
+    lists = materialise(lists.filter("shared").drop("shared"))
     small = materialise(sets.select("doc_id", "n", "class"))
     release(sets)
 
     def enough(shared: Column, n_x: Column, n_y: Column) -> Column:
         """A similar pair shares so many of its first shingles: what it needs less what lies beyond them."""
-        beyond = F.greatest(*(F.ceil(F.lit(percent) * n / 100.0 - F.lit(1e-9)) - 1 for n in (n_x, n_y)))
-        return shared >= F.greatest(_need(n_x, n_y, percent) - beyond, F.lit(1))
-
-    # first pass: each class and the neighbour that most of its lists give it, if they give it enough
-    neighbours = lists.filter("before IS NOT NULL").select(F.struct("class", "n", "pos").alias("x"), F.col("before").alias("y"))
-    near = neighbours.filter(can_match("x", "y")).groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    near = near.agg(F.count("*").alias("shared"), F.first("x.n").alias("n_x"), F.first("y.n").alias("n_y"))
-    near = near.filter(enough(F.col("shared"), F.col("n_x"), F.col("n_y")))
-    near = near.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    near = materialise(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    linked = materialise(_verified(near, reps, docs, words, percent))
-    groups = materialise(connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-
-    # second pass: pairs across groups, by blocks of size, in lists that hold more than one group
-    grouped = lists.join(groups, F.col("class") == F.col("node"), "left").select("h", "class", "n", "pos", "block", F.coalesce("component", "class").alias("g"))
-    mixed = grouped.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h")
-    grouped = materialise(grouped.join(mixed, "h"))
+        return shared >= F.greatest(_need(n_x, n_y, percent) - F.greatest(beyond(n_x), beyond(n_y)), F.lit(1))
+
+    # c, how central a class is: the entries of all the lists that it stands in
+    lengths = lists.groupBy("h").agg(F.count("*").alias("m"))
+    grouped = lists.join(lengths, "h").select("h", "class", "n", "pos", "block", "m", F.col("class").alias("g"))
+    grouped = materialise(_ranked(grouped.withColumn("c", F.sum("m").over(Window.partitionBy("class"))).drop("m")))
+    release(lists)
+    groups = tried = None
+    for _ in range(HUB_ROUNDS):
+        near = materialise(_hub_pairs(grouped, can_match, enough))
+        linked = materialise(_verified(near.select("a", "b"), reps, docs, words, percent).distinct())
+        edges = near.join(linked, ["a", "b"]).select(F.col("g_a").alias("src"), F.col("g_b").alias("dst"))
+        merged = materialise(connected_components(edges))
+        tried = near.select("a", "b") if tried is None else tried.unionByName(near.select("a", "b"))
+        groups = merged if groups is None else materialise(_followed(groups, merged))
+        grouped, before = materialise(_across(grouped, merged)), grouped
+        release(before)
+
+    # last pass: all pairs across groups, by blocks of size, in lists that hold more than one group
     own = grouped.alias("x")
     other = grouped.withColumn("meets", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("y")
     same_list = (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.meets"))
@@ -301,16 +356,20 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     )
     pairs = pairs.groupBy("a", "b", "small", "large").agg(F.count("*").alias("shared"))
     pairs = pairs.filter(enough(F.col("shared"), F.col("small"), F.col("large")))
-    pairs = materialise(pairs.select("a", "b").join(near, ["a", "b"], "left_anti"))
+    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialise(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"))
     more = _verified(pairs, reps, docs, words, percent)
-    links = materialise(linked.unionByName(more))
-    groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    # links between groups: components of groups, which are few
+    of = groups.select(F.col("node").alias("a"), F.col("component").alias("g_a"))
+    across = more.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("g_a").alias("g_b")), "b", "left")
+    across = across.select(F.coalesce("g_a", "a").alias("src"), F.coalesce("g_b", "b").alias("dst"))
+    merged = connected_components(across)
 
     named = reps.join(groups, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("g"))
+    named = named.join(merged, F.col("g") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "g").alias("g"))
     smallest = named.groupBy("g").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(smallest, "g").select("class", "component_id"))
-    for part in (lists, grouped, near, linked):
-        release(part)
+    release(grouped)
     out = small.join(named, "class", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -318,4 +377,5 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component."""
     firsts = similar_documents(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
+    # the ids grow with the documents: a merge join at every size
+    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
