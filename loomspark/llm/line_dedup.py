@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_deleted")
     gone = materialise(deletions(docs.select("doc_id", "text"), min_words)).withColumnRenamed("doc_id", "_id")
-    out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    # the deletions grow with the documents: a merge join at every size
+    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     kept = F.expr(
         "transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), deleted), i -> l[i]), '\n'))[0]"
     )
