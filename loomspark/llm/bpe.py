@@ -11,6 +11,7 @@ bounded table. Decoding is a second small machine over UTF-8, fed token by token
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -27,6 +28,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+_BYTES = [bytes((b,)) for b in range(256)]
+_FRESH = [(0, ())]
+
+
 class _State:
     __slots__ = ("key", "moves", "rest")
 
@@ -106,25 +111,32 @@ class ByteBpe:
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple]:
         last, text, live = state.key
-        text += bytes((byte,))
-        for at, pending in live:  # the earliest start gives the longest token
-            token = self.ranks.get(text[at:])
-            if token is not None and self._pair(pending[-1] if pending else last, token):
+        text += _BYTES[byte]
+        ranks, open_, stay, ending = self.ranks, self.open, [], None
+        for start in live:  # the earliest start gives the longest token
+            at, pending = start
+            tail = text[at:]
+            if ending is None and (token := ranks.get(tail)) is not None and self._pair(pending[-1] if pending else last, token):
                 ending = (*pending, token)
-                break
-        else:
+            if tail in open_:
+                stay.append(start)
+        if ending is None:
             raise ValueError("the vocabulary lacks single bytes")
-        stay = [(at, pending) for at, pending in live if text[at:] in self.open]
-        stay.append((len(text), ending))
-        done, first = 0, stay[0][1]
-        while done < len(first) and all(len(p) > done and p[done] == first[done] for _, p in stay):
-            done += 1
-        out = first[:done]
-        if done:
-            last, cut = out[-1], sum(len(self.tokens[t]) for t in out)
-            text, stay = text[cut:], [(at - cut, p[done:]) for at, p in stay]
-        if all(p for _, p in stay):
-            last = -1  # no start needs what went before
+        if not stay:  # nothing can extend further back: all is certain
+            out, last, text, stay = ending, ending[-1], b"", _FRESH
+        else:
+            stay.append((len(text), ending))
+            first, done = stay[0][1], 0
+            for mine in zip(*(p for _, p in stay), strict=False):  # ends with the shortest
+                if mine.count(mine[0]) < len(mine):
+                    break
+                done += 1
+            out = first[:done]
+            if done:
+                last, cut = out[-1], sum(len(self.tokens[t]) for t in out)
+                text, stay = text[cut:], [(at - cut, p[done:]) for at, p in stay]
+            if all(p for _, p in stay):
+                last = -1  # no start needs what went before
         to = (self._state(last, text, tuple(stay)), out)
         state.moves[byte] = to
         return to
@@ -225,6 +237,9 @@ def codec(path: str, pattern: str) -> tuple[ByteBpe, Utf8Decoder]:
     """The codec of this Python worker; it lives as long as the worker."""
     if (path, pattern) not in _codecs:
         bpe = ByteBpe(load_ranks(path), pattern)
+        # the tables hold no cycles; without this the collector walks them again and again as they grow
+        gc.freeze()
+        gc.set_threshold(500_000, 100, 100)
         _codecs[path, pattern] = (bpe, Utf8Decoder(bpe.tokens))
     return _codecs[path, pattern]
 

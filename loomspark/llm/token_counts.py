@@ -102,7 +102,7 @@ def attribute(docs: DataFrame, rule: str = "majority", text: str = "text", vocab
                     ends = np.minimum(np.cumsum(sizes), len(t))
                     ends[-1] = len(t)
                     ends_bytes = _bytes_before(t, data, ends)
-                    n, c = allocate(np.cumsum(length[bpe.encode(t)]), ends_bytes, rule)
+                    n, c = allocate(np.cumsum(length[np.array(bpe.encode(t), np.int64)]), ends_bytes, rule)
                     row.append(np.full(len(sizes), i))
                     section.append(np.arange(len(sizes)))
                     chars.append(np.diff(np.concatenate([[0], ends])))
