@@ -162,10 +162,18 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), words)
-            values, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.int64)]), return_counts=True)
+            # slices of the texts and a sort in place: one array of hashes is all that grows with the batch
+            sets = [x for k in range(0, batch.num_rows, 500) for x in shingle_sets(batch.column("text").slice(k, 500).to_pylist(), words)]
+            hashes = np.concatenate(sets or [np.zeros(0, np.int64)])
+            del sets
+            hashes.sort()
+            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(hashes)))
             some = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[some]), pa.array(counts[some])], ["h", "n"])
+            found = pa.RecordBatch.from_arrays([pa.array(hashes[first[some]]), pa.array(counts[some])], ["h", "n"])
+            del hashes, first
+            yield found
+            pa.default_memory_pool().release_unused()
 
     seen = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     # the slot of a hash read as unsigned: the filter's size is a power of two
@@ -182,8 +190,8 @@ def _sets(docs: DataFrame, words: int, percent: int, table: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen_often, met = shared.value, set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 names, sizes, firsts = [], [], []
                 for hashes in shingle_sets(part.column("text").to_pylist(), words):
                     n, name = len(hashes), class_of(hashes)
@@ -218,8 +226,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
-            for start in range(0, batch.num_rows, 1000):
-                sets = shingle_sets(batch.column("text").slice(start, 1000).to_pylist(), words)
+            for start in range(0, batch.num_rows, 500):
+                sets = shingle_sets(batch.column("text").slice(start, 500).to_pylist(), words)
                 names = pa.array([class_of(x) for x in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "shingles"])
 
