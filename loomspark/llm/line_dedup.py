@@ -4,14 +4,19 @@ Overlapping documents are found through the hashes of their lines: every line th
 with an earlier one leads to the earliest document that holds it. That is one pair a line at most, so
 lines in very many documents need no cut-off by document frequency: a rare line and a frequent one cost
 the same. A pair is aligned by patience diff: lines that stand once on both sides, the longest
-increasing run of their positions, and the equal lines around each of them. Aligned blocks of at least
-``min_words`` words are deleted from the later document.
+increasing run of their positions, and the equal lines around each of them; where no line stands once
+on both sides, by a longest common subsequence. Lines that stay unaligned are tried with the next
+holders in turn, until each is aligned or has met all its earlier holders. A document aligns a line at
+least with every holder it tries, so its lines bound the holders it tries, however many there are.
+Aligned blocks of at least ``min_words`` words are deleted from the later document.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,6 +26,10 @@ from loomspark.llm.shared import WORD, materialise
 
 #: Blocks of fewer words stay.
 MIN_WORDS = 8
+#: Bits of a table of common subsequences; larger problems are halved first.
+TABLE_BITS = 1 << 27
+#: Most holders of a line that one round tries; rounds start with one and double.
+MOST_HOLDERS = 512
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -44,6 +53,48 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _lcs_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each start of ``a`` a bit row over ``b``: a 0 where the common subsequence grows by one."""
+    at: dict[int, int] = {}
+    for j, key in enumerate(b):
+        at[key] = at.get(key, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
+    for key in a:
+        hit = row & at.get(key, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions (i, j) of a longest common subsequence, in rows of bits; halved while the table is large."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [(0, b.index(a[0]))] if a[0] in b else []
+    if len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        *_, low = _lcs_rows(a[:half], b)
+        *_, high = _lcs_rows(a[:half - 1:-1], b[::-1])
+        # the cut of b where both halves together have most in common
+        fore, back = ([0, *accumulate(c == "0" for c in f"{row:0{len(b)}b}"[::-1])] for row in (low, high))
+        cut = max(range(len(b) + 1), key=lambda j: fore[j] + back[len(b) - j])
+        rest = common_subsequence(a[half:], b[cut:])
+        return common_subsequence(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in rest]
+    rows = list(_lcs_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def aligned_lines(later: list[int], earlier: list[int]) -> list[int]:
     """Positions in ``later`` that a patience diff aligns with ``earlier`` (lists of line keys)."""
     matched: dict[int, int] = {}
@@ -67,6 +118,7 @@ def aligned_lines(later: list[int], earlier: list[int]) -> list[int]:
         common = sorted((e[1], e[3]) for e in once.values() if e[0] == 1 and e[2] == 1)
         run = [common[i] for i in increasing([b for _, b in common])]
         if not run:
+            matched.update((a0 + i, b0 + j) for i, j in common_subsequence(later[a0:a1], earlier[b0:b1]))
             continue
         edges = [(a0 - 1, b0 - 1), *run, (a1, b1)]
         for (p, q), (r, s) in zip(edges, edges[1:], strict=False):
@@ -76,6 +128,38 @@ def aligned_lines(later: list[int], earlier: list[int]) -> list[int]:
     return sorted(matched)
 
 
+def _aligned(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(doc_id, hit, left) for lines to align (doc_id, pos, key, partner) and those of the partners
+    (partner, key, pos): positions aligned with a partner, and lines aligned with none.
+
+    A document's partners are tried from the earliest on, each with the lines still unaligned then.
+    """
+    entries = F.sort_array(F.collect_set(F.struct("partner", "pos", "key")))
+    later = pairs.groupBy("doc_id").agg(entries.alias("later"))
+    # the earlier side: its lines that some later document shares, once a pair
+    wanted = pairs.select("doc_id", "partner", "key").distinct()
+    earlier = wanted.join(held, ["partner", "key"]).groupBy("doc_id").agg(entries.alias("earlier"))
+    both = later.join(earlier, "doc_id")
+    kind = pairs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, rest = [], []
+            for later, earlier in zip(batch.column("later"), batch.column("earlier"), strict=True):
+                theirs = {p: [x["key"] for x in some] for p, some in groupby(earlier.as_py(), lambda x: x["partner"])}
+                hit, last = set(), {}
+                for partner, some in groupby(later.as_py(), lambda x: x["partner"]):
+                    some = [x for x in some if x["pos"] not in hit]
+                    hit.update(some[i]["pos"] for i in aligned_lines([x["key"] for x in some], theirs[partner]))
+                    last.update(((x["pos"], x["key"]), x) for x in some)
+                hits.append(sorted(hit))
+                rest.append([x for x in last.values() if x["pos"] not in hit])
+            columns = [batch.column("doc_id"), pa.array(hits, pa.list_(pa.int32())), pa.array(rest, batch.column("later").type)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hit", "left"])
+
+    return both.mapInArrow(run, f"doc_id {kind}, hit array<int>, left array<struct<partner: {kind}, pos: int, key: bigint>>")
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, deleted): sorted positions of the lines to delete, for documents that lose any.
 
@@ -89,29 +173,24 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # the earliest holder of each line that several documents hold
     held = lines.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("last")).filter("earliest < last").drop("last")
     shared = materialise(lines.join(held, "key"))
-    later = shared.filter("doc_id > earliest")
-    pairs = later.groupBy("doc_id", "earliest").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "key"))).alias("later")
-    )
-    # the earlier side: its lines that some later document shares, once a pair
-    firsts = shared.filter("doc_id = earliest").select("earliest", "key", "pos")
-    wanted = later.select("doc_id", "earliest", "key").distinct()
-    earlier = wanted.join(firsts, ["earliest", "key"]).groupBy("doc_id", "earliest").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "key"))).alias("earlier")
-    )
-    both = pairs.join(earlier, ["doc_id", "earliest"]).select("doc_id", "later", "earlier")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for a, b in zip(batch.column("later"), batch.column("earlier"), strict=True):
-                a, b = a.as_py(), b.as_py()
-                hit = aligned_lines([x["key"] for x in a], [x["key"] for x in b])
-                found.append([a[i]["pos"] for i in hit])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "hit"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = both.mapInArrow(run, f"doc_id {kind}, hit array<int>").select("doc_id", F.explode("hit").alias("pos")).distinct()
+    partners = shared.select(F.col("doc_id").alias("partner"), "key", "pos")
+    pairs = shared.filter("doc_id > earliest").select("doc_id", "pos", "key", F.col("earliest").alias("partner"))
+    tried = materialise(_aligned(pairs, shared.filter("doc_id = earliest").select(F.col("doc_id").alias("partner"), "key", "pos")))
+    found, most = [tried], 1
+    while not tried.isEmpty():
+        # what is left goes on to the holders after the last one tried, which is the same for a line everywhere
+        left = tried.select("doc_id", F.explode("left").alias("l")).select("doc_id", "l.pos", "l.key", "l.partner")
+        after = left.groupBy("key").agg(F.max("partner").alias("after"), F.max("doc_id").alias("last"))
+        later = shared.join(after, "key").filter("doc_id > after AND doc_id < last").select("key", F.col("doc_id").alias("partner")).distinct()
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("partner"))
+        holders = later.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
+        most = min(2 * most, MOST_HOLDERS)
+        holders = materialise(holders)
+        pairs = left.drop("partner").join(holders, "key").filter("doc_id > partner")
+        tried = materialise(_aligned(pairs, partners.join(holders, ["partner", "key"])))
+        found.append(tried)
+
+    hits = reduce(DataFrame.unionByName, found).select("doc_id", F.explode("hit").alias("pos")).distinct()
     # blocks over all of a document's alignments; line by line, as the words of a block decide
     hits = lines.select("doc_id", "pos", "words").distinct().join(hits, ["doc_id", "pos"])
     ordered = Window.partitionBy("doc_id").orderBy("pos")

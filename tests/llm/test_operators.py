@@ -279,6 +279,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_common_subsequence(monkeypatch):
+    for bits in (line_dedup.TABLE_BITS, 40):  # whole and halved
+        monkeypatch.setattr(line_dedup, "TABLE_BITS", bits)
+        for _ in range(200):
+            a, b = ([RNG.randrange(5) for _ in range(RNG.randint(0, 14))] for _ in "ab")
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            got = line_dedup.common_subsequence(a, b)
+            assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_line_dedup_crossed_and_repeated(spark):
+    p, q, (x,), (y,) = lines_of(2, "p"), lines_of(2, "q"), lines_of(1, "x"), lines_of(1, "y")
+    rows = [(0, q + p), (1, p + q), (2, p + q), (3, p + q)]  # 1 crosses its only earlier holder
+    rows += [(10, [x]), (11, [x] * 6), (12, [x] * 6), (13, [y, x])]  # repeated; 11 has one line to align with
+    rows += [(20, [x, y, x, y]), (21, [y, x, y, x])]
+    rows += [(30 + i, [f"{x} again"]) for i in range(9)] + [(40, [f"{x} again"] * 9)]  # one line from each of nine holders
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_deleted for r in line_dedup.dedup_lines(df).collect()}
+    assert [got[i] for i in range(4)] == [0, 2, 4, 4]
+    assert [got[i] for i in (10, 11, 12, 13)] == [0, 1, 6, 1]
+    assert (got[20], got[21]) == (3, 4)
+    assert [got[i] for i in (30, 31, 38, 40)] == [0, 1, 1, 9]
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
