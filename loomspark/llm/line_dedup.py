@@ -163,12 +163,15 @@ def _aligned(pairs: DataFrame, held: DataFrame) -> DataFrame:
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, deleted): sorted positions of the lines to delete, for documents that lose any.
 
-    Lines are split at \\n and compared without outer white space; those without a word never match.
+    Lines are split at \\n and compared without outer white space; those without a word never match, but
+    do not end a block either: between two of its lines they belong to it.
     """
-    line = F.regexp_replace(F.col("line"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    lines = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", line).filter(F.col("line") != "")
-    lines = lines.select("doc_id", "pos", F.xxhash64("line").alias("key"), F.regexp_count("line", F.lit(WORD)).alias("words"))
+    strip = lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    numbered = F.transform(F.split("text", "\n"), lambda x, pos: F.struct(pos.alias("pos"), strip(x).alias("line")))
+    numbered = F.filter(numbered, lambda x: x["line"] != "")
+    # n counts the lines that have a word
+    lines = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.posexplode(numbered).alias("n", "l"))
+    lines = lines.select("doc_id", "l.pos", "n", F.xxhash64("l.line").alias("key"), F.regexp_count("l.line", F.lit(WORD)).alias("words"))
     lines = materialise(lines)
     # the earliest holder of each line that several documents hold
     held = lines.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("last")).filter("earliest < last").drop("last")
@@ -192,11 +195,13 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     hits = reduce(DataFrame.unionByName, found).select("doc_id", F.explode("hit").alias("pos")).distinct()
     # blocks over all of a document's alignments; line by line, as the words of a block decide
-    hits = lines.select("doc_id", "pos", "words").distinct().join(hits, ["doc_id", "pos"])
-    ordered = Window.partitionBy("doc_id").orderBy("pos")
-    island = F.col("pos") - F.row_number().over(ordered)
-    blocks = hits.withColumn("island", island)
-    large = blocks.groupBy("doc_id", "island").agg(F.sum("words").alias("w"), F.collect_list("pos").alias("at")).filter(F.col("w") >= min_words)
+    hits = lines.select("doc_id", "pos", "n", "words").distinct().join(hits, ["doc_id", "pos"])
+    ordered = Window.partitionBy("doc_id").orderBy("n", "pos")
+    island = F.col("n") - F.row_number().over(ordered)
+    # the lines between a hit and the next one of its block have no word
+    to = F.when(F.lead("n").over(ordered) == F.col("n") + 1, F.lead("pos").over(ordered) - 1).otherwise(F.col("pos"))
+    blocks = hits.withColumns({"island": island, "at": F.sequence("pos", F.greatest("pos", to))})
+    large = blocks.groupBy("doc_id", "island").agg(F.sum("words").alias("w"), F.flatten(F.collect_list("at")).alias("at")).filter(F.col("w") >= min_words)
     return large.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("deleted"))
 
 

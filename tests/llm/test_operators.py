@@ -307,6 +307,17 @@ def test_line_dedup_crossed_and_repeated(spark):
     assert [got[i] for i in (30, 31, 38, 40)] == [0, 1, 1, 9]
 
 
+def test_line_dedup_blank_lines(spark):
+    verse = "\n\n".join(f"verse {i} of the song" for i in range(12))
+    rows = [(1, f"start\n\n{verse}\n\nend"), (2, f"other\n\n{verse.replace(chr(10) * 2, chr(10) + '  ' + chr(10) * 2)}\n\nlast")]
+    rows += [(3, f"{verse}\nbetween\n{verse}"), (4, "verse 1 of the song\n\nmine\n\nverse 2 of the song")]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2] == ("other\n\n\nlast", 12 + 11 * 2)
+    assert got[3] == (f"between\n{verse}", 23) or got[3] == (f"{verse}\nbetween", 23) or got[3] == ("between", 46)
+    assert got[4] == (rows[3][1], 0)
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
