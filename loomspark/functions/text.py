@@ -44,9 +44,14 @@ def clean_aliases(aliases: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: a != "")), 1, most)
 
 
+#: \b of the reference, whose word characters are ASCII; Java's \b depends on its version.
+BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
 def capitalised(text: Column, most: int = 8) -> Column:
     """The first ``most`` capitalised tokens of three or more characters, then made distinct."""
-    return F.array_distinct(F.slice(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zA-Z0-9_-]{2,}\b"), F.lit(0)), 1, most))
+    token = F.lit(rf"{BOUNDARY}[A-Z][a-zA-Z0-9_-]{{2,}}{BOUNDARY}")
+    return F.array_distinct(F.slice(F.regexp_extract_all(text, token, F.lit(0)), 1, most))
 
 
 def preview(text: Column, most: int = 120) -> Column:

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import subprocess
 import sys
 import uuid
@@ -16,6 +17,8 @@ from loomspark.operators import curation as C
 from loomspark.operators import evidence as E
 from loomspark.operators import extraction, graph
 from loomspark.operators import ranking as R
+from loomspark.plans.curation import fake_extract
+from loomspark.plans.ingestion import extract_entities
 from loomspark.plans.session import Session
 from loomspark.sources import exports, files
 from loomspark.streaming import pipelines
@@ -140,6 +143,17 @@ def test_names(spark):
         assert one(spark, T.confidence_band(F.col("a")), a=("double", value)) == band
 
 
+def test_extraction_over_all_documents(spark, tmp_path):
+    texts = ["Orgzilla hired Bob", "Éric kennt Straße und Zoë-Xyz", "éFoo Bar-é Baz_É Ähre Quux--- No", "日本Tokyo 東京", "Ärger " + "Abc Def " * 9 + "Late", "", None]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    word = re.compile(r"\b[A-Z][a-zA-Z0-9_-]{2,}\b", re.ASCII)
+    want = {i: list(dict.fromkeys(word.findall(t)[:8])) for i, t in rows if t is not None}
+    assert {r.doc_id: r.names for r in fake_extract(spark, str(tmp_path)).collect()} == {i: sorted(x) for i, x in want.items()}
+    got = sorted((r.doc_id, r.name) for r in extract_entities(spark, str(tmp_path)).collect())
+    assert got == sorted((i, n) for i, x in want.items() for n in x)
+
+
 def test_extraction_normal_form(spark):
     found = [[("  Acme Corp  ", None, [" a ", " ", "b"], 1.5), (" ", "x", [], 0.5), ("Bob", " Person ", None, math.nan)]]
     df = spark.createDataFrame([(found[0],)], f"e {extraction.ENTITY}")
