@@ -120,3 +120,19 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     """One row for each copy taken, with its ``position``, range-sorted by it."""
     copies = mixed.withColumn("position", F.explode("positions")).drop("positions", "copies", "taken", "target", "source_size", "size")
     return copies.orderBy("position", "doc_id")
+
+
+def documents_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each row of ``mixed``: ``columns``, and taken as the words of its copies in training
+    order. Rows stand in the order of their first copy; those never taken come last.
+
+    The copies are written with their positions, range-sorted, and summed from that table.
+    """
+    rows = materialise(mixed.select(*dict.fromkeys([*columns, "doc_id", "size"]), "positions", F.monotonically_increasing_id().alias("_row")))
+    copies = rows.select("*", F.explode_outer("positions").alias("position")).drop("positions")
+    copies = materialise(copies.orderBy(F.col("position").asc_nulls_last(), "doc_id", "_row"))
+    words = F.when(F.col("position").between(0.0, 1.0), F.col("size")).otherwise(0)
+    out = copies.groupBy("_row").agg(
+        *(F.first(c).alias(c) for c in columns), F.sum(words).alias("taken"), F.min("position").alias("_first")
+    )
+    return out.orderBy(F.col("_first").asc_nulls_last(), "doc_id", "_row").select(*columns, "taken")

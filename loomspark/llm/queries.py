@@ -56,7 +56,8 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    # the SQL fixes the columns; the order of the rows is that of the curriculum
+    return mixing.documents_in_order(mixed, ["doc_id", "size", "source_size", "target"])
 
 
 ORACLE_SQL["op9_source_mix"] = r"""

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import tiktoken
-from loomspark.llm import bpe, byte_cnn, jaccard_join, line_dedup, mixing, quality_rules, sharding, shared, token_counts, url_filters, vector_dedup
+from loomspark.llm import bpe, byte_cnn, jaccard_join, line_dedup, mixing, quality_rules, queries, sharding, shared, token_counts, url_filters, vector_dedup
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -392,6 +392,21 @@ def test_jaccard_join_at_the_threshold_and_in_chains(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_op9_follows_the_curriculum(spark, docs, tmp_path, monkeypatch):
+    docs.filter("doc_id IS NOT NULL").write.parquet(f"{tmp_path}/documents.parquet")
+    orders = []
+    for schedules in (mixing.SCHEDULES, ((((0.0, 0.1), (1.0, 1.9)),) + mixing.SCHEDULES[1:])):
+        mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"), schedules=schedules)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "mix", lambda _, mixed=mixed: mixed)
+            got = queries.op9_source_mix(spark, str(tmp_path)).collect()
+        want = sorted(mixed.collect(), key=lambda r: (min(r.positions, default=2.0), r.doc_id))
+        columns = ("doc_id", "size", "source_size", "target", "taken")
+        assert [tuple(r) for r in got] == [tuple(r[c] for c in columns) for r in want]
+        orders.append([r.doc_id for r in got])
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
