@@ -382,6 +382,46 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, class), (class, rep, docs) and every pair (a, b) of classes that link, a > b.
+
+    No pair is skipped: all that share enough of their first shingles are verified on the whole sets.
+    """
+    sets = materialise(_sets(docs, words, percent, _frequent(docs, words)))
+    reps = materialise(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
+    entry = sets.select("class", "n", F.explode("first").alias("h")).distinct()
+    x, y = entry.alias("x"), entry.alias("y")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.class") > F.col("y.class")) & sizes)
+    pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
+        F.count("*").alias("shared"), F.first("x.n").alias("n_a"), F.first("y.n").alias("n_b")
+    )
+    # what is needed less what the larger set has beyond its first shingles
+    beyond = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100.0 - F.lit(1e-9)) - 1
+    pairs = materialise(pairs.filter(F.col("shared") >= _need(F.col("n_a"), F.col("n_b"), percent) - beyond).select("a", "b"))
+    linked = materialise(_verified(pairs, reps, docs, words, percent).distinct())
+    return sets.select("doc_id", "class"), reps, linked
+
+
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, linked_id): every link between different texts, once, with the smaller id first; each
+    class of equal sets stands by its smallest doc_id. The pairs of a group of m near copies grow with m * m.
+    """
+    _, reps, linked = _class_links(docs.select("doc_id", "text"), words, percent)
+    named = linked.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("x")), "a")
+    named = named.join(reps.select(F.col("class").alias("b"), F.col("rep").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("linked_id"))
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_links) for every row of ``docs``: how many other rows it links with, equal sets included."""
+    small, reps, linked = _class_links(docs.select("doc_id", "text"), words, percent)
+    both = linked.union(linked.select("b", "a"))
+    others = both.join(reps.select(F.col("class").alias("b"), "docs"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("docs").alias("others"))
+    counted = reps.join(others, "class", "left").select("class", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return small.join(counted, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component."""
     firsts = similar_documents(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()

@@ -392,6 +392,23 @@ def test_jaccard_join_at_the_threshold_and_in_chains(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_jaccard_links(spark, docs):
+    def shingles(text):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1))))
+
+    sets = [(r.doc_id, shingles(r.text)) for r in docs.select("doc_id", "text").collect()]
+    alike = lambda x, y: bool(x) and 100 * len(x & y) >= 75 * len(x | y)
+    counts = sorted((i, sum(alike(x, y) for _, y in sets) - bool(x)) for i, x in sets)
+    assert sorted(map(tuple, jaccard_join.link_counts(docs).collect())) == counts
+    rep = {}
+    for i, x in sets:
+        rep[x] = min(i, rep.get(x, i))
+    want = sorted((i, j) for x, i in rep.items() for y, j in rep.items() if i < j and alike(x, y))
+    assert len(want) > 20 and sorted(map(tuple, jaccard_join.links(docs).collect())) == want
+    assert jaccard_join.links(docs.limit(0)).count() == jaccard_join.link_counts(docs.limit(0)).count() == 0
+
+
 def test_op9_follows_the_curriculum(spark, docs, tmp_path, monkeypatch):
     docs.filter("doc_id IS NOT NULL").write.parquet(f"{tmp_path}/documents.parquet")
     orders = []
