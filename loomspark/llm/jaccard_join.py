@@ -423,7 +423,14 @@ def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    firsts = similar_documents(docs, words, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    """One row of ``docs`` for each component: one with the smallest doc_id.
+
+    Rows that repeat a doc_id are documents of their own: of those that link one stays, unlinked ones all
+    stay. Rows with a null doc_id stay as they are and link with nothing.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    keyed = rows.filter("doc_id IS NOT NULL").select(F.struct("doc_id", "_row").alias("doc_id"), "text")
+    firsts = similar_documents(keyed, words, percent).filter("doc_id = component_id").select("doc_id._row")
+    firsts = firsts.unionByName(rows.filter("doc_id IS NULL").select("_row"))
     # the ids grow with the documents: a merge join at every size
-    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return rows.join(firsts.hint("merge"), "_row", "left_semi").select(*docs.columns)

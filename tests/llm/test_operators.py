@@ -409,6 +409,16 @@ def test_jaccard_links(spark, docs):
     assert jaccard_join.links(docs.limit(0)).count() == jaccard_join.link_counts(docs.limit(0)).count() == 0
 
 
+def test_keep_first_null_and_repeated_ids(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    near = " ".join([*a.split(" ")[:-1], "changed"])
+    rows = [(1, a), (1, a), (1, near), (1, b), (2, a), (3, b), (4, c), (4, c), (5, c), (None, a), (None, c)]
+    got = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    ids = sorted(-1 if r.doc_id is None else r.doc_id for r in got)
+    assert ids == [-1, -1, 1, 1, 4] and {r.text for r in got if r.doc_id == 4} == {c}
+    assert len({r.text for r in got if r.doc_id == 1} & {a, near}) == 1 and b in {r.text for r in got}
+
+
 def test_op9_follows_the_curriculum(spark, docs, tmp_path, monkeypatch):
     docs.filter("doc_id IS NOT NULL").write.parquet(f"{tmp_path}/documents.parquet")
     orders = []
