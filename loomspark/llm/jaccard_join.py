@@ -2,39 +2,49 @@
 
 Documents become sets of shingle hashes. Equal sets are one class. Two classes whose similarity reaches
 the threshold must share a shingle among the first few of either one, in any order that all sets agree
-on; shingles seen often inside a task come last in that order, the rest stand by hash. The first few of
-every class form index lists. Three relations between sets keep the lists from being read in full:
-
-* lists are cut into blocks by set size, so a class reads only the blocks whose sizes can match, and
-  inside these skips entries whose positions among the shared ones leave too few shingles to reach
-  the threshold;
-* a class first compares itself with one set only, the most central one that its lists name (the one
-  whose lists are longest); the links found there give groups, and a class inherits the answers of the
-  sets it is linked with: pairs inside a group are not compared again. This is repeated once by groups;
-* what remains are pairs across groups; they are counted over all lists, and only pairs that share as
-  many of their first shingles as the threshold needs are verified on the whole sets.
+on; shingles known to be frequent come last in that order, the rest stand by hash. The first few of every
+class form index lists, and relations between sets keep these lists from being read in full:
+
+* answers by increments: every class is compared with one set, the most central one that its lists name.
+  Where the two are at least half alike it keeps that set as its pivot and, instead of itself, only its
+  difference from the pivot. For two sets x, y with differences X, Y from a pivot p,
+  |x & y| = |p| - |p - x| - |p - y| + |X & Y|, so all answers among the sets of one pivot follow from what
+  the pivot's own answers gave: many are certain from the first three terms, the others read only the
+  small differences. They are worked out in tiles of bounded size, in numpy, and no list is read;
+* blocks by position: what is left are pairs of different pivots. Their lists are cut into blocks by size;
+  the smaller set of a pair goes only into those blocks whose sizes its position in the list can still
+  reach, so the later it stands the more blocks skip it. Entries behind which too few shingles are left
+  are passed over, and pairs that can still reach the threshold are compared on their whole sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from loomspark.llm.shared import connected_components, materialise, release
+from loomspark.llm.shared import connected_components, materialise, scratch, slices
 
 WORDS, PERCENT = 5, 75
-#: A shingle seen in so many sets counts as frequent; sets of Arrow batches that hold it once are not seen.
+#: A shingle that so many sets hold counts as frequent, if an Arrow slice holds it twice somewhere.
 OFTEN = 12
-#: Bits of the filter that tells frequent shingles; its size in bytes is fixed, whatever the input.
+#: Bits of the filter that tells frequent shingles, and how many of them (the most frequent) it may hold.
 FILTER_BITS = 1 << 23
-#: Rounds in which each group tries one more central class before pairs across groups are listed.
-HUB_ROUNDS = 2
-#: Bits of the filter of documents to verify, likewise: 2 MB.
+MOST_FREQUENT = FILTER_BITS // 16
+#: Bytes of text whose shingles are counted together.
+COUNTED_TOGETHER = 8 << 20
+#: Least similarity, in percent, to the pivot that a set is derived from.
+PIVOT_PERCENT = 50
+#: Sets and bytes of differences in one block of a tile; a tile compares two blocks.
+BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
+#: Blocks by size in one step of the least ratio of sizes that can match.
+STEPS = 4
+#: Bits of the filter of documents to verify: 2 MB. More documents than an eighth of it are joined instead.
 DOCUMENT_BITS = 1 << 24
 
 _SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
@@ -152,274 +162,389 @@ def _bit_table(slots: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
+def _in_table(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((table[slots >> 6] >> (slots & 63)) & 1).astype(bool)
+
+
+def _frequent(docs: DataFrame, words: int, keep: Callable[[DataFrame], DataFrame]) -> np.ndarray:
     """Bit filter of the shingles that many sets hold, over the whole table.
 
-    A batch tells only the shingles that it holds twice or more, so what is shuffled is small; one that
-    many sets hold, but no batch twice, may pass as rare. The order of shingles needs no more than to be
-    the same everywhere, so this touches speed alone.
+    A slice tells only the shingles that it holds twice or more, so what is shuffled is small; the filter
+    takes the most frequent ones that it has room for. The order of shingles needs no more than to be the
+    same everywhere, so this touches speed alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # slices of the texts and a sort in place: one array of hashes is all that grows with the batch
-            sets = [x for k in range(0, batch.num_rows, 500) for x in shingle_sets(batch.column("text").slice(k, 500).to_pylist(), words)]
-            hashes = np.concatenate(sets or [np.zeros(0, np.int64)])
-            del sets
-            hashes.sort()
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(first, len(hashes)))
-            some = counts > 1
-            found = pa.RecordBatch.from_arrays([pa.array(hashes[first[some]]), pa.array(counts[some])], ["h", "n"])
-            del hashes, first
-            yield found
-            pa.default_memory_pool().release_unused()
+            for part in slices(batch, "text", COUNTED_TOGETHER):
+                hashes = np.concatenate(shingle_sets(part.column("text").to_pylist(), words))
+                hashes.sort()
+                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(first, len(hashes)))
+                some = counts > 1
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first[some]]), pa.array(counts[some])], ["h", "n"])
 
     seen = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    seen = keep(seen.filter(F.col("n") >= OFTEN).select("h", F.floor(F.log2("n")).cast("int").alias("level")))
+    room, least = MOST_FREQUENT, 99
+    for level, count in seen.groupBy("level").count().orderBy(F.desc("level")).collect():  # 63 rows at most
+        room -= count
+        if room < 0:
+            break
+        least = level
     # the slot of a hash read as unsigned: the filter's size is a power of two
-    return _bit_table(seen.filter(F.col("n") >= OFTEN).select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
+    return _bit_table(seen.filter(F.col("level") >= least).select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")), FILTER_BITS)
 
 
 def _sets(docs: DataFrame, words: int, percent: int, table: np.ndarray) -> DataFrame:
-    """(doc_id, n, class, first): class names the set, first holds its first shingles in the order.
+    """(doc_id, n, class, rare, first): class names the set, first holds its first shingles in the order,
+    of which so many as rare says are not known to be frequent.
 
     Of the documents of one class that a task meets, only the first carries ``first``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen_often, met = shared.value, set()
+        met = set()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                names, sizes, firsts = [], [], []
+            for part in slices(batch, "text"):
+                names, sizes, rare, firsts = [], [], [], []
                 for hashes in shingle_sets(part.column("text").to_pylist(), words):
                     n, name = len(hashes), class_of(hashes)
                     sizes.append(n)
                     names.append(name)
                     if not n or name in met:
                         firsts.append(None)
+                        rare.append(None)
                         continue
                     met.add(name)
-                    bits = (hashes.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-                    often = ((seen_often[bits >> 6] >> (bits & 63)) & 1).astype(bool)
+                    often = _in_table(shared.value, (hashes.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64))
                     order = np.concatenate([hashes[~often], hashes[often]]) if often.any() else hashes
                     firsts.append(order[: int(_prefix(n, percent))])
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "class", "first"])
+                    rare.append(n - int(often.sum()))
+                columns = [pa.array(sizes, pa.int32()), pa.array(names, pa.int64()), pa.array(rare, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n", "class", "rare", "first"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, class bigint, first array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, class bigint, rare int, first array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the documents whose ids are in ``wanted``, and of some others.
+    """(class, shingles) of the documents whose ids are in ``wanted`` (doc_id), and perhaps of others.
 
-    The ids go to the tasks as a bit filter of fixed size, so texts need no shuffle; documents that pass
-    by accident only cost their set. No document that is wanted fails to pass.
+    Up to an eighth of its bits, the ids go to the tasks as a filter of fixed size, so texts need no
+    shuffle and those that pass by accident only cost their set; more ids are joined with the texts.
     """
-    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(DOCUMENT_BITS - 1))
-    table = _bit_table(wanted.select(slot.alias("slot")), DOCUMENT_BITS)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    table = None
+    if wanted.count() <= DOCUMENT_BITS // 8:
+        slot = F.xxhash64("doc_id").bitwiseAND(F.lit(DOCUMENT_BITS - 1))
+        table = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted.select(slot.alias("slot")), DOCUMENT_BITS))
+        docs = docs.select("text", slot.alias("slot"))
+    else:
+        docs = docs.join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array(((shared.value[at >> 6] >> (at & 63)) & 1).astype(bool)))
-            for start in range(0, batch.num_rows, 500):
-                sets = shingle_sets(batch.column("text").slice(start, 500).to_pylist(), words)
+            if table:
+                batch = batch.filter(pa.array(_in_table(table.value, batch.column("slot").to_numpy())))
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text").to_pylist(), words)
                 names = pa.array([class_of(x) for x in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "shingles"])
 
-    return docs.select("text", slot.alias("slot")).mapInArrow(run, "class bigint, shingles binary")
+    return docs.mapInArrow(run, "class bigint, shingles binary")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold on their whole sets."""
+def _with_sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pairs`` (a, b) of classes with their whole sets x and y, as bytes.
+
+    A class may come with two rows, from documents that passed by accident: callers take distinct rows.
+    """
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    needed = materialise(reps.join(needed, "class").select("class", F.col("rep").alias("doc_id")))
-    # two rows with one set, from documents that pass by accident, give a link twice, which is harmless
-    sets = _whole_sets(docs, needed, words)
+    needed = keep(reps.join(needed, "class").select("class", F.col("rep").alias("doc_id")))
+    sets = _whole_sets(docs, needed.select("doc_id"), words)
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return both.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _read(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_buffer(), np.int64) for x in column)
+
+
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold on their whole sets (x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            alike = []
+            for x, y in zip(_read(batch.column("x")), _read(batch.column("y")), strict=True):
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
-
+                alike.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-def _ranked(entries: DataFrame) -> DataFrame:
-    """Add rank (from 0, by position) and entries, the number of a class's entries; a class has no more
-    of them than first shingles."""
-    own = Window.partitionBy("class")
-    return entries.withColumns({"rank": F.row_number().over(own.orderBy("pos")) - 1, "entries": F.count("*").over(own)})
+    return pairs.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _hub_pairs(grouped: DataFrame, can_match, enough) -> DataFrame:
-    """(a, b, g_a, g_b): for each group the one pair with a more central class of another group that most
-    lists name. A list names its most central class; nothing but that head is looked at."""
-    first = F.struct("class", "n", "pos", "rank", "entries", "c", "g")
-    by_centre = Window.partitionBy("h").orderBy(F.desc("c"), "class").rowsBetween(Window.unboundedPreceding, 0)
-    rows = grouped.select(first.alias("x"), F.first(first).over(by_centre).alias("y"))
-    rows = rows.filter(can_match("x", "y") & (F.col("x.g") != F.col("y.g")))
-    pairs = rows.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
-        F.count("*").alias("shared"), F.first("x").alias("x"), F.first("y").alias("y")
-    )
-    pairs = pairs.filter(enough(F.col("shared"), F.col("x.n"), F.col("y.n")))
-    best = F.max_by(F.struct("a", "b", F.col("y.g").alias("g_b")), F.struct("shared", "a", "b"))
-    return pairs.groupBy(F.col("x.g").alias("g_a")).agg(best.alias("p")).select("p.a", "p.b", "g_a", "p.g_b")
+def _differences(pairs: DataFrame) -> DataFrame:
+    """(class, g, n, size, lost, delta) of the pairs (class a, pivot b) that are half alike or more: sizes
+    of the set and its pivot, how many of the pivot's shingles it lacks, and all that only one has."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike, sizes, deltas = [], [], []
+            for x, y in zip(_read(batch.column("x")), _read(batch.column("y")), strict=True):
+                delta = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(delta)) // 2
+                alike.append(100 * common >= PIVOT_PERCENT * (len(x) + len(y) - common))
+                if alike[-1]:
+                    sizes.append((len(x), len(y), len(y) - common))
+                    deltas.append(delta.tobytes())
+            kept = batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            numbers = np.array(sizes, np.int32).reshape(-1, 3)
+            columns = [*kept.columns, *(pa.array(numbers[:, k]) for k in range(3)), pa.array(deltas, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "g", "n", "size", "lost", "delta"])
+
+    return pairs.mapInArrow(run, "class bigint, g bigint, n int, size int, lost int, delta binary").dropDuplicates(["class"])
+
+
+def _pivots(lists: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): for each class the most central set that its lists name and that shares most of its first
+    shingles. A list names one set, the one whose own lists hold most entries; no window gathers a list."""
+    lengths = keep(lists.groupBy("h").agg(F.count("*").alias("m")))
+    central = keep(lists.join(lengths, "h").groupBy("class").agg(F.sum("m").alias("c")))
+    named = lists.join(central, "class").groupBy("h").agg(F.max(F.struct("c", "class", "n")).alias("y"))
+    rows = lists.join(keep(named), "h").filter(F.col("class") != F.col("y.class"))
+    rows = rows.filter(2 * F.least("n", "y.n") >= F.greatest("n", "y.n"))
+    pairs = rows.groupBy("class", F.col("y.class").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("y.n").alias("m"))
+    # so many common first shingles as sets that are half alike would have, roughly
+    first = F.least("n", "m") - F.ceil(percent * F.least("n", "m") / 100.0) + 1
+    pairs = pairs.filter(4 * F.col("shared") >= first)
+    return pairs.groupBy(F.col("class").alias("a")).agg(F.max(F.struct("shared", "b")).alias("p")).select("a", "p.b")
+
+
+def _tiles(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of ``members`` for each tile (g, lo, hi) that compares their block (block) with another.
+
+    Blocks hold differences of about one size, so that whole tiles are certain without reading them.
+    """
+    members = members.withColumn("bucket", F.floor(F.log2(F.octet_length("delta") / 8 + 1)).cast("int"))
+    filled = members.groupBy("g", "bucket").agg(F.count("*").alias("rows"), F.sum(F.octet_length("delta").cast("long")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK_ROWS), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
+    # one short list a group: differences have some 40 orders of size at most
+    plan = filled.select("g", "bucket", blocks, "rows").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bucket", "blocks"))).alias("plan"), F.sum("rows").alias("m"))
+    plan = keep(plan.filter("m > 1").drop("m"))
+    before = F.expr("aggregate(filter(plan, p -> p.bucket < bucket), 0, (n, p) -> n + p.blocks)")
+    own = F.expr("filter(plan, p -> p.bucket = bucket)[0].blocks")
+    count = F.expr("aggregate(plan, 0, (n, p) -> n + p.blocks)")
+    placed = members.join(plan, "g").withColumn("block", before + F.pmod(F.xxhash64("class"), own).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    return placed.select(
+        "g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "n", "size", "lost", "docs", "delta"
+    )
 
-def _followed(groups: DataFrame, merged: DataFrame) -> DataFrame:
-    """(node, component) after the components of ``groups`` have themselves been merged."""
-    on = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    old = groups.join(on, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return old.unionByName(merged.join(groups.select("node"), "node", "left_anti"))
 
+def _common(deltas: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets of rows a have in common with those of rows b."""
+    rows = np.repeat(np.arange(len(deltas)), [len(x) for x in deltas])
+    values = np.concatenate(deltas) if deltas else np.zeros(0, np.int64)
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    turns = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    held = np.diff(np.append(turns, len(values)))
+    column = np.repeat(np.arange(len(held)), held)
+    wide = held > 16
+    total = np.zeros((len(a), len(b)), np.float32)
+    # elements that many rows hold: products of 0/1 matrices, some columns at a time
+    at = np.cumsum(wide) - 1
+    for start in range(0, int(wide.sum()), 2048):
+        some = wide[column] & (at[column] >= start) & (at[column] < start + 2048)
+        held_by = np.zeros((len(deltas), 2048), np.float32)
+        held_by[rows[some], at[column[some]] - start] = 1
+        total += held_by[a] @ held_by[b].T
+    # the others: pairs of their holders
+    few = ~wide[column]
+    rows, column = rows[few], column[few]
+    pairs = []
+    for k in range(1, 16):
+        same = np.flatnonzero(column[k:] == column[:-k])
+        if not len(same):
+            break
+        pairs.append(rows[same] * len(deltas) + rows[same + k])
+    if pairs:
+        count = np.bincount(np.concatenate(pairs), minlength=len(deltas) ** 2).reshape(len(deltas), len(deltas))
+        total += (count + count.T)[np.ix_(a, b)]
+    return total.astype(np.int64)
+
+
+def _tile_links(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows a, rows b, links between them) of one tile."""
+    n, size, lost, block = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "size", "lost", "block"))
+    lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+    a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    reach = lambda common: (100 + percent) * common >= percent * (n[a][:, None] + n[b][None, :])
+    least = size[0] - lost[a][:, None] - lost[b][None, :]
+    deltas = [x for c in rows.column("delta").chunks for x in _read(c)]
+    d = np.array([len(x) for x in deltas])
+    links = reach(least)
+    if (reach(least + np.minimum(d[a][:, None], d[b][None, :])) & ~links).any():
+        links = reach(least + _common(deltas, a, b))
+    if lo == hi:
+        np.fill_diagonal(links, False)
+    return a, b, links
+
+
+def _counted(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """(class, others, to) for the linked rows of one tile: documents they link with, and the least class
+    that links inside the tile lead to."""
+    a, b, links = _tile_links(rows, percent)
+    name, weight = rows.column("class").to_numpy(), rows.column("docs").to_numpy()
+    others, to = np.zeros(len(name), np.int64), name.copy()
+    np.add.at(others, a, links @ weight[b])
+    if rows.column("lo")[0] != rows.column("hi")[0]:
+        np.add.at(others, b, links.T @ weight[a])
+    top = np.iinfo(np.int64).max
+    while links.any():
+        before = to.copy()
+        to[a] = np.minimum(to[a], np.where(links, to[b][None, :], top).min(axis=1))
+        to[b] = np.minimum(to[b], np.where(links, to[a][:, None], top).min(axis=0))
+        if (to == before).all():
+            break
+    some = others > 0
+    return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (name, others, to)], ["class", "others", "to"])
+
+
+def _listed(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """(a, b) for the links of one tile, the larger class first."""
+    a, b, links = _tile_links(rows, percent)
+    i, j = np.nonzero(links)
+    x, y = rows.column("class").to_numpy()[a[i]], rows.column("class").to_numpy()[b[j]]
+    if rows.column("lo")[0] == rows.column("hi")[0]:
+        x, y = x[x > y], y[x > y]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+
+def _by_tile(tiles: DataFrame, made: Callable[[pa.Table, int], pa.RecordBatch], percent: int, schema: str) -> DataFrame:
+    """``made`` for each tile. Tiles follow each other in sorted partitions, so one at a time is held."""
 
-def _across(grouped: DataFrame, merged: DataFrame) -> DataFrame:
-    """Entries with their new groups, of the lists that still hold more than one."""
-    now = grouped.join(merged, F.col("g") == F.col("node"), "left").withColumn("g", F.coalesce("component", "g")).drop("node", "component")
-    mixed = now.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h")
-    return _ranked(now.join(mixed, "h"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("g", "lo", "hi")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if start == end:
+                    continue
+                now = tuple(keys[start].tolist())
+                if held and now != key:
+                    yield made(pa.Table.from_batches(held), percent)
+                    held = []
+                key = now
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield made(pa.Table.from_batches(held), percent)
+
+    return tiles.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, schema)
+
+
+def _across(lists: DataFrame, members: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of classes with different pivots, a > b, that may reach the threshold."""
+    lists = lists.join(members.select("class", "g"), "class", "left").withColumn("g", F.coalesce("g", "class"))
+    lists = keep(lists)
+    mixed = keep(lists.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("h"))
+    own = Window.partitionBy("class")  # a class has no more entries than first shingles
+    lists = lists.join(mixed, "h").withColumns({"rank": F.row_number().over(own.orderBy("pos")) - 1, "entries": F.count("*").over(own)})
+    step = math.log(100.0 / percent) / STEPS
+    block = lambda n: F.floor(F.log(n) / F.lit(step) + F.lit(1e-9)).cast("int")
+    lists = keep(lists.withColumn("block", block(F.col("n"))))
+    # the largest partner whose threshold what stands behind this position can reach
+    most = F.least((F.col("n") - F.col("pos")) * (100.0 + percent) / percent - F.col("n"), F.col("n") * 100.0 / percent)
+    smaller = lists.filter(most + 1e-6 >= F.col("n")).withColumn("meets", F.explode(F.sequence("block", F.greatest(block(most + 1e-6), F.col("block")))))
+    x, y = lists.alias("x"), smaller.alias("y")
+    n_x, n_y, p_x, p_y, r_x, r_y, s_x, s_y = (F.col(f"{side}.{c}") for c in ("n", "pos", "rank", "entries") for side in ("x", "y"))
+    beyond = lambda n: F.ceil(F.lit(percent) * n / 100.0 - F.lit(1e-9)) - 1  # noqa: E731  members after the first ones
+    need = _need(n_x, n_y, percent)
+    # before this entry only entries of mixed lists count; from here on, of two sets the one whose first
+    # shingles end earlier in the order has all else that is common beyond them
+    left = F.least(r_x, r_y) + F.least(F.greatest(s_x - r_x + beyond(n_x), s_y - r_y + beyond(n_y)), n_x - p_x, n_y - p_y)
+    fits = (100 * n_y >= percent * n_x) & (n_x - p_x >= need) & (n_y - p_y >= need) & (left >= need)
+    once = (n_x > n_y) | ((n_x == n_y) & (F.col("x.class") > F.col("y.class")))
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.meets")) & once & (F.col("x.g") != F.col("y.g")) & fits)
+    pairs = pairs.groupBy(F.col("x.class").alias("x"), F.col("y.class").alias("y")).agg(
+        F.count("*").alias("shared"), F.first(n_x).alias("n_x"), F.first(n_y).alias("n_y"), F.max(p_x).alias("p_x"), F.max(p_y).alias("p_y")
+    )
+    # the entries met are the first common shingles; more can only stand behind the last of them
+    behind = F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) - 1
+    pairs = pairs.filter(F.col("shared") + behind >= _need(F.col("n_x"), F.col("n_y"), percent))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def _join(docs: DataFrame, words: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n, class), (classes: class, rep, docs), tiles, and links (a, b) outside the tiles."""
+    sets = keep(_sets(docs, words, percent, _frequent(docs, words, keep)))
+    reps = keep(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
+    # index lists: one row for each first shingle of a class, with its position. A frequent shingle is in
+    # other sets for certain; of the rest, lists of one entry go (each looks only at its neighbours)
+    entry = sets.select("class", "n", "rare", F.posexplode("first").alias("pos", "h"))
+    often = entry.filter("pos >= rare").select("h", "class", "n", "pos").dropDuplicates(["h", "class"])
+    in_list = Window.partitionBy("h").orderBy("class")
+    rare = entry.filter("pos < rare").select("h", "class", "n", "pos", F.lag("class").over(in_list).alias("last"), F.lead("class").over(in_list).alias("next"))
+    rare = rare.filter("(last IS NOT NULL OR next IS NOT NULL) AND NOT (last <=> class)").drop("last", "next")
+    lists = keep(rare.unionByName(often))
+    members = _differences(_with_sets(keep(_pivots(lists, percent, keep)), reps, docs, words, keep))
+    members = keep(members.join(reps.select("class", "docs"), "class"))
+    # pivots that have no pivot themselves stand in their own group, with no difference
+    sizes = members.groupBy(F.col("g").alias("class")).agg(F.first("size").alias("n"))
+    roots = sizes.join(members.select("class"), "class", "left_anti").join(reps.select("class", "docs"), "class")
+    roots = roots.select("class", F.col("class").alias("g"), "n", F.col("n").alias("size"), F.lit(0).alias("lost"), F.expr("X''").alias("delta"), "docs")
+    members = keep(members.unionByName(roots))
+    pairs = keep(_across(lists, members, percent, keep))
+    across = keep(_linked(_with_sets(pairs, reps, docs, words, keep), percent))
+    return sets.select("doc_id", "n", "class"), reps, _tiles(members, keep), across
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document of ``docs`` (doc_id, text).
-
-    Two documents link when 100 * intersection >= percent * union of their sets; component_id is the
-    smallest doc_id reachable by links. A null text, or one without words, has an empty set and links
-    with nothing. Equal sets need no pairs: they are one class. Rows that repeat a doc_id are treated as
-    separate documents of the same id. An empty table gives an empty result. Shingles are told apart by
-    64-bit hashes, classes by a 64-bit hash of their set and its size.
+    """(doc_id, n_shingles, component_id, n_links) for every document of ``docs`` (doc_id, text).
+
+    Two documents link when 100 * intersection >= percent * union of their sets; n_links counts the other
+    documents that one links with, component_id is the smallest doc_id reachable by links. A null text,
+    or one without words, has an empty set and links with nothing; very long texts are hashed whole.
+    Equal sets need no pairs: they are one class, and their documents link with each other. Rows that
+    repeat a doc_id are treated as separate documents of the same id. An empty table gives an empty
+    result; columns other than doc_id and text are not read. Shingles are told apart by 64-bit hashes,
+    classes by a 64-bit hash of their set and its size.
     """
     docs = docs.select("doc_id", "text")
-    sets = materialise(_sets(docs, words, percent, _frequent(docs, words)))
-    reps = materialise(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
-
-    def beyond(n: Column) -> Column:
-        """Members of a set of n that stand after its first ones."""
-        return F.ceil(F.lit(percent) * n / 100.0 - F.lit(1e-9)) - 1
-
-    def can_match(x: str, y: str) -> Column:
-        """Sizes fit, and what can be common before this entry and from here on reaches the need.
-
-        Before it, only entries that other groups share count. From here on, of two sets the one whose
-        first shingles end earlier in the order has all else that is common beyond them."""
-        n_x, n_y, p_x, p_y, r_x, r_y, s_x, s_y = (F.col(f"{side}.{c}") for c in ("n", "pos", "rank", "entries") for side in (x, y))
-        after = F.greatest(s_x - r_x + beyond(n_x), s_y - r_y + beyond(n_y))
-        left = F.least(r_x, r_y) + F.least(after, n_x - p_x, n_y - p_y)
-        return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & (left >= _need(n_x, n_y, percent))
-
-    # index lists: one row for each first shingle of a class, with its position; lists of one entry go.
-    # Dealt once by shingle; each entry looks only at its neighbours, so no list is gathered.
-    entry = sets.select("class", "n", F.posexplode("first").alias("pos", "h")).repartition("h")
-    entry = entry.groupBy("h", "class").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    in_list = Window.partitionBy("h").orderBy("class")
-    step = math.log(100.0 / percent)
-    lists = entry.select(
-        "h", "class", "n", "pos", F.floor(F.log("n") / F.lit(step)).cast("int").alias("block"),
-        (F.lag("class").over(in_list).isNotNull() | F.lead("class").over(in_list).isNotNull()).alias("shared"),
-    )
-    lists = materialise(lists.filter("shared").drop("shared"))
-    small = materialise(sets.select("doc_id", "n", "class"))
-    release(sets)
-
-    def enough(shared: Column, n_x: Column, n_y: Column) -> Column:
-        """A similar pair shares so many of its first shingles: what it needs less what lies beyond them."""
-        return shared >= F.greatest(_need(n_x, n_y, percent) - F.greatest(beyond(n_x), beyond(n_y)), F.lit(1))
-
-    # c, how central a class is: the entries of all the lists that it stands in
-    lengths = lists.groupBy("h").agg(F.count("*").alias("m"))
-    grouped = lists.join(lengths, "h").select("h", "class", "n", "pos", "block", "m", F.col("class").alias("g"))
-    grouped = materialise(_ranked(grouped.withColumn("c", F.sum("m").over(Window.partitionBy("class"))).drop("m")))
-    release(lists)
-    groups = tried = None
-    for _ in range(HUB_ROUNDS):
-        near = materialise(_hub_pairs(grouped, can_match, enough))
-        linked = materialise(_verified(near.select("a", "b"), reps, docs, words, percent).distinct())
-        edges = near.join(linked, ["a", "b"]).select(F.col("g_a").alias("src"), F.col("g_b").alias("dst"))
-        merged = materialise(connected_components(edges))
-        tried = near.select("a", "b") if tried is None else tried.unionByName(near.select("a", "b"))
-        groups = merged if groups is None else materialise(_followed(groups, merged))
-        grouped, before = materialise(_across(grouped, merged)), grouped
-        release(before)
-
-    # last pass: all pairs across groups, by blocks of size, in lists that hold more than one group
-    own = grouped.alias("x")
-    other = grouped.withColumn("meets", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("y")
-    same_list = (F.col("x.h") == F.col("y.h")) & (F.col("x.block") == F.col("y.meets"))
-    once = (F.col("x.block") > F.col("y.block")) | (F.col("x.class") > F.col("y.class"))
-    pairs = own.join(other, same_list & once & (F.col("x.g") != F.col("y.g")) & can_match("x", "y"))
-    pairs = pairs.select(
-        F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b"),
-        F.least("x.n", "y.n").alias("small"), F.greatest("x.n", "y.n").alias("large"),
-    )
-    pairs = pairs.groupBy("a", "b", "small", "large").agg(F.count("*").alias("shared"))
-    pairs = pairs.filter(enough(F.col("shared"), F.col("small"), F.col("large")))
-    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = materialise(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    more = _verified(pairs, reps, docs, words, percent)
-    # links between groups: components of groups, which are few
-    of = groups.select(F.col("node").alias("a"), F.col("component").alias("g_a"))
-    across = more.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("g_a").alias("g_b")), "b", "left")
-    across = across.select(F.coalesce("g_a", "a").alias("src"), F.coalesce("g_b", "b").alias("dst"))
-    merged = connected_components(across)
-
-    named = reps.join(groups, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("g"))
-    named = named.join(merged, F.col("g") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "g").alias("g"))
-    smallest = named.groupBy("g").agg(F.min("rep").alias("component_id"))
-    named = materialise(named.join(smallest, "g").select("class", "component_id"))
-    release(grouped)
-    out = small.join(named, "class", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _class_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, class), (class, rep, docs) and every pair (a, b) of classes that link, a > b.
-
-    No pair is skipped: all that share enough of their first shingles are verified on the whole sets.
-    """
-    sets = materialise(_sets(docs, words, percent, _frequent(docs, words)))
-    reps = materialise(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
-    entry = sets.select("class", "n", F.explode("first").alias("h")).distinct()
-    x, y = entry.alias("x"), entry.alias("y")
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.class") > F.col("y.class")) & sizes)
-    pairs = pairs.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
-        F.count("*").alias("shared"), F.first("x.n").alias("n_a"), F.first("y.n").alias("n_b")
-    )
-    # what is needed less what the larger set has beyond its first shingles
-    beyond = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100.0 - F.lit(1e-9)) - 1
-    pairs = materialise(pairs.filter(F.col("shared") >= _need(F.col("n_a"), F.col("n_b"), percent) - beyond).select("a", "b"))
-    linked = materialise(_verified(pairs, reps, docs, words, percent).distinct())
-    return sets.select("doc_id", "class"), reps, linked
+    with scratch(docs.sparkSession) as keep:
+        rows, reps, tiles, across = _join(docs, words, percent, keep)
+        counted = keep(_by_tile(tiles, _counted, percent, "class bigint, others bigint, to bigint"))
+        edges = counted.select(F.col("class").alias("src"), F.col("to").alias("dst"))
+        groups = keep(connected_components(edges.unionByName(across.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+        both = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(reps.select(F.col("class").alias("b"), F.col("docs").alias("others")), "b").select(F.col("a").alias("class"), "others")
+        others = others.unionByName(counted.select("class", "others")).groupBy("class").agg(F.sum("others").alias("others"))
+        named = reps.join(groups, F.col("class") == F.col("node"), "left").select("class", "rep", "docs", F.coalesce("component", "class").alias("g"))
+        named = keep(named)
+        smallest = keep(named.groupBy("g").agg(F.min("rep").alias("component_id")))
+        named = named.join(smallest, "g").join(others, "class", "left")
+        named = materialise(named.select("class", "component_id", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+        rows = materialise(rows)
+    linked = rows.join(named, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    empty = rows.filter("class IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, linked_id): every link between different texts, once, with the smaller id first; each
-    class of equal sets stands by its smallest doc_id. The pairs of a group of m near copies grow with m * m.
+    class of equal sets stands by its smallest doc_id. The pairs of a group of m near copies grow with
+    m * m: this lists them because it is asked to. Special cases are those of :func:`similar_documents`.
     """
-    _, reps, linked = _class_links(docs.select("doc_id", "text"), words, percent)
-    named = linked.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("x")), "a")
-    named = named.join(reps.select(F.col("class").alias("b"), F.col("rep").alias("y")), "b")
-    return named.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("linked_id"))
-
-
-def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_links) for every row of ``docs``: how many other rows it links with, equal sets included."""
-    small, reps, linked = _class_links(docs.select("doc_id", "text"), words, percent)
-    both = linked.union(linked.select("b", "a"))
-    others = both.join(reps.select(F.col("class").alias("b"), "docs"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("docs").alias("others"))
-    counted = reps.join(others, "class", "left").select("class", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return small.join(counted, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    docs = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession) as keep:
+        _, reps, tiles, across = _join(docs, words, percent, keep)
+        found = _by_tile(tiles, _listed, percent, "a bigint, b bigint").unionByName(across)
+        named = found.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("x")), "a")
+        named = named.join(reps.select(F.col("class").alias("b"), F.col("rep").alias("y")), "b")
+        return materialise(named.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("linked_id")))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

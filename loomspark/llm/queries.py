@@ -124,8 +124,11 @@ e AS (SELECT c, n, unnest(s) AS h FROM c),
 p AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.h = b.h AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
 g AS (SELECT a, min(b) AS g FROM r GROUP BY a),
-k AS (SELECT doc_id, list_sort(s) AS s FROM s)
-SELECT doc_id, len(k.s)::BIGINT AS n_shingles, coalesce(g.g, doc_id) AS component_id FROM k LEFT JOIN c ON c.s = k.s LEFT JOIN g ON g.a = c.c"""
+k AS (SELECT doc_id, list_sort(s) AS s FROM s),
+m AS (SELECT c.c, count(*) AS docs FROM c JOIN k ON c.s = k.s GROUP BY c.c),
+o AS (SELECT m.c, m.docs - 1 + coalesce(sum(x.docs), 0) AS others FROM m LEFT JOIN p ON p.a = m.c LEFT JOIN m x ON x.c = p.b GROUP BY m.c, m.docs)
+SELECT doc_id, len(k.s)::BIGINT AS n_shingles, coalesce(g.g, doc_id) AS component_id, coalesce(o.others, 0)::BIGINT AS n_links
+FROM k LEFT JOIN c ON c.s = k.s LEFT JOIN g ON g.a = c.c LEFT JOIN o ON o.c = c.c"""
 
 
 @query

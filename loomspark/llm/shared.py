@@ -1,15 +1,20 @@
 """What several operators share: tables in the shared folder, components, running sums, words.
 
 Lineage is cut by writing Parquet tables below ``spark.checkpoint.dir`` (read from the session), so a
-lost executor costs a recomputation of its tasks only. Where the setting is absent, as in tests, a
-temporary folder of this process is used.
+lost executor costs a recomputation of its tasks only. Where the setting is absent, a local session
+uses a temporary folder of its process; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="loomspark-"))
     return f"file://{_own_folder[0]}"
@@ -48,6 +55,32 @@ def release(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a :func:`materialise` whose tables are deleted at the end of the block."""
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables.append(materialise(df))
+        return tables[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in tables:
+            release(df)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch with about ``limit`` bytes of a text column each; a longer text is one part."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    turns = np.flatnonzero(np.diff(np.cumsum(size + 1) // limit)) + 1
+    edges = [0, *turns.tolist(), batch.num_rows]
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); component is the smallest node.
 
