@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import marshal
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomspark.llm.shared import slices, worker_table
+
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -35,20 +39,23 @@ _FRESH = [(0, ())]
 class _State:
     __slots__ = ("key", "moves", "rest")
 
-    def __init__(self, key: tuple, rest: tuple) -> None:
+    def __init__(self, key: bytes, rest: tuple) -> None:
         self.key, self.moves, self.rest = key, {}, rest
 
 
 class ByteBpe:
     """One vocabulary: ``encode(text) -> ids``, the same ids as merging by rank.
 
-    ``max_states`` bounds the table of determinised states and ``max_pieces`` that of short pieces with
-    their outputs; a full table is dropped and built anew.
+    ``max_states`` bounds the table of determinised states, ``max_pairs`` that of pairs known to be stable
+    or not, and ``max_pieces`` that of short pieces with their packed outputs; a full table is dropped and
+    built anew. States are kept packed, as most of them are met seldom.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 200_000, max_pieces: int = 400_000) -> None:
+    def __init__(
+        self, ranks: dict[bytes, int], pattern: str, max_states: int = 200_000, max_pieces: int = 300_000, max_pairs: int = 400_000
+    ) -> None:
         self.ranks, self.split, self.max_states = ranks, regex.compile(pattern), max_states
-        self.max_pieces, self.pieces = max_pieces, {}
+        self.max_pairs, self.max_pieces, self.pieces = max_pairs, max_pieces, {}
         self.tokens = {v: k for k, v in ranks.items()}
         self.open = {t[:n] for t in ranks for n in range(len(t))}
         self.stable: dict[tuple[int, int], bool] = {}
@@ -56,11 +63,11 @@ class ByteBpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
+        self.states: dict[bytes, _State] = {}
         self.start = self._state(-1, b"", ((0, ()),))
 
     def _state(self, last: int, text: bytes, live: tuple) -> _State:
-        key = (last, text, live)
+        key = marshal.dumps((last, text, live), 2)  # this version writes equal values to equal bytes
         if (found := self.states.get(key)) is None:
             found = self.states[key] = _State(key, live[-1][1])
         return found
@@ -91,7 +98,7 @@ class ByteBpe:
         if a < 0:
             return True
         if (known := self.stable.get((a, b))) is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > self.max_pairs:
                 self.stable.clear()
             known = self.stable[a, b] = self._faces(a, b)
         return known
@@ -110,7 +117,7 @@ class ByteBpe:
                 return True
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple]:
-        last, text, live = state.key
+        last, text, live = marshal.loads(state.key)
         text += _BYTES[byte]
         ranks, open_, stay, ending = self.ranks, self.open, [], None
         for start in live:  # the earliest start gives the longest token
@@ -156,30 +163,39 @@ class ByteBpe:
                 out += to[1]
         out += state.rest
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known, most = self.pieces, self.max_pieces
-        for piece in self.split.findall(text or ""):
+    def packed(self, text: str | None) -> bytes:
+        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
+        known, pieces = self.pieces, self.split.findall(text or "")
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:  # some piece is new
+            out = []
+        for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                self.encode_piece(piece.encode("utf-8"), ids := [])
+                self.encode_piece(piece.encode("utf-8"), new := [])
+                ids = struct.pack(f"<{len(new)}I", *new)
                 if len(piece) <= 24:
-                    if len(known) >= most:
+                    if len(known) >= self.max_pieces:
                         known.clear()
                     known[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
 
 class Utf8Decoder:
     """Feed ids one by one or in blocks; ``feed`` returns the text that is certain so far.
 
-    The machine's state is the bytes of an unfinished character. Moves by (state, token) are kept.
+    The machine's state is the bytes of an unfinished character. Moves by (state, token) are kept; those
+    that begin and end between characters are also kept by token, and a block of them is one lookup each.
     Bytes that can begin no character become U+FFFD, as Python's ``errors="replace"`` does.
     """
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
-        self.tokens, self.state, self.moves = tokens, b"", {}
+        self.tokens, self.state, self.moves, self.whole = tokens, b"", {}, {}
 
     @staticmethod
     def _need(lead: int) -> tuple[int, int, int]:
@@ -210,10 +226,17 @@ class Utf8Decoder:
             at, more = self._step(at, byte)
             text.append(more)
         self.moves[state, token] = to = (at, "".join(text))
+        if not state and not at:
+            self.whole[token] = to[1]
         return to
 
     def feed(self, ids: Iterable[int]) -> str:
         out, state, moves = [], self.state, self.moves
+        if not state:
+            try:
+                return "".join(map(self.whole.__getitem__, ids))
+            except KeyError:  # a token is new or breaks a character
+                pass
         for token in ids:
             to = moves.get((state, token)) or self._token(state, token)
             state = to[0]
@@ -230,18 +253,17 @@ class Utf8Decoder:
         return self.feed(ids) + self.close()
 
 
-_codecs: dict[tuple[str, str], tuple[ByteBpe, Utf8Decoder]] = {}
-
-
 def codec(path: str, pattern: str) -> tuple[ByteBpe, Utf8Decoder]:
-    """The codec of this Python worker; it lives as long as the worker."""
-    if (path, pattern) not in _codecs:
+    """The codec of this Python worker, which keeps it until another operator needs the room."""
+
+    def build() -> tuple[ByteBpe, Utf8Decoder]:
         bpe = ByteBpe(load_ranks(path), pattern)
         # the tables hold no cycles; without this the collector walks them again and again as they grow
         gc.freeze()
         gc.set_threshold(500_000, 100, 100)
-        _codecs[path, pattern] = (bpe, Utf8Decoder(bpe.tokens))
-    return _codecs[path, pattern]
+        return bpe, Utf8Decoder(bpe.tokens)
+
+    return worker_table("bpe", (path, pattern), build)
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -259,19 +281,19 @@ def _map(df: DataFrame, text: str, vocabulary: tuple[str, str], columns: str, di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, decoder = codec(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = [np.array(bpe.encode(t.as_py()), "<u4") for t in part.column(text)]
-                count = pa.array([len(x) for x in ids], pa.int64())
+            for part in slices(batch, text):
+                ids = [bpe.packed(t) for t in part.column(text).to_pylist()]
+                count = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:
+                    texts = (decoder.decode(np.frombuffer(x, "<u4").tolist()) for x in ids)
                     made = [
                         count,
-                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(decoder.decode(x.tolist()).encode("utf-8")).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                        pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts]),
                     ]
                 else:
-                    flat = np.concatenate(ids).astype("i4") if ids else np.zeros(0, "i4")
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
+                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4")
                     made = [count, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
                 new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names + new)
@@ -282,8 +304,9 @@ def _map(df: DataFrame, text: str, vocabulary: tuple[str, str], columns: str, di
 def encode(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Replace column ``text`` by n_tokens (long) and ids (array of int); other columns stay.
 
-    Null and empty texts give no tokens. Rows are independent: repeated rows give repeated results.
-    Columns named n_tokens or ids in the input are replaced.
+    Null and empty texts give no tokens, an empty table gives an empty result. Rows are independent:
+    repeated rows give repeated results. Texts of any length are encoded whole, one at a time; a text and
+    its tokens must fit into a worker. Columns named n_tokens or ids in the input are replaced.
     """
     df = df.drop("n_tokens", "ids")
     return _map(df, text, vocabulary or default_vocabulary(), "n_tokens bigint, ids array<int>", digest=False)

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.shared import slices
+
 CHUNK, WIDTH, FILTERS = 256, 5, 16
-#: Labelled rows at most that training sees, by label, and characters of each of them. More good than bad
-#: rows, as in the corpus: doubt then counts for the text.
-SAMPLE, SAMPLE_CHARS = {0: 1000, 1: 2500}, 4096
+#: Labelled rows at most that training sees, by label, with their whole texts. More good than bad rows, as
+#: in the corpus: doubt then counts for the text.
+SAMPLE = {0: 1000, 1: 2500}
 #: Chunks convolved at a time: 1 MB of responses.
 BLOCK = 64
 
@@ -124,9 +126,10 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, **options) -> ByteCnn:
     """Train on at most ``sample`` labelled rows of each class, outside the held-out fold.
 
-    The rows with the smallest hashes are taken; their number and the characters read of each are
-    bounded, so what reaches the driver does not grow with the input (15 MB of text here). Without
-    labels of both classes the network gives a constant: the only label's, or 1.
+    The rows with the smallest hashes are taken; their number is bounded, so what reaches the driver
+    does not grow with the input. Null texts are left out; of an id that documents or labels repeat, the
+    rows first in order are taken. Without labels of both classes the network gives a constant: the only
+    label's, or 1.
     """
     known = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_y"))
     picked = None
@@ -134,11 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE, **o
         # top-k by hash, a bounded number of rows and therefore safe to broadcast
         some = known.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
         picked = some if picked is None else picked.unionByName(some)
-    # half of the characters from either end, so that long texts show both
-    half = SAMPLE_CHARS // 2
-    text = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat(F.left("text", F.lit(half)), F.right("text", F.lit(half))))
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", text.alias("text"), "_y").filter("text IS NOT NULL")
-    rows = sorted(rows.limit(2 * sum(sample.values())).collect(), key=lambda r: (r.doc_id, r.text))
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y").filter("text IS NOT NULL")
+    # a top-k: more rows than labels there are only where ids repeat
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "_y").limit(sum(sample.values())).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r._y))
     return train([r.text for r in rows], [r._y for r in rows], **options)
 
 
@@ -153,10 +155,10 @@ def score(docs: DataFrame, net: ByteCnn, least: float = 0.7) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                part = batch.slice(start, 100)
-                p = shared.value.score([t.as_py() for t in part.column("text")])
+            for part in slices(batch, "text", 1 << 18):
+                p = net.score(part.column("text").to_pylist())
                 made = [pa.array(p, pa.float64()), pa.array((p >= least).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "score", "predicted"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from loomspark.llm.shared import connected_components, materialise, scratch, slices
+from loomspark.llm.shared import connected_components, materialise, scratch, slices, worker_table
 
 WORDS, PERCENT = 5, 75
 #: A shingle that so many sets hold counts as frequent, if an Arrow slice holds it twice somewhere.
@@ -37,7 +37,7 @@ OFTEN = 12
 FILTER_BITS = 1 << 23
 MOST_FREQUENT = FILTER_BITS // 16
 #: Bytes of text whose shingles are counted together.
-COUNTED_TOGETHER = 8 << 20
+COUNTED_TOGETHER = 4 << 20
 #: Least similarity, in percent, to the pivot that a set is derived from.
 PIVOT_PERCENT = 50
 #: Sets and bytes of differences in one block of a tile; a tile compares two blocks.
@@ -82,9 +82,6 @@ class _Tables:
         return self.up[:n], self.down
 
 
-_tables = _Tables()
-
-
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its word shingles, A-Z folded; int64.
 
@@ -107,17 +104,18 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 def _hashed(texts: list[bytes], words: int) -> list[np.ndarray]:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    up, down = _tables.powers(len(raw))
-    space = _tables.space[raw]
+    tables = worker_table("jaccard", words, _Tables)
+    up, down = tables.powers(len(raw))
+    space = tables.space[raw]
     turns = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         turns = np.concatenate([[0], turns])
     starts, ends = turns[::2], turns[1::2]
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_tables.value[raw] * up, dtype=np.uint64)])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(tables.value[raw] * up, dtype=np.uint64)])
     word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    linear = word * _tables.factors[0]
+    linear = word * tables.factors[0]
     for k in range(1, words):
-        linear[: len(word) - k] += word[k:] * _tables.factors[k]
+        linear[: len(word) - k] += word[k:] * tables.factors[k]
     shingle = _mix(linear).view(np.int64)
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
     found = []
@@ -127,7 +125,7 @@ def _hashed(texts: list[bytes], words: int) -> list[np.ndarray]:
             some = np.sort(shingle[first : last - words + 1])
             found.append(some[np.concatenate([[True], some[1:] != some[:-1]])])
         elif n:  # the whole sequence, told apart from others by its length
-            short = (word[first:last] * _tables.factors[:n]).sum(dtype=np.uint64) + np.uint64(n)
+            short = (word[first:last] * tables.factors[:n]).sum(dtype=np.uint64) + np.uint64(n)
             found.append(_mix(np.array([short])).view(np.int64))
         else:
             found.append(np.zeros(0, np.int64))

@@ -1,28 +1,32 @@
 """Operator 8: line dedup by pairwise alignment.
 
-Overlapping documents are found through the hashes of their lines: every line that a document shares
-with an earlier one leads to the earliest document that holds it. That is one pair a line at most, so
-lines in very many documents need no cut-off by document frequency: a rare line and a frequent one cost
-the same. A pair is aligned by patience diff: lines that stand once on both sides, the longest
-increasing run of their positions, and the equal lines around each of them; where no line stands once
-on both sides, by a longest common subsequence. Lines that stay unaligned are tried with the next
-holders in turn, until each is aligned or has met all its earlier holders. A document aligns a line at
-least with every holder it tries, so its lines bound the holders it tries, however many there are.
-Aligned blocks of at least ``min_words`` words are deleted from the later document.
+Documents overlap where they share a block: consecutive lines with ``min_words`` words or more. Every block
+is covered by its shortest parts of that many words, so these are what is hashed (128 bits) and looked up:
+mostly single lines, and runs of lines where lines are short. Each shared part leads to the earliest
+document that holds it. That is one pair a part at most, so parts in very many documents need no cut-off
+by document frequency: a rare one and a frequent one cost the same. A pair is aligned by patience diff:
+parts that stand once on both sides, the longest increasing run of their positions, and the equal parts
+around each of them; where none stands once on both sides, by a longest common subsequence. Parts that
+stay unaligned are tried with the next holders in turn, until each is aligned or has met all its earlier
+holders. A document aligns a part at least with every holder it tries, so its parts bound the holders it
+tries, however many there are. Aligned parts are deleted from the later document; as each of them is whole
+in one earlier document, no block is put together from several.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import WORD, materialise
+from loomspark.llm.shared import WORD, materialise, scratch, slices
 
 #: Blocks of fewer words stay.
 MIN_WORDS = 8
@@ -31,6 +35,53 @@ TABLE_BITS = 1 << 27
 #: Most holders of a line that one round tries; rounds start with one and double.
 MOST_HOLDERS = 512
 
+_SPACE, _FIND = " \t\n\v\f\r", re.compile(WORD)
+
+
+def least_blocks(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, key) of the shortest runs of lines with ``min_words`` words or more, one from
+    each line on and one up to each line. Lines are split at \\n and compared without outer white space;
+    those without a word are passed over: between two lines of a run they belong to it."""
+    stripped = [(pos, line.strip(_SPACE)) for pos, line in enumerate(text.split("\n"))]
+    lines = [(pos, line, len(_FIND.findall(line))) for pos, line in stripped if line]
+    runs, end, words = [], 0, 0
+    for start in range(len(lines)):
+        while words < min_words and end < len(lines):
+            words += lines[end][2]
+            end += 1
+        if words < min_words:
+            break
+        runs.append((start, end))
+        words -= lines[start][2]
+    known, start, words = set(runs), 0, 0
+    for end, (_, _, count) in enumerate(lines, 1):
+        words += count
+        while words - lines[start][2] >= min_words:
+            words -= lines[start][2]
+            start += 1
+        if words >= min_words and (start, end) not in known:
+            runs.append((start, end))
+    key = lambda a, b: blake2b("\n".join(x[1] for x in lines[a:b]).encode("utf-8"), digest_size=16).digest()
+    return [(lines[a][0], lines[b - 1][0], key(a, b)) for a, b in sorted(runs)]
+
+
+def _parts(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, tid, pos, first, last, key): the shortest blocks of each text, in order; tid tells texts apart."""
+    docs = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tid"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text"):
+                found = [least_blocks(t, min_words) for t in rows.column("text").to_pylist()]
+                at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                made = [pa.array([k for x in found for k in range(len(x))], pa.int32())]
+                made += [pa.array([part[c] for x in found for part in x], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+                columns = [rows.column(c).take(at) for c in ("doc_id", "tid")]
+                yield pa.RecordBatch.from_arrays(columns + made, ["doc_id", "tid", "pos", "first", "last", "key"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, tid bigint, pos int, first int, last int, key binary")
+
 
 def increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence, by patience sorting."""
@@ -95,8 +146,8 @@ def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_lines(later: list[int], earlier: list[int]) -> list[int]:
-    """Positions in ``later`` that a patience diff aligns with ``earlier`` (lists of line keys)."""
+def aligned(later: list, earlier: list) -> list[int]:
+    """Positions in ``later`` that a patience diff aligns with ``earlier`` (lists of keys)."""
     matched: dict[int, int] = {}
     stack = [(0, len(later), 0, len(earlier))]
     while stack:
@@ -129,17 +180,17 @@ def aligned_lines(later: list[int], earlier: list[int]) -> list[int]:
 
 
 def _aligned(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(doc_id, hit, left) for lines to align (doc_id, pos, key, partner) and those of the partners
-    (partner, key, pos): positions aligned with a partner, and lines aligned with none.
+    """(doc_id, tid, hit, left) for parts to align (doc_id, tid, pos, key, partner) and those of the partners
+    (partner, key, pos): parts aligned with a partner, and those aligned with none.
 
-    A document's partners are tried from the earliest on, each with the lines still unaligned then.
+    A document's partners are tried from the earliest on, each with the parts still unaligned then.
     """
     entries = F.sort_array(F.collect_set(F.struct("partner", "pos", "key")))
-    later = pairs.groupBy("doc_id").agg(entries.alias("later"))
-    # the earlier side: its lines that some later document shares, once a pair
-    wanted = pairs.select("doc_id", "partner", "key").distinct()
-    earlier = wanted.join(held, ["partner", "key"]).groupBy("doc_id").agg(entries.alias("earlier"))
-    both = later.join(earlier, "doc_id")
+    later = pairs.groupBy("doc_id", "tid").agg(entries.alias("later"))
+    # the earlier side: its parts that some later document shares, once a pair
+    wanted = pairs.select("doc_id", "tid", "partner", "key").distinct()
+    earlier = wanted.join(held, ["partner", "key"]).groupBy("doc_id", "tid").agg(entries.alias("earlier"))
+    both = later.join(earlier, ["doc_id", "tid"])
     kind = pairs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,62 +198,48 @@ def _aligned(pairs: DataFrame, held: DataFrame) -> DataFrame:
             hits, rest = [], []
             for later, earlier in zip(batch.column("later"), batch.column("earlier"), strict=True):
                 theirs = {p: [x["key"] for x in some] for p, some in groupby(earlier.as_py(), lambda x: x["partner"])}
-                hit, last = set(), {}
+                hit, last = {}, {}
                 for partner, some in groupby(later.as_py(), lambda x: x["partner"]):
-                    some = [x for x in some if x["pos"] not in hit]
-                    hit.update(some[i]["pos"] for i in aligned_lines([x["key"] for x in some], theirs[partner]))
+                    some = [x for x in some if (x["pos"], x["key"]) not in hit]
+                    for i in aligned([x["key"] for x in some], theirs[partner]):
+                        hit[some[i]["pos"], some[i]["key"]] = some[i]
                     last.update(((x["pos"], x["key"]), x) for x in some)
-                hits.append(sorted(hit))
-                rest.append([x for x in last.values() if x["pos"] not in hit])
-            columns = [batch.column("doc_id"), pa.array(hits, pa.list_(pa.int32())), pa.array(rest, batch.column("later").type)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hit", "left"])
+                hits.append([hit[k] for k in sorted(hit)])
+                rest.append([x for k, x in last.items() if k not in hit])
+            kind = batch.column("later").type
+            columns = [batch.column("doc_id"), batch.column("tid"), pa.array(hits, kind), pa.array(rest, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tid", "hit", "left"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, hit array<int>, left array<struct<partner: {kind}, pos: int, key: bigint>>")
+    part = f"array<struct<partner: {kind}, pos: int, key: binary>>"
+    return both.mapInArrow(run, f"doc_id {kind}, tid bigint, hit {part}, left {part}")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, deleted): sorted positions of the lines to delete, for documents that lose any.
-
-    Lines are split at \\n and compared without outer white space; those without a word never match, but
-    do not end a block either: between two of its lines they belong to it.
-    """
-    strip = lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    numbered = F.transform(F.split("text", "\n"), lambda x, pos: F.struct(pos.alias("pos"), strip(x).alias("line")))
-    numbered = F.filter(numbered, lambda x: x["line"] != "")
-    # n counts the lines that have a word
-    lines = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.posexplode(numbered).alias("n", "l"))
-    lines = lines.select("doc_id", "l.pos", "n", F.xxhash64("l.line").alias("key"), F.regexp_count("l.line", F.lit(WORD)).alias("words"))
-    lines = materialise(lines)
-    # the earliest holder of each line that several documents hold
-    held = lines.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("last")).filter("earliest < last").drop("last")
-    shared = materialise(lines.join(held, "key"))
-    partners = shared.select(F.col("doc_id").alias("partner"), "key", "pos")
-    pairs = shared.filter("doc_id > earliest").select("doc_id", "pos", "key", F.col("earliest").alias("partner"))
-    tried = materialise(_aligned(pairs, shared.filter("doc_id = earliest").select(F.col("doc_id").alias("partner"), "key", "pos")))
-    found, most = [tried], 1
-    while not tried.isEmpty():
-        # what is left goes on to the holders after the last one tried, which is the same for a line everywhere
-        left = tried.select("doc_id", F.explode("left").alias("l")).select("doc_id", "l.pos", "l.key", "l.partner")
-        after = left.groupBy("key").agg(F.max("partner").alias("after"), F.max("doc_id").alias("last"))
-        later = shared.join(after, "key").filter("doc_id > after AND doc_id < last").select("key", F.col("doc_id").alias("partner")).distinct()
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("partner"))
-        holders = later.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
-        most = min(2 * most, MOST_HOLDERS)
-        holders = materialise(holders)
-        pairs = left.drop("partner").join(holders, "key").filter("doc_id > partner")
-        tried = materialise(_aligned(pairs, partners.join(holders, ["partner", "key"])))
-        found.append(tried)
-
-    hits = reduce(DataFrame.unionByName, found).select("doc_id", F.explode("hit").alias("pos")).distinct()
-    # blocks over all of a document's alignments; line by line, as the words of a block decide
-    hits = lines.select("doc_id", "pos", "n", "words").distinct().join(hits, ["doc_id", "pos"])
-    ordered = Window.partitionBy("doc_id").orderBy("n", "pos")
-    island = F.col("n") - F.row_number().over(ordered)
-    # the lines between a hit and the next one of its block have no word
-    to = F.when(F.lead("n").over(ordered) == F.col("n") + 1, F.lead("pos").over(ordered) - 1).otherwise(F.col("pos"))
-    blocks = hits.withColumns({"island": island, "at": F.sequence("pos", F.greatest("pos", to))})
-    large = blocks.groupBy("doc_id", "island").agg(F.sum("words").alias("w"), F.flatten(F.collect_list("at")).alias("at")).filter(F.col("w") >= min_words)
-    return large.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("deleted"))
+    """(doc_id, tid, deleted): sorted positions of the lines to delete, for texts that lose any."""
+    with scratch(docs.sparkSession) as keep:
+        parts = keep(_parts(docs, min_words))
+        # the earliest holder of each part that several documents hold
+        held = parts.groupBy("key").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).filter("earliest < latest")
+        shared = keep(parts.join(keep(held.drop("latest")), "key"))
+        partners = shared.select(F.col("doc_id").alias("partner"), "key", "pos")
+        pairs = shared.filter("doc_id > earliest").select("doc_id", "tid", "pos", "key", F.col("earliest").alias("partner"))
+        tried = keep(_aligned(pairs, shared.filter("doc_id = earliest").select(F.col("doc_id").alias("partner"), "key", "pos")))
+        found, most = [tried], 1
+        while not tried.isEmpty():
+            # what is left goes on to the holders after the last one tried, which is the same for a part everywhere
+            left = tried.select("doc_id", "tid", F.explode("left").alias("l")).select("doc_id", "tid", "l.pos", "l.key", "l.partner")
+            after = keep(left.groupBy("key").agg(F.max("partner").alias("after"), F.max("doc_id").alias("latest")))
+            later = shared.join(after, "key").filter("doc_id > after AND doc_id < latest").select("key", F.col("doc_id").alias("partner")).distinct()
+            nth = F.row_number().over(Window.partitionBy("key").orderBy("partner"))
+            holders = keep(later.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth"))
+            most = min(2 * most, MOST_HOLDERS)
+            pairs = left.drop("partner").join(holders, "key").filter("doc_id > partner")
+            tried = keep(_aligned(pairs, partners.join(holders, ["partner", "key"])))
+            found.append(tried)
+        hits = reduce(DataFrame.unionByName, found).select("doc_id", "tid", F.explode("hit").alias("x")).select("doc_id", "tid", "x.pos").distinct()
+        hits = shared.select("doc_id", "tid", "pos", "first", "last").distinct().join(hits, ["doc_id", "tid", "pos"])
+        lines = F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))))
+        return materialise(hits.groupBy("doc_id", "tid").agg(lines.alias("deleted")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -210,21 +247,23 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     The document with the smaller doc_id keeps a block. Documents that lose nothing keep their text to
     the byte, null and empty ones too; a document that loses every line has an empty text. Rows that
-    repeat a doc_id are one document to the aligner: they share its deletions, and no row of an id
-    deletes lines from another row of it. Rows with a null doc_id stay as they are. Columns n_lines and
+    repeat a doc_id are aligned one by one, but no row of an id deletes lines from another row of it; to
+    later documents they are one. Rows with a null doc_id stay as they are. Of
+    equal partners the earliest counts, and of equally long alignments the one that a patience diff meets
+    first. Texts of any length are read whole. An empty table gives an empty result. Columns n_lines and
     n_deleted of the input are replaced; other columns stay.
     """
     docs = docs.drop("n_lines", "n_deleted")
-    gone = materialise(deletions(docs.select("doc_id", "text"), min_words)).withColumnRenamed("doc_id", "_id")
+    gone = deletions(docs.select("doc_id", "text"), min_words).withColumnsRenamed({"doc_id": "_id", "deleted": "_deleted", "tid": "_tid"})
     # the deletions grow with the documents: a merge join at every size
-    out = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    out = docs.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tid")), "left")
     kept = F.expr(
-        "transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), deleted), i -> l[i]), '\n'))[0]"
+        "transform(array(split(text, '\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), _deleted), i -> l[i]), '\n'))[0]"
     )
     return out.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
-            "n_deleted": F.coalesce(F.size("deleted"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept),
+            "n_deleted": F.coalesce(F.size("_deleted"), F.lit(0)).cast("long"),
+            "text": F.when(F.col("_deleted").isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("deleted")
+    ).drop("_deleted", "_id", "_tid")

@@ -81,6 +81,7 @@ def mix(
     most: float = 2.0,
     schedules: tuple = SCHEDULES,
     rows: int | None = None,
+    words: str | None = None,
 ) -> DataFrame:
     """Add size, source_size, target, taken, copies and positions (the time of each copy) to ``docs``.
 
@@ -88,10 +89,12 @@ def mix(
     floor(target / source size) times, and once more if it starts before the rest of the target is
     filled, so a source's words overshoot its target by less than one document. positions is empty
     where nothing is taken. A null source is a source of its own, the last; a null text has size 0 and
-    is never taken. Repeated rows are separate documents. Columns of the names added are replaced.
+    is never taken. Repeated rows are separate documents. Columns of the names added are replaced, and an
+    empty table gives an empty result. Reruns agree: nothing depends on the order of the rows. ``words``
+    names a column that has the sizes already, so that texts, of any length, need not be read again.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "copies", "positions")
-    docs = docs.withColumn("size", word_count(F.col("text")))
+    size = F.col(words) if words else word_count(F.col("text"))
+    docs = docs.withColumn("_size", size).drop("size", "source_size", "target", "taken", "copies", "positions").withColumnRenamed("_size", "size")
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     totals = materialise(totals)
     rows = rows or (totals.agg(F.sum("_rows")).first()[0] or 0)
@@ -123,8 +126,9 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 
 def documents_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each row of ``mixed``: ``columns``, and taken as the words of its copies in training
-    order. Rows stand in the order of their first copy; those never taken come last.
+    """One row for each row of ``mixed``: ``columns``, taken as the words of its copies in training order,
+    copies, and first_position and last_position in the training order (0 to 1; null if never taken).
+    Rows stand in the order of their first copy; those never taken come last.
 
     The copies are written with their positions, range-sorted, and summed from that table.
     """
@@ -133,6 +137,19 @@ def documents_in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     copies = materialise(copies.orderBy(F.col("position").asc_nulls_last(), "doc_id", "_row"))
     words = F.when(F.col("position").between(0.0, 1.0), F.col("size")).otherwise(0)
     out = copies.groupBy("_row").agg(
-        *(F.first(c).alias(c) for c in columns), F.sum(words).alias("taken"), F.min("position").alias("_first")
-    )
-    return out.orderBy(F.col("_first").asc_nulls_last(), "doc_id", "_row").select(*columns, "taken")
+        *(F.first(c).alias(c) for c in columns), F.sum(words).alias("taken"), F.count("position").alias("copies"),
+        F.min("position").alias("first_position"), F.max("position").alias("last_position"),
+    )
+    out = out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id", "_row")
+    return out.select(*columns, "taken", "copies", "first_position", "last_position")
+
+
+def time_sql(share: str, place: str, schedules: tuple = SCHEDULES) -> str:
+    """:func:`time_of` as SQL."""
+    kinds = []
+    for k, schedule in enumerate(schedules):
+        pieces = _segments(schedule)
+        at = [f"{t!r} + 2.0::DOUBLE * ({share} - {d!r}) / ({w!r} + sqrt(greatest({w * w!r} + {2 * m!r} * ({share} - {d!r}), 0)))" for t, w, m, d in pieces]
+        inside = "".join(f"WHEN {share} < {after[3]!r} THEN {x} " for x, after in zip(at, pieces[1:], strict=False))
+        kinds.append(f"WHEN {k} THEN " + (f"CASE {inside}ELSE {at[-1]} END" if inside else at[-1]))
+    return f"round(least(CASE {place} % {len(schedules)} {' '.join(kinds)} END, 1.0), 9)"

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import bpe, byte_cnn, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts, url_filters, vector_dedup
+from loomspark.llm.shared import materialise, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,12 +57,13 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    # the SQL fixes the columns; the order of the rows is that of the curriculum
-    return mixing.documents_in_order(mixed, ["doc_id", "size", "source_size", "target"])
+    # the texts are read once, for their sizes
+    sized = materialise(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
+    return mixing.documents_in_order(mixing.mix(sized, words="words"), ["doc_id", "size", "source_size", "target"])
 
 
-ORACLE_SQL["op9_source_mix"] = r"""
+ORACLE_SQL["op9_source_mix"] = (
+    r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
@@ -69,12 +72,16 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(bound) OV
   FROM b WINDOW o AS (ORDER BY bound / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, first_value(CASE WHEN level * weight <= bound THEN level END IGNORE NULLS)
   OVER (ORDER BY bound / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_level FROM l),
-t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(coalesce(first_level * weight, bound), bound) END::DOUBLE AS target FROM f),
-c AS (SELECT doc_id, size, source_size, target, floor(target / source_size)::BIGINT AS whole,
+t AS (SELECT source, source_size, place, CASE WHEN source_size = 0 THEN 0 ELSE least(coalesce(first_level * weight, bound), bound) END::DOUBLE AS target FROM f),
+c AS (SELECT doc_id, size, source_size, target, place, floor(target / source_size)::BIGINT AS whole,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix-1-' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size = 0 THEN 0 ELSE size * (whole + CASE WHEN start < target - whole * source_size AND whole < 2 THEN 1 ELSE 0 END) END::BIGINT AS taken FROM c"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN start < target - whole * source_size AND whole < 2 THEN 1 ELSE 0 END END::BIGINT AS copies FROM c)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
+"""
+    + f"""  CASE WHEN copies > 0 THEN {mixing.time_sql("(start / target)", "place")} END AS first_position,
+  CASE WHEN copies > 0 THEN {mixing.time_sql("((start + (copies - 1) * source_size) / target)", "place")} END AS last_position FROM n"""
+)
 
 ORACLE_SQL["op2_url_filters"] = r"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),

@@ -23,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Mixed into the hash that orders documents inside a source.
 SHARES_SEED = "mix-1"
 _own_folder: list[str] = []
+_worker: list[tuple[tuple, object]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,6 +72,22 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             release(df)
 
 
+def worker_table(operator: str, key: object, build: Callable[[], object]) -> object:
+    """``build()`` for (operator, key), kept by this Python worker. A worker serves the stages of all
+    operators in turn and keeps the tables of one only, so that their sizes do not add up."""
+    if not _worker or _worker[0][0] != (operator, key):
+        _worker.clear()
+        _worker.append(((operator, key), build()))
+    return _worker[0][1]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand whole texts to Python in batches of at most ``rows`` rows from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch with about ``limit`` bytes of a text column each; a longer text is one part."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe import codec, default_vocabulary
+from loomspark.llm.bpe import ByteBpe, codec, default_vocabulary
+from loomspark.llm.shared import slices
 
 #: "first": the section with the token's first byte. "majority": the one with most of its bytes, the
 #: earlier one if equal. "share": each section gets the share of the token's bytes that lies in it.
@@ -38,83 +40,105 @@ def field_sections(df: DataFrame, fields: list[str], separator: str = "\n") -> D
     return df.withColumns({"text": F.concat_ws(separator, *parts), "section_lengths": F.array(*lengths)})
 
 
-def _bytes_before(text: str, data: bytes, chars: np.ndarray) -> np.ndarray:
-    """Byte offsets of the given character offsets."""
-    if len(data) == len(text):
-        return chars
-    starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return np.append(starts, len(data))[chars]
-
-
 def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of each section, crossing tokens that touch it) for byte offsets; both tile the text."""
+    """(tokens of each section, crossing tokens that touch it) for byte offsets; both tile the same bytes.
+
+    Several texts may stand one after the other, as no token reaches from one into the next. Empty
+    sections hold no byte: the search passes over them.
+    """
     count = len(section_ends)
-    tokens, crossing = np.zeros(count), np.zeros(count, np.int64)
     if not len(token_ends) or not count:
-        return tokens, crossing
+        return np.zeros(count), np.zeros(count, np.int64)
     starts = np.concatenate([[0], token_ends[:-1]])
     section_starts = np.concatenate([[0], section_ends[:-1]])
-    # empty sections hold no byte: the search passes over them
     first = np.searchsorted(section_ends, starts, side="right")
     last = np.searchsorted(section_ends, token_ends - 1, side="right")
     inside = first == last
-    tokens += np.bincount(first[inside], minlength=count)
-    for s, e, f, t in zip(starts[~inside], token_ends[~inside], first[~inside], last[~inside], strict=True):
-        overlap = np.minimum(section_ends[f : t + 1], e) - np.maximum(section_starts[f : t + 1], s)
-        crossing[f : t + 1] += overlap > 0
-        if rule == "share":
-            tokens[f : t + 1] += overlap / (e - s)
-        else:
-            tokens[f if rule == "first" else f + int(overlap.argmax())] += 1
+    tokens = np.bincount(first[inside], minlength=count).astype(np.float64)
+    # one row for each crossing token and section from its first to its last one
+    across = np.flatnonzero(~inside)
+    spans = last[across] - first[across] + 1
+    begin = np.cumsum(spans) - spans
+    token = np.repeat(np.arange(len(across)), spans)
+    section = first[across][token] + np.arange(len(token)) - begin[token]
+    ends, starts = token_ends[across], starts[across]
+    overlap = np.minimum(section_ends[section], ends[token]) - np.maximum(section_starts[section], starts[token])
+    crossing = np.bincount(section[overlap > 0], minlength=count)
+    if rule == "share":
+        tokens += np.bincount(section, overlap / (ends - starts)[token], minlength=count)
+    elif rule == "first":
+        tokens += np.bincount(first[across], minlength=count)
+    elif len(across):
+        most = np.maximum.reduceat(overlap, begin)
+        # of equal overlaps the earlier section: the first row of the token that has the most
+        best = np.flatnonzero(overlap == most[token])
+        tokens += np.bincount(section[best[np.unique(token[best], return_index=True)[1]]], minlength=count)
     return tokens, crossing
 
 
+def _lengths(path: str, pattern: str) -> tuple[ByteBpe, np.ndarray]:
+    """The codec and the bytes of each token, once a worker."""
+    bpe, decoder = codec(path, pattern)
+    if not hasattr(bpe, "lengths"):
+        bpe.lengths = np.zeros(max(bpe.tokens) + 1, np.int64)
+        bpe.lengths[list(bpe.tokens)] = [len(x) for x in bpe.tokens.values()]
+    return bpe, bpe.lengths
+
+
+def _part(bpe: ByteBpe, length: np.ndarray, texts: pa.Array, sizes: pa.Array, rule: str) -> tuple[np.ndarray, ...]:
+    """(row, section, n_chars, n_tokens, n_crossing) of some texts with a section or more, worked out
+    together: their bytes stand one after the other, and so do their characters, tokens and sections."""
+    words = texts.to_pylist()
+    data = b"".join(w.encode("utf-8") for w in words)
+    count = np.array(pc.list_value_length(sizes).to_numpy(zero_copy_only=False), np.int64)
+    flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = np.array([len(w) for w in words], np.int64)
+    row = np.repeat(np.arange(len(words)), count)
+    # ends of the sections in characters of their own text; the last one takes what is left
+    last = np.cumsum(count) - 1
+    running = np.cumsum(flat)
+    before = np.concatenate([[0], running])[np.cumsum(count) - count]
+    ends = np.minimum(running - before[row], chars[row])
+    ends[last] = chars
+    base = np.cumsum(chars) - chars
+    # byte offsets of characters
+    starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    offset = np.append(starts, len(data))
+    section_ends = offset[ends + base[row]]
+    ids = np.frombuffer(b"".join(bpe.packed(w) for w in words), "<u4")
+    token_ends = np.cumsum(length[ids])
+    n, c = allocate(token_ends, section_ends, rule)
+    start = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+    before = np.where(start > 0, np.concatenate([[0], ends[:-1]]), 0) if len(ends) else ends
+    return row, start, ends - before, n, c
+
+
 def attribute(docs: DataFrame, rule: str = "majority", text: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """One row for each section of each row of ``docs`` (``text``, ``section_lengths`` in characters).
 
     Returns the other columns, section (int, from 0), n_chars (long), n_tokens (long; double for the rule
     "share") and n_crossing (long: boundary-crossing tokens that touch the section). The n_tokens of a row
     add up to the tokens of its whole text. Sections tile the text: characters past the last one belong
-    to it. A null text or null lengths give no row, an empty text its sections with no token. Repeated
-    rows give repeated results; columns of the names added are replaced.
+    to it. A null text, null or no lengths give no row, an empty text its sections with no token, an empty
+    table an empty result. Repeated rows give repeated results; columns of the names added are replaced.
+    A text of any length is encoded whole, in one row; lengths past the end of the text count as 0.
     """
     if rule not in BOUNDARY_RULES:
         raise ValueError(f"rule must be one of {BOUNDARY_RULES}")
     path, pattern = vocabulary or default_vocabulary()
-    docs = docs.drop("section", "n_chars", "n_tokens", "n_crossing").filter(F.col(text).isNotNull() & F.col("section_lengths").isNotNull())
+    docs = docs.drop("section", "n_chars", "n_tokens", "n_crossing").filter(F.col(text).isNotNull() & (F.size("section_lengths") > 0))
     keep = [f for f in docs.schema.fields if f.name not in (text, "section_lengths")]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)[0]
-        length = np.zeros(max(bpe.tokens) + 1, np.int64)
-        for token, data in bpe.tokens.items():
-            length[token] = len(data)
+        bpe, length = _lengths(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                row, section, chars, tokens, crossing = [], [], [], [], []
-                for i, (t, sizes) in enumerate(zip(part.column(text), part.column("section_lengths"), strict=True)):
-                    t, sizes = t.as_py(), np.array(sizes.values, np.int64)
-                    if not len(sizes):
-                        continue
-                    data = t.encode("utf-8")
-                    ends = np.minimum(np.cumsum(sizes), len(t))
-                    ends[-1] = len(t)
-                    ends_bytes = _bytes_before(t, data, ends)
-                    n, c = allocate(np.cumsum(length[np.array(bpe.encode(t), np.int64)]), ends_bytes, rule)
-                    row.append(np.full(len(sizes), i))
-                    section.append(np.arange(len(sizes)))
-                    chars.append(np.diff(np.concatenate([[0], ends])))
-                    tokens.append(n)
-                    crossing.append(c)
-                if not row:
-                    continue
-                at = pa.array(np.concatenate(row))
-                counts = np.concatenate(tokens)
+            for part in slices(batch, text):
+                row, section, chars, tokens, crossing = _part(bpe, length, part.column(text), part.column("section_lengths"), rule)
+                at = pa.array(row)
                 made = [
-                    pa.array(np.concatenate(section), pa.int32()), pa.array(np.concatenate(chars), pa.int64()),
-                    pa.array(counts if rule == "share" else counts.astype(np.int64)), pa.array(np.concatenate(crossing), pa.int64()),
+                    pa.array(section, pa.int32()), pa.array(chars, pa.int64()),
+                    pa.array(tokens if rule == "share" else tokens.astype(np.int64)), pa.array(crossing, pa.int64()),
                 ]
                 columns = [part.column(n).take(at) for n in names] + made
                 yield pa.RecordBatch.from_arrays(columns, [*names, "section", "n_chars", "n_tokens", "n_crossing"])

@@ -131,8 +131,13 @@ def test_token_counts(spark, docs, rule):
 
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(bpe.default_vocabulary()[0]), special_tokens={})
     rows = [(0, "one\n\n\ntwo three\n"), (1, "é\n東京\n🙂🙂 x"), (2, ""), (3, None), (4, "\n \n"), (5, "a\r\nb  \n  c")]
-    rows += [(10 + i, t) for i, t in enumerate(texts()) if t and len(t) < 500]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(10 + i, t) for i, t in enumerate(texts()) if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("section", F.lit("clash"))
+    twice = token_counts.attribute(token_counts.line_sections(df.union(df.filter("doc_id = 1"))).withColumn("n_tokens", F.lit(0)), rule)
+    assert twice.filter("doc_id = 1").count() == 6 and twice.dropDuplicates().filter("doc_id = 1").count() == 3
+    assert token_counts.attribute(token_counts.line_sections(df.limit(0)), rule).count() == 0
+    none = df.filter("doc_id < 2").withColumn("section_lengths", F.when(F.col("doc_id") == 0, F.array(F.lit(4), F.lit(99))).otherwise(F.array().cast("array<int>")))
+    assert [(r.section, r.n_chars) for r in token_counts.attribute(none, rule).orderBy("section").collect()] == [(0, 4), (1, 12)]
     got = defaultdict(dict)
     for r in token_counts.attribute(token_counts.line_sections(df), rule).collect():
         got[r.doc_id][r.section] = (r.n_chars, r.n_tokens, r.n_crossing)
@@ -245,7 +250,7 @@ def test_patience_alignment():
     for _ in range(300):
         a = [RNG.randrange(12) for _ in range(RNG.randint(0, 15))]
         b = a[:] if RNG.random() < 0.3 else [RNG.randrange(12) for _ in range(RNG.randint(0, 15))]
-        hit = line_dedup.aligned_lines(a, b)
+        hit = line_dedup.aligned(a, b)
         at = 0
         for i in hit:  # an aligned line list is a common subsequence
             at = b.index(a[i], at) + 1
@@ -253,7 +258,7 @@ def test_patience_alignment():
             assert hit == list(range(len(a)))
     unique = list(range(20))
     moved = unique[10:] + unique[:10]
-    assert len(line_dedup.aligned_lines(unique, moved)) == max(m.size for m in difflib.SequenceMatcher(None, unique, moved).get_matching_blocks())
+    assert len(line_dedup.aligned(unique, moved)) == max(m.size for m in difflib.SequenceMatcher(None, unique, moved).get_matching_blocks())
 
 
 def test_line_dedup(spark):
@@ -307,6 +312,40 @@ def test_line_dedup_crossed_and_repeated(spark):
     assert [got[i] for i in (30, 31, 38, 40)] == [0, 1, 1, 9]
 
 
+def test_line_dedup_blocks_of_one_partner(spark):
+    """Short lines count only together, and only where one earlier document has them together."""
+    rows = [(10, "one two three four\nmine is ten"), (11, "five six seven eight\nmine is eleven"), (12, "one two three four\nfive six seven eight")]
+    rows += [(20, "a b c\nd e f\ng h i\nj k l\nown"), (21, "x y\na b c\nd e f\ng h i\nz z"), (22, "g h i\nj k l\na b c\nd e f")]
+    long = " ".join(f"w{i}" for i in range(12))
+    rows += [(30, f"title\n{long}\nend\nrest"), (31, f"title\n{long}\nend"), (32, f"other\n{long}\nend"), (33, f"title\n{long}\nfin")]
+    rows += [(40, "\n".join(lines_of(3, "t"))), (41, "é " * 9 + "\n" + " ".join(["x"] * 100000)), (42, "y\n" + " ".join(["x"] * 100000))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    same = (10, 11, 12, 20, 22, 30, 40, 41)
+    assert {i: got[i] for i in same} == {i: t for i, t in rows if i in same}
+    assert (got[21], got[31], got[32], got[33], got[42]) == ("x y\nz z", "", "other", "fin", "y")
+
+
+def test_least_blocks_cover_common_blocks():
+    for _ in range(300):
+        a, b = ([" ".join("v" for _ in range(RNG.randint(0, 4))) + RNG.choice("pq") for _ in range(RNG.randint(1, 9))] for _ in "ab")
+        parts = [{key: (first, last) for first, last, key in line_dedup.least_blocks("\n".join(x), 6)} for x in (a, b)]
+        hit = {i for key in parts[0].keys() & parts[1].keys() for i in range(parts[0][key][0], parts[0][key][1] + 1)}
+        want, size = set(), lambda x: sum(len(t.split()) for t in x)
+        for i in range(len(a)):
+            for j in range(i + 1, len(a) + 1):
+                if size(a[i:j]) >= 6 and any(b[k : k + j - i] == a[i:j] for k in range(len(b))):
+                    want |= set(range(i, j))
+        assert hit == want
+
+
+def test_line_dedup_rows_of_one_id(spark):
+    p, q, r = lines_of(2, "p"), lines_of(2, "q"), lines_of(2, "r")
+    rows = [(1, p + q), (2, q + r), (2, r + q), (2, p + r), (2, p + r)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted(t.text for t in line_dedup.dedup_lines(df).collect() if t.doc_id == 2)
+    assert got == ["\n".join(r)] * 4
+
+
 def test_line_dedup_blank_lines(spark):
     verse = "\n\n".join(f"verse {i} of the song" for i in range(12))
     rows = [(1, f"start\n\n{verse}\n\nend"), (2, f"other\n\n{verse.replace(chr(10) * 2, chr(10) + '  ' + chr(10) * 2)}\n\nlast")]
@@ -447,11 +486,14 @@ def test_op9_follows_the_curriculum(spark, docs, tmp_path, monkeypatch):
     for schedules in (mixing.SCHEDULES, ((((0.0, 0.1), (1.0, 1.9)),) + mixing.SCHEDULES[1:])):
         mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"), schedules=schedules)
         with monkeypatch.context() as m:
-            m.setattr(mixing, "mix", lambda _, mixed=mixed: mixed)
+            m.setattr(mixing, "mix", lambda _, mixed=mixed, **__: mixed)
             got = queries.op9_source_mix(spark, str(tmp_path)).collect()
         want = sorted(mixed.collect(), key=lambda r: (min(r.positions, default=2.0), r.doc_id))
-        columns = ("doc_id", "size", "source_size", "target", "taken")
-        assert [tuple(r) for r in got] == [tuple(r[c] for c in columns) for r in want]
+        columns = ("doc_id", "size", "source_size", "target", "taken", "copies")
+        assert [tuple(r)[:6] for r in got] == [tuple(r[c] for c in columns) for r in want]
+        assert [(r.first_position, r.last_position) for r in got] == [(min(r.positions, default=None), max(r.positions, default=None)) for r in want]
+        again = queries.op9_source_mix(spark, str(tmp_path)).collect() if schedules is mixing.SCHEDULES else got
+        assert again == got  # reruns agree
         orders.append([r.doc_id for r in got])
     assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1])
 
