@@ -157,6 +157,8 @@ def running_sum(df: DataFrame, group: str, order: list[str], bucket: Column, val
     sums = sums.select(
         F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
     )
+    # written first: its size then decides how it is joined, so the rows need no second shuffle while it is small
+    sums = materialise(sums)
     within = Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = df.withColumn("_before", F.coalesce(F.sum("_value").over(within), F.lit(0)))
     out = out.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
