@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,25 +33,31 @@ def paragraph_chunks(text: Column, most: int = 1000, overlap: int = 150) -> Colu
     return F.when(F.length(text) <= most, F.array(text)).otherwise(packed)
 
 
+#: What matters in broken JSON: an escaped character, a quote, a bracket.
+_MARKS = re.compile(r"""\\.|["\[\]{}]""", re.S)
+_CLOSER = str.maketrans("{[", "}]")
+
+
 def close_json(text: str | None) -> str | None:
-    """Cut a truncated document after its last complete object or array, and close what is open there."""
+    """Cut a truncated document after its last complete object or array, and close what is open there.
+
+    Marks are read in order: those between two quotes are text, the others nest. ``nest`` holds the
+    brackets open so far; a closing one outside of text is a place where the document could end.
+    """
     if text is None:
         return None
-    open_, cut, quoted, skip = [], None, False, False
-    for i, c in enumerate(text):
-        if skip:
-            skip = False
-        elif c == "\\":
-            skip = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c in "{[":
-            open_.append("}" if c == "{" else "]")
-        elif not quoted and c in "}]":
-            if open_:
-                open_.pop()
-            cut = (i + 1, tuple(open_))
-    return text if cut is None else text[: cut[0]] + "".join(reversed(cut[1]))
+    nest, inside, place, rest = "", False, 0, ""
+    for mark in _MARKS.finditer(text):
+        kind = mark[0]
+        inside ^= kind == '"'
+        if inside or len(kind) == 2 or kind == '"':
+            continue
+        if kind in "{[":
+            nest += kind
+        else:
+            nest = nest[:-1]
+            place, rest = mark.end(), nest
+    return text[:place] + rest[::-1].translate(_CLOSER) if place else text
 
 
 def repaired_json(text: Column) -> Column:

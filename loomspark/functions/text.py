@@ -11,18 +11,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) > 1)
 
 
+#: The namespaces of injected tags, in any case. Brackets with any other word are text.
+TAG_NAMESPACES = ("memory", "brain", "mcp", "system", "hyobject", "chunk", "ref", "source", "id")
+#: Words that expansion of a query passes over.
+STOP_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can i you he she it we they "
+    "and or but not of in on at to for with by from"
+).split()
+#: Words that say nothing about which entity a name means.
+COMMON_NAME_WORDS = ("the", "agency", "client", "account", "inc", "llc", "co", "company", "corp")
+
+
 def sanitize(text: Column) -> Column:
-    """Drop double and single bracket tags with a namespace and HTML comments, fold long white space."""
-    out = F.regexp_replace(text, r"(?s)\[\[[a-zA-Z_]+:.*?\]\]", "")
-    out = F.regexp_replace(out, r"\[[a-zA-Z_]+:[^\]]*\]", "")
+    """Drop double and single bracket tags of the known namespaces and HTML comments, fold long white space."""
+    tag = rf"(?:{'|'.join(TAG_NAMESPACES)}):[^\]]+"
+    out = F.regexp_replace(text, rf"(?i)\[\[{tag}\]\]", "")
+    out = F.regexp_replace(out, rf"(?i)\[{tag}\]", "")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, r" {3,}", "  ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return F.regexp_replace(out, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
+def name_words(name: Column) -> Column:
+    """The distinctive words of a name: three or more of a-z and 0-9, none of the common ones."""
+    words = F.split(F.regexp_replace(F.lower(name), r"[^a-z0-9\s]", " "), r"\s+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*COMMON_NAME_WORDS)))
+
+
+def same_entity(a: Column, b: Column) -> Column:
+    """Do two names share a distinctive word?"""
+    return F.arrays_overlap(name_words(a), name_words(b))
+
+
 def type_name(name: Column) -> Column:
-    """One spelling of a type: lower case, one space between up to four words, at most 40 characters;
+    """One spelling of a type (patterns are fixed values): lower case, one space between up to four words, at most 40 characters;
     null where the name has any other form."""
     out = F.regexp_replace(F.regexp_replace(F.trim(F.lower(name)), "[_-]+", " "), r"[ \t\r\n]+", " ")
     out = F.trim(out)
@@ -30,7 +53,7 @@ def type_name(name: Column) -> Column:
 
 
 def predicate_name(name: Column) -> Column:
-    """Lower case, trimmed, without leading adverbs of time."""
+    """Lower case, trimmed, without leading adverbs of time (fixed values)."""
     return F.regexp_replace(F.trim(F.lower(name)), r"^((now|currently|still|recently|previously|formerly|today)\s+)+", "")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.numbers import clamp
 from loomspark.functions.text import clean_name, predicate_name, sanitize, type_name
+from loomspark.operators.lineage import cut
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -24,9 +25,15 @@ def content_hash(docs: DataFrame) -> DataFrame:
 
 
 def ingest(batch: DataFrame, stored: DataFrame | None = None, keys: tuple[str, ...] = ("workspace", "sha256"), id: str = "doc_id") -> DataFrame:
-    """Add ``deduped``: true if the key is stored already or an earlier row of the batch has it."""
-    order = Window.partitionBy(*keys).orderBy(id)
-    out = batch.withColumn("deduped", F.row_number().over(order) > 1)
+    """Add ``deduped``: true if the key is stored already or an earlier row of the batch has it.
+
+    The first id of a key is a minimum with a map-side combine; only rows that repeat an id are numbered.
+    """
+    first = batch.groupBy(*keys).agg(F.min(id).alias("_first"))
+    on = [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    out = batch.alias("b").join(first.alias("f"), on).select("b.*", "_first")
+    again = F.row_number().over(Window.partitionBy(*keys, id).orderBy(id)) > 1
+    out = out.withColumn("deduped", ~F.col(id).eqNullSafe(F.col("_first")) | again).drop("_first")
     if stored is not None:
         known = stored.select(*keys).distinct().withColumn("_known", F.lit(True))
         out = out.join(known, list(keys), "left").withColumn("deduped", F.col("deduped") | F.coalesce("_known", F.lit(False))).drop("_known")
@@ -36,13 +43,13 @@ def ingest(batch: DataFrame, stored: DataFrame | None = None, keys: tuple[str, .
 def first_rule(docs: DataFrame, rules: DataFrame, id: str = "doc_id") -> DataFrame:
     """The rule of highest priority (lowest number) that fits each document.
 
-    Rules (rule_id, priority, mime_type, name_contains) are few and broadcast; a null pattern fits all.
+    In rules (rule_id, priority, mime_type, name_contains) a null pattern fits all. A document meets the
+    rules of its type and those of any by an equi-join, so no side has to be small.
     """
-    fits = (F.col("r.mime_type").isNull() | (F.col("r.mime_type") == F.col("d.mime_type"))) & (
-        F.col("r.name_contains").isNull() | F.lower("d.name").contains(F.lower("r.name_contains"))
-    )
+    either = docs.withColumn("_m", F.explode(F.array(F.col("mime_type"), F.lit(None).cast("string"))))
+    fits = F.col("_m").eqNullSafe(F.col("r.mime_type")) & (F.col("r.name_contains").isNull() | F.lower("d.name").contains(F.lower("r.name_contains")))
     best = F.min(F.struct("r.priority", "r.rule_id"))
-    found = docs.alias("d").join(F.broadcast(rules.alias("r")), fits).groupBy(f"d.{id}").agg(best.alias("b"))
+    found = either.alias("d").join(rules.alias("r"), fits).groupBy(f"d.{id}").agg(best.alias("b"))
     return found.select(id, "b.rule_id")
 
 
@@ -94,21 +101,25 @@ def sub_phrases(names: DataFrame) -> DataFrame:
     return names.filter(count > 1).select("kind", "name", F.explode(F.array_distinct(parts)).alias("phrase"))
 
 
-def resolve_names(names: DataFrame, rounds: int = 4) -> DataFrame:
+def resolve_names(names: DataFrame) -> DataFrame:
     """(kind, name, canonical): names of one kind join the longest name that begins or ends with them.
 
-    An equi-join of each name to the phrases of longer ones; the map is followed ``rounds`` times, each
-    step to a longer name, so a fixed point is reached after as many as there are nested phrases.
+    An equi-join of each name to the phrases of longer ones. The map is followed to its fixed point: each
+    round doubles the steps and each step leads to a longer name, so the rounds grow with the logarithm
+    of the nesting. Rounds are cut by checkpoints.
     """
     names = names.select("kind", F.lower(F.trim(F.col("name"))).alias("name")).distinct()
     longer = sub_phrases(names).withColumnRenamed("name", "longer").withColumnRenamed("phrase", "name")
     best = names.join(longer, ["kind", "name"]).groupBy("kind", "name")
     best = best.agg(F.max_by("longer", F.struct(F.length("longer"), F.col("longer"))).alias("canonical"))
     out = names.join(best, ["kind", "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))
-    for _ in range(rounds - 1):
-        step = out.select("kind", F.col("name").alias("canonical"), F.col("canonical").alias("_next"))
-        out = out.join(step, ["kind", "canonical"], "left").select("kind", "name", F.coalesce("_next", "canonical").alias("canonical"))
-    return out
+    out = cut(out)
+    while True:
+        step = out.filter("name <> canonical").select("kind", F.col("name").alias("canonical"), F.col("canonical").alias("_next"))
+        out = cut(out.join(step, ["kind", "canonical"], "left").select("kind", "name", F.coalesce("_next", "canonical").alias("canonical"), "_next"))
+        if out.filter("_next IS NOT NULL").isEmpty():
+            return out.drop("_next")
+        out = out.drop("_next")
 
 
 def resolve_endpoints(triples: DataFrame, entities: DataFrame) -> DataFrame:

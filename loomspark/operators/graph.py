@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.lineage import cut
+
 EDGE_COLUMNS = ["kind", "src_kind", "src", "dst_kind", "dst", "predicate", "confidence"]
 
 
@@ -35,16 +37,21 @@ def directed(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> Dat
 
 
 def hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(kind, id, hop): nodes within k steps, edges taken both ways, each at its least distance."""
-    steps = edges.select(F.col("src_kind").alias("a_kind"), F.col("src").alias("a"), F.col("dst_kind").alias("kind"), F.col("dst").alias("id"))
-    back = edges.select(F.col("dst_kind").alias("a_kind"), F.col("dst").alias("a"), F.col("src_kind").alias("kind"), F.col("src").alias("id"))
-    steps = steps.unionByName(back).distinct()
-    seen = seeds.select("kind", "id").distinct().withColumn("hop", F.lit(0))
+    """(kind, id, hop): nodes within k steps, edges taken both ways, each at its least distance.
+
+    A hop reads the edges at its frontier only, and the nodes it reaches are a checkpoint: the plan of a
+    hop does not grow with the hops before it.
+    """
+    seen = cut(seeds.select("kind", "id").distinct().withColumn("hop", F.lit(0)))
     front = seen
     for hop in range(1, k + 1):
-        at = front.select(F.col("kind").alias("a_kind"), F.col("id").alias("a"))
-        front = steps.join(at, ["a_kind", "a"], "left_semi").select("kind", "id").distinct()
-        front = front.join(seen.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("hop", F.lit(hop))
+        reached = None
+        for here, there in (("src", "dst"), ("dst", "src")):
+            at = front.select(F.col("kind").alias(f"{here}_kind"), F.col("id").alias(here))
+            found = edges.select("src_kind", "src", "dst_kind", "dst").join(at, [f"{here}_kind", here], "left_semi")
+            found = found.select(F.col(f"{there}_kind").alias("kind"), F.col(there).alias("id"))
+            reached = found if reached is None else reached.unionByName(found)
+        front = cut(reached.distinct().join(seen.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen
 

@@ -5,6 +5,8 @@ A candidate set is bounded by its limit. Windows without a partition key run on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,19 +54,38 @@ def min_max(candidates: DataFrame, value: str, out: str, partition: list[str] |
     return candidates.withColumn(out, F.round(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)), 6))
 
 
-def hybrid(vectors: DataFrame, query_vector: list[float], query: str, limit: int, offset: int = 0, boost: DataFrame | None = None) -> DataFrame:
+def nearest_docs(docs: DataFrame, vectors: DataFrame, query_vector: list[float], k: int) -> DataFrame:
+    """The k rows of ``docs`` (doc_id) whose vectors (doc_id, embedding) are nearest, with ``sim``.
+
+    Only ids decide which vectors take part; texts join the k found, which are broadcast, as k bounds them.
+    """
+    own = vectors.select("doc_id", "embedding").join(docs.select("doc_id"), "doc_id", "left_semi")
+    return docs.join(F.broadcast(nearest(own, query_vector, k, "doc_id")), "doc_id")
+
+
+def hybrid(
+    docs: DataFrame, vectors: DataFrame, query_vector: list[float], query: str, limit: int, offset: int = 0, boost: DataFrame | None = None,
+    sort: str = "score", reranker: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Top ``limit`` by 0.6 cosine + 0.4 scaled BM25 + boost, over three times as many nearest vectors.
 
-    ``vectors`` has doc_id, text and embedding; ``boost`` has doc_id and boost.
+    ``docs`` has doc_id and text, and is filtered beforehand as the search wants it; ``vectors`` has
+    doc_id and embedding; ``boost`` has doc_id and boost. ``reranker`` may replace ``score`` on all
+    candidates. ``sort`` is "score", or "date_desc" or "date_asc" by created_at.
     """
-    found = nearest(vectors, query_vector, 3 * (limit + offset), "doc_id")
+    if sort not in ("score", "date_desc", "date_asc"):
+        raise ValueError("sort must be score, date_desc or date_asc")
+    found = nearest_docs(docs, vectors, query_vector, 3 * (limit + offset))
     found = min_max(bm25(found, query), "bm25", "text_score")
     if boost is not None:
         found = found.join(boost, "doc_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     else:
         found = found.withColumn("boost", F.lit(0.0))
     score = VECTOR_SHARE * F.col("sim") + TEXT_SHARE * F.col("text_score") + F.col("boost")
-    return found.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+    found = found.withColumn("score", F.round(score, 6))
+    found = reranker(found) if reranker else found
+    order = {"score": F.desc("score"), "date_desc": F.desc_nulls_last("created_at"), "date_asc": F.asc_nulls_last("created_at")}
+    return found.orderBy(order[sort], F.desc("score"), "doc_id").offset(offset).limit(limit)
 
 
 def entity_boosts(entities: DataFrame, mentions: DataFrame, query: str) -> DataFrame:
@@ -80,13 +101,16 @@ def entity_boosts(entities: DataFrame, mentions: DataFrame, query: str) -> DataF
 
 
 def full_text(docs: DataFrame, query: str) -> DataFrame:
-    """Documents with any query token; score is the sum over distinct query tokens of tf / (tf + 1)."""
+    """Documents with any query token; score is the sum over distinct query tokens of tf / (tf + 1).
+
+    A text is split once for the filter and once for the score: the tokens that the query has are bound
+    as a lambda variable, and only these few are counted.
+    """
     words = F.array_distinct(tokens(F.lit(query)))
-    own = docs.withColumn("_t", tokens(F.col("text")))
-    own = own.filter(F.arrays_overlap("_t", words))
-    parts = F.transform(words, lambda w: F.size(F.filter("_t", lambda t: t == w)))
-    score = F.aggregate(parts, F.lit(0.0), lambda s, n: s + n / (n + F.lit(1.0)))
-    return own.withColumn("score", F.round(score, 6)).drop("_t")
+    own = F.array(F.filter(tokens(F.col("text")), lambda t: F.array_contains(words, t)))
+    count = lambda met, w: F.size(F.filter(met, lambda t: t == w))
+    score = F.transform(own, lambda met: F.aggregate(F.array_distinct(met), F.lit(0.0), lambda s, w: s + count(met, w) / (count(met, w) + F.lit(1.0))))
+    return docs.filter(F.arrays_overlap(tokens(F.col("text")), words)).withColumn("score", F.round(F.get(score, F.lit(0)), 6))
 
 
 def rrf(left: DataFrame, right: DataFrame, id: str, k: float = RRF_K) -> DataFrame:

@@ -17,8 +17,9 @@ def sha_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-SANITIZE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)\[\[[a-zA-Z_]+:.*?\]\]', '', 'g'),
-  '\[[a-zA-Z_]+:[^\]]*\]', '', 'g'), '(?s)<!--.*?-->', '', 'g'), ' {{3,}}', '  ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"""
+_TAG = "(?:memory|brain|mcp|system|hyobject|chunk|ref|source|id):[^\\]]+"
+SANITIZE_SQL = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{0}}, '(?i)\[\[{_TAG}\]\]', '', 'g'),
+  '(?i)\[{_TAG}\]', '', 'g'), '(?s)<!--.*?-->', '', 'g'), ' {{{{3,}}}}', '  ', 'g'), '\n{{{{3,}}}}', chr(10) || chr(10), 'g'), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"""
 
 
 @query(f"SELECT page_id, sha256({SANITIZE_SQL.format('html')}) AS sha256, length({SANITIZE_SQL.format('html')})::BIGINT AS n_chars FROM pages")
@@ -35,11 +36,11 @@ def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ingest(hashed.filter("doc_id % 3 <> 0"), hashed.filter("doc_id % 3 = 0")).select("doc_id", "deduped")
 
 
-@query("""SELECT doc_id, doc_id * 1000 + i AS chunk_id, i::INT AS chunk_index, substring(text, i * 700 + 1, 800) AS text
+@query("""SELECT doc_id, doc_id || ':' || i AS chunk_id, i::INT AS chunk_index, substring(text, i * 700 + 1, 800) AS text
 FROM documents, unnest(range(0, greatest(1, ceil((length(text) - 100) / 700)::BIGINT))) AS u(i)""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.fixed_windows(F.col("text"))).alias("chunk_index", "text"))
-    return d.withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("chunk_index"))
+    return d.withColumn("chunk_id", F.concat_ws(":", "doc_id", "chunk_index"))
 
 
 @query(r"""WITH n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(trim(lower(p_type)), '[_-]+', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM part)
@@ -53,9 +54,9 @@ def predicate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.predicate_name(F.concat(F.lit("Currently now "), "event_type")).alias("predicate"))
 
 
-@query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9_-]{2,}\b')[:8])) AS names FROM (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))""")
+@query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9_-]{2,}\b')[:8])) AS names FROM documents WHERE text IS NOT NULL""")
 def fake_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # over all documents: the SQL gives the rows of those in plain ASCII only
+    # the word boundary is the ASCII one, in Spark as in SQL
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     return docs.select("doc_id", F.array_sort(T.capitalised(F.col("text"))).alias("names"))
 

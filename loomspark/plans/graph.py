@@ -70,10 +70,11 @@ def shares_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sharing_entity(mentions(spark, sf_dir), 7)
 
 
-@query("""SELECT l_orderkey AS doc_id, count(*) FILTER (l_partkey = 10) AS n_a, count(*) FILTER (l_partkey = 20) AS n_b FROM lineitem WHERE l_partkey IN (10, 20)
-GROUP BY 1 HAVING count(DISTINCT l_partkey) = 2""")
+@query("""SELECT l_orderkey AS doc_id, count(*) FILTER (l_suppkey = 1) AS n_a, count(*) FILTER (l_suppkey = 2) AS n_b FROM lineitem WHERE l_suppkey IN (1, 2)
+GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 2""")
 def pairwise_shared_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shared_documents(mentions(spark, sf_dir), 10, 20)
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("entity_id"))
+    return G.shared_documents(found, 1, 2)
 
 
 @query(f"""WITH {CANON_SQL}, s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')

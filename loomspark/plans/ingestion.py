@@ -85,8 +85,8 @@ def stream_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.current_scores(spark.read.parquet(f"{scratch}/scores"))
 
 
-@query(r"""WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9_-]{2,}\b')[:8])) AS name FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*'))
+@query(r"""WITH e AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9_-]{2,}\b')[:8])) AS name FROM documents)
 SELECT doc_id, name, CASE WHEN starts_with(name, 'Orgz') THEN 'organization' ELSE 'concept' END AS kind, CASE WHEN starts_with(name, 'Orgz') THEN 0.9 ELSE 0.55 END::DOUBLE AS confidence FROM e""")
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # over all documents: the SQL gives the rows of those in plain ASCII only
+    # the word boundary is the ASCII one, in Spark as in SQL
     return extraction.entities(table(spark, sf_dir, "documents").select("doc_id", "text"))

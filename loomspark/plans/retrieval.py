@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import ranking as R
-from loomspark.plans.views import DOCS_SQL, TOKENS, docs, embedded_docs, query_text, query_vector
+from loomspark.plans.views import DOCS_SQL, TOKENS, docs, query_text, query_vector, vectors
 from loomspark.registry import query, table
 
-STOP = ["the", "of", "and", "to", "in", "is", "was", "for", "that", "with", "as", "on", "by", "at", "from", "this", "it", "are", "be", "an", "or"]
-STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 VEC = "list_transform({}, lambda x: x::DOUBLE)"
 Q_SQL = f"q AS (SELECT {VEC.format('embedding')} AS e FROM embeddings WHERE vec_id = 7)"
-CAND_SQL = f"""{DOCS_SQL}, {Q_SQL},
-cand AS (SELECT d.*, round(list_cosine_similarity({VEC.format("v.embedding")}, q.e), 6) AS sim
-  FROM docs d JOIN embeddings v ON d.doc_id = v.vec_id, q ORDER BY sim DESC, d.doc_id LIMIT 30),
-tok AS (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM cand),
-n AS (SELECT c.doc_id, count(t.term) AS n FROM cand c LEFT JOIN tok t USING (doc_id) GROUP BY c.doc_id),
-stat AS (SELECT count(*) AS n_docs, avg(n) AS avg_len FROM n),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-qt AS (SELECT term, count(*) AS w FROM (SELECT unnest({TOKENS.format("text")}) AS term FROM benchmark WHERE item_id = 3) GROUP BY term),
-part AS (SELECT tf.doc_id, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n.n / avg_len))) AS s
-  FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN n USING (doc_id), stat GROUP BY tf.doc_id),
-bm AS (SELECT cand.*, round(coalesce(s, 0::DOUBLE), 6) AS bm25 FROM cand LEFT JOIN part USING (doc_id)),
-mm AS (SELECT *, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 0::DOUBLE
-  ELSE round((bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()), 6) END AS text_score FROM bm)"""
+#: Candidates, BM25 and its scaling over CTEs docs and q: {k} candidates, {qt} the query's terms, {p} ends the names.
+BM25_SQL = f"""cand{{p}} AS (SELECT d.*, round(list_cosine_similarity({VEC.format("v.embedding")}, q.e), 6) AS sim
+  FROM docs d JOIN embeddings v ON d.doc_id = v.vec_id, q ORDER BY sim DESC, d.doc_id LIMIT {{k}}),
+tok{{p}} AS (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM cand{{p}}),
+n{{p}} AS (SELECT c.doc_id, count(t.term) AS n FROM cand{{p}} c LEFT JOIN tok{{p}} t USING (doc_id) GROUP BY c.doc_id),
+stat{{p}} AS (SELECT count(*) AS n_docs, avg(n) AS avg_len FROM n{{p}}),
+tf{{p}} AS (SELECT doc_id, term, count(*) AS tf FROM tok{{p}} GROUP BY ALL),
+df{{p}} AS (SELECT term, count(*) AS df FROM tf{{p}} GROUP BY term),
+qt{{p}} AS (SELECT term, count(*) AS w FROM ({{qt}}) GROUP BY term),
+part{{p}}_ AS (SELECT f.doc_id, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n.n / avg_len))) AS s
+  FROM tf{{p}} f JOIN qt{{p}} USING (term) JOIN df{{p}} USING (term) JOIN n{{p}} n USING (doc_id), stat{{p}} GROUP BY f.doc_id),
+bm{{p}} AS (SELECT c.*, round(coalesce(s, 0::DOUBLE), 6) AS bm25 FROM cand{{p}} c LEFT JOIN part{{p}}_ USING (doc_id)),
+mm{{p}} AS (SELECT *, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 0::DOUBLE
+  ELSE round((bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()), 6) END AS text_score FROM bm{{p}})"""
+QUERY_TERMS = f"SELECT unnest({TOKENS.format('text')}) AS term FROM benchmark WHERE item_id = 3"
+CAND_SQL = f"{DOCS_SQL}, {Q_SQL}, {BM25_SQL.format(k=30, qt=QUERY_TERMS, p='')}"
 
 
 @query(f"WITH {Q_SQL} SELECT vec_id, label, round(list_cosine_similarity({VEC.format('embedding')}, q.e), 6) AS sim FROM embeddings, q ORDER BY sim DESC, vec_id LIMIT 20")
@@ -42,7 +43,7 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = R.nearest(embedded_docs(spark, sf_dir), query_vector(spark, sf_dir), 30, "doc_id")
+    near = R.nearest_docs(docs(spark, sf_dir), vectors(spark, sf_dir), query_vector(spark, sf_dir), 30)
     return R.bm25(near, query_text(spark, sf_dir))
 
 
@@ -57,7 +58,7 @@ def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
-    return R.hybrid(embedded_docs(spark, sf_dir), query_vector(spark, sf_dir), query_text(spark, sf_dir), limit)
+    return R.hybrid(docs(spark, sf_dir), vectors(spark, sf_dir), query_vector(spark, sf_dir), query_text(spark, sf_dir), limit)
 
 
 HYBRID_SQL = f"{CAND_SQL}, hyb AS (SELECT *, round(0.6::DOUBLE * sim + 0.4::DOUBLE * text_score, 6) AS score FROM mm ORDER BY score DESC, doc_id LIMIT 10)"
@@ -70,7 +71,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CAND_SQL} SELECT doc_id, round(0.6::DOUBLE * sim + 0.4::DOUBLE * text_score, 6) AS score FROM mm ORDER BY score DESC, doc_id LIMIT 5 OFFSET 5")
 def hybrid_second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.hybrid(embedded_docs(spark, sf_dir), query_vector(spark, sf_dir), query_text(spark, sf_dir), 5, offset=5)
+    found = R.hybrid(docs(spark, sf_dir), vectors(spark, sf_dir), query_vector(spark, sf_dir), query_text(spark, sf_dir), 5, offset=5)
     return found.select("doc_id", "score")
 
 
@@ -118,7 +119,8 @@ t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (
 @query(f"""WITH {RRF_SQL} SELECT coalesce(l.doc_id, t.doc_id) AS doc_id, round(coalesce(1::DOUBLE / (60 + l.r), 0) + coalesce(1::DOUBLE / (60 + t.r), 0), 6) AS score
 FROM l FULL OUTER JOIN t ON l.doc_id = t.doc_id ORDER BY score DESC, doc_id LIMIT 20""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = R.nearest(embedded_docs(spark, sf_dir), query_vector(spark, sf_dir), 20, "doc_id")
+    own = vectors(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    near = R.nearest(own, query_vector(spark, sf_dir), 20, "doc_id")
     words = R.full_text(docs(spark, sf_dir), query_text(spark, sf_dir)).orderBy(F.desc("score"), "doc_id").limit(20)
     fused = R.rrf(R.with_rank(near, F.desc("sim"), F.asc("doc_id")), R.with_rank(words, F.desc("score"), F.asc("doc_id")), "doc_id")
     return fused.orderBy(F.desc("score"), "doc_id").limit(20)
@@ -147,7 +149,7 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, count(*) AS n FROM (SELECT unnest({TOKENS.format("text")}) AS term FROM top) WHERE term NOT IN ({STOP_SQL}) GROUP BY term ORDER BY n DESC, term LIMIT 10""")
 def prf_two_pass_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _hybrid(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(5)
-    return R.expansion_terms(first, STOP)
+    return R.expansion_terms(first, T.STOP_WORDS)
 
 
 @query(f"""WITH {CAND_SQL}, a AS (SELECT doc_id, sim AS score FROM cand), b AS (SELECT doc_id, text_score AS score FROM mm)

@@ -41,6 +41,6 @@ def query_text(spark: SparkSession, sf_dir: str, item_id: int = 3) -> str:
     return table(spark, sf_dir, "benchmark").filter(F.col("item_id") == item_id).select("text").first()[0]
 
 
-def embedded_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, v = docs(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    return d.join(v.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings by the document they stand for."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

@@ -136,7 +136,11 @@ def test_names(spark):
     assert one(spark, T.predicate_name(F.col("a")), a=("string", " Currently now Works at ")) == "works at"
     assert one(spark, T.capitalised(F.col("a")), a=("string", "Acme met Bob and Acme in Orgz-One, Al")) == ["Acme", "Bob", "Orgz-One"]
     assert one(spark, T.preview(F.col("a")), a=("string", "y" * 130)) == "y" * 117 + "..."
-    assert one(spark, T.sanitize(F.col("a")), a=("string", "\n a[[x:1]] b [y:2]c<!-- d\n -->    e\n\n\n\nf ")) == "a b c  e\n\nf"
+    assert one(spark, T.sanitize(F.col("a")), a=("string", "\n a[[ref:1]] b [Memory:id:2]c<!-- d\n -->    e\n\n\n\nf ")) == "a b c  e\n\nf"
+    kept = "keep [note: call Bob] and [TODO: fix] [[Topic: x]] [ref:] [source] [1]"
+    assert one(spark, T.sanitize(F.col("a")), a=("string", kept)) == kept
+    once = one(spark, T.sanitize(F.col("a")), a=("string", "x [[CHUNK:a b]] [hyobject:1\n2] [[mcp:1] y [system:z]] end"))
+    assert once == "x   [ y ] end" or once == one(spark, T.sanitize(F.col("a")), a=("string", once))
     assert [len(x) for x in one(spark, T.fixed_windows(F.col("a")), a=("string", "z" * 1700))] == [800, 800, 300]
     assert one(spark, T.fixed_windows(F.col("a")), a=("string", "")) == [""]
     for value, band in ((0.8, "high"), (0.5, "medium"), (0.49, "low"), (math.nan, None), (None, None)):
@@ -200,6 +204,33 @@ def test_entity_resolution(spark):
     assert got == {("p", "ann"): "dr ann lee", ("p", "ann lee"): "dr ann lee", ("p", "dr ann lee"): "dr ann lee", ("p", "lee"): "dr ann lee", ("p", "bob"): "bob", ("q", "ann"): "ann"}
 
 
+def test_names_nested_deeply(spark):
+    long = [" ".join(f"w{i}" for i in range(n)) for n in range(1, 30)]
+    got = C.resolve_names(spark.createDataFrame([("p", n) for n in long], "kind string, name string")).collect()
+    assert {r.canonical for r in got} == {long[-1]} and len(got) == 29
+
+
+def test_memory_tools(spark):
+    from loomspark.operators import memory as M
+
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (3, "c", 2)], "id int, x string, v int")
+    new = spark.createDataFrame([(1, "A", 2), (2, "B", 4), (3, "C", 2), (4, "D", None)], "id int, x string, v int")
+    assert {r.id: r.x for r in M.keep_latest(old, new, ["id"], "v").collect()} == {1: "A", 2: "b", 3: "C", 4: "D"}
+    writes = spark.createDataFrame([("fact", None, None), ("fact", True, False), ("ingest", False, True), ("annotate", True, True), (None, True, True)], "kind string, superseding boolean, high_risk boolean")
+    assert [r.gate for r in M.gated(writes, "silent").collect()] == [False, True, True, False, False]
+    assert [r.gate for r in M.gated(writes, "audit").collect()] == [True, True, True, False, False]
+    jobs = spark.createDataFrame([(1, ["x", "ok"]), (2, ["x"]), (3, ["x"] * 3), (4, ["x", "x", "x", "ok"]), (5, [])], "id int, outcomes array<string>")
+    assert [(r.tried, r.next) for r in M.after_failures(jobs).collect()] == [(2, "done"), (1, "retry"), (3, "quarantined"), (3, "quarantined"), (0, "retry")]
+    ids = spark.createDataFrame([(11,), (12,), (2,)], "id int")
+    assert [tuple(M.by_id_prefix(ids, "id", p).first()) for p in ("2", "1", "9")] == [("2", "found"), (None, "ambiguous"), (None, "unknown")]
+    names = spark.createDataFrame([("Ann Lee", ["AL"]), ("Bob", ["ann"]), (None, ["ann"]), ("Cy", None)], "name string, aliases array<string>")
+    assert M.named_like(names, "ann").count() == 3 and M.named_like(names, "AL").count() == 1
+    seen = spark.createDataFrame([("Works_For",), ("currently located in",), ("knows",), (None,)], "predicate string")
+    one_, rest = M.functional_only(seen)
+    assert (one_.count(), rest.count()) == (2, 2) and M.functional_only(seen, ("knows",))[0].count() == 3
+    assert C.ingest(spark.createDataFrame([(1, "w", "h"), (1, "w", "h"), (2, "w", "h"), (3, None, "h")], "doc_id int, workspace string, sha256 string")).filter("deduped").count() == 2
+
+
 def test_change_log_and_review(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, x string, y int")
     new = spark.createDataFrame([(1, "a", None), (3, "c", 3)], "id int, x string, y int")
@@ -220,22 +251,18 @@ def test_json_repair_and_chunks(spark):
     assert S.close_json('{"a": [{"b": "x]"}, {"c": ') == '{"a": [{"b": "x]"}]}'
     assert S.close_json('{"a') == '{"a' and S.close_json(None) is None and S.close_json('{"a": 1}') == '{"a": 1}'
 
-    def chunked(t):
-        if len(t) <= 1000:
-            return [t]
-        out, current = [], ""
-        for p in __import__("re").split("\n\n+", t):
-            if len(current) + len(p) + 2 > 1000 and current:
-                out.append(current.strip())
-                current = current[-150:] + "\n\n" + p
-            else:
-                current = current + "\n\n" + p if current else p
-        return out + ([current.strip()] if current.strip() else []) or [t]
-
+    chunks = lambda t: one(spark, S.paragraph_chunks(F.col("a")), a=("string", t))
+    assert chunks("a" * 1000) == ["a" * 1000] and chunks("") == [""]
+    # a paragraph stays whole, whatever its length; the next chunk begins with the end of the one before
+    assert chunks("x" * 1500 + "\n\n" + "y" * 20) == ["x" * 1500, "x" * 150 + "\n\n" + "y" * 20]
+    assert chunks("a" * 600 + "\n\n\n\n" + "b" * 600) == ["a" * 600, "a" * 150 + "\n\n" + "b" * 600]
     rng = random.Random(1)
     for _ in range(6):
-        t = "\n\n".join("".join(rng.choice("ab ") for _ in range(rng.randint(0, 700))) for _ in range(rng.randint(1, 9)))
-        assert one(spark, S.paragraph_chunks(F.col("a")), a=("string", t)) == chunked(t)
+        paragraphs = [f"p{i} " + "".join(rng.choice("abc ") for _ in range(rng.randint(1, 700))) + "." for i in range(rng.randint(2, 9))]
+        got = chunks("\n\n".join(paragraphs))
+        assert all(any(p.strip() in c for c in got) for p in paragraphs)  # none is lost or cut
+        assert all(len(c) <= 1000 + 152 or max(map(len, paragraphs)) > 500 for c in got)
+        assert all(b.startswith(a[-150:].lstrip()[:20]) or a[-150:].strip()[:20] in b[:200] for a, b in zip(got, got[1:], strict=False))
     space = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
     assert one(spark, S.name_uuid(str(space), F.col("a")), a=("string", "mé")) == str(uuid.uuid5(space, "mé"))
 
