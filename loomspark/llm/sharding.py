@@ -29,8 +29,10 @@ def document_dimensions(text_bytes: Column) -> dict[str, Column]:
     }
 
 
-def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
-    df = spark.createDataFrame(rows, schema)
+def _small(spark, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A table of one row a node, as SQL literals; a Python list would start Python workers to be read."""
+    values = ", ".join(f"({', '.join(f'CAST({v!r} AS {kind})' for v, kind in zip(row, schema.values(), strict=True))})" for row in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema)})")
     return F.broadcast(df) if len(rows) <= BROADCAST_NODES else df
 
 
@@ -41,7 +43,7 @@ def _split_points(base: DataFrame, nodes: dict[int, int], dims: list[str]) -> di
     """
     spark = base.sparkSession
     busy = [n for n, k in nodes.items() if k > 1]
-    rows = base.join(_small(spark, [(n,) for n in busy], "node int"), "node")
+    rows = base.join(_small(spark, [(n,) for n in busy], {"node": "int"}), "node")
     spread = rows.groupBy("node").agg(
         F.sum("size").alias("total"), *[(F.max(d) - F.min(d)).alias(f"w_{d}") for d in dims]
     ).collect()
@@ -56,7 +58,7 @@ def _split_points(base: DataFrame, nodes: dict[int, int], dims: list[str]) -> di
         open_ = [(n, d, prefix, goal) for n, (d, prefix, goal) in state.items() if n not in result]
         if not open_:
             break
-        now = rows.join(_small(spark, open_, "node int, dim int, prefix bigint, goal double"), "node")
+        now = rows.join(_small(spark, open_, {"node": "int", "dim": "int", "prefix": "bigint", "goal": "double"}), "node")
         now = now.withColumn("key", _key(dims))
         if turn:
             now = now.filter(F.shiftright("key", shift + ROUND_BITS) == F.col("prefix"))
@@ -86,12 +88,15 @@ def _key(dims: list[str]) -> Column:
 def kd_shards(
     docs: DataFrame, size: Column, dimensions: dict[str, Column], shards: int | None = None, target_bytes: int | None = None
 ) -> DataFrame:
-    """Add size (long), shard (int) and slot (long, gapless from 0 in each shard) to ``docs``.
-
-    Give the number of shards, or the bytes a leaf may hold. Rows are placed one by one, so a group of
-    equal texts stays together where the byte law allows and is cut where it does not. Null metadata
-    counts as an empty string. An empty table stays empty; with fewer rows than shards some shards are
-    empty. Repeated rows are separate rows. Columns of the names added are replaced.
+    """Add size (long), shard (int) and slot (long, gapless from 0 in each shard) to ``docs`` without ``text``.
+
+    Give the number of shards, or the bytes a leaf may hold. Texts are not carried through the splits and
+    not returned. Rows are placed one by one: rows of equal text and metadata are neighbours at every
+    split and are parted only where a median falls among them, while equal texts with other metadata may
+    go to other shards. Ties in a dimension go on by hashes of the text, the doc_id and the row. A very
+    long text may exceed a shard's share alone. Null metadata counts as an empty string. An empty table
+    stays empty; with fewer rows than shards some shards are empty. Repeated rows are separate rows.
+    Columns of the names added are replaced.
     """
     docs = docs.drop("size", "shard", "slot").withColumn("_row", F.monotonically_increasing_id())
     docs = docs.withColumn("size", size.cast("long"))
@@ -111,15 +116,16 @@ def kd_shards(
     nodes, spark, written = {0: shards}, docs.sparkSession, None
     while any(k > 1 for k in nodes.values()) and total[1]:
         points = _split_points(base, nodes, dims)
-        table = _small(spark, [(n, d, key, n + nodes[n] // 2) for n, (d, key) in points.items()], "node int, dim int, at bigint, right_node int")
+        table = _small(spark, [(n, d, key, n + nodes[n] // 2) for n, (d, key) in points.items()], {"node": "int", "dim": "int", "at": "bigint", "right_node": "int"})
         moved = base.join(table, "node", "left")
         moved = moved.withColumn("node", F.when(_key(dims) >= F.col("at"), F.col("right_node")).otherwise(F.col("node")))
         after = materialise(moved.select("_row", "size", "tie", *dims, "node"))
         release(written)
         base = written = after
         nodes = {m: k for n, whole in nodes.items() for m, k in (((n, whole),) if whole == 1 else ((n, whole // 2), (n + whole // 2, whole - whole // 2)))}
-    placed = base.select("_row", "tie", F.col("node").alias("shard"))
+    # slots go by a hash of the row, so that copies of one text are spread over the buckets
+    placed = base.select("_row", F.xxhash64("_row").bitwiseAND(F.lit((1 << 30) - 1)).alias("turn"), F.col("node").alias("shard"))
     n = buckets_for(total[1])
-    bucket = F.floor(F.col("tie") * n / (1 << tie_bits)).cast("int")
-    placed = running_sum(placed, "shard", ["tie", "_row"], bucket, F.lit(1).cast("long"), "slot").drop("tie")
+    bucket = F.floor(F.col("turn") * n / (1 << 30)).cast("int")
+    placed = running_sum(placed, "shard", ["turn", "_row"], bucket, F.lit(1).cast("long"), "slot").drop("turn")
     return docs.select("_row", *[c for c in rest if c != "text"], "size").join(placed, "_row").drop("_row")

@@ -1,7 +1,8 @@
 """Operator 2: URL filters whose block decisions reach every alias of a page.
 
-Aliases are the connected components over redirect and canonical-link edges: a page's own canonical
-form, its ``<link rel=canonical>`` and its meta refresh target. Inside a component an explicit allow
+Aliases are the connected components over redirect and canonical-link edges: ``<link rel=canonical>`` and
+meta refresh targets of the pages, redirects that are given, and on demand the common spellings of one
+address. Inside a component an explicit allow
 rule on any member comes before an explicit block; without either, the default holds. DataFrame
 functions only.
 """
@@ -22,6 +23,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
+#: Steps up that a relative link may take at most.
+UP = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,12 +72,24 @@ def canonical(url: Column) -> Column:
 
 
 def _absolute(link: Column, base: Column) -> Column:
-    """``link`` as a url, relative to the host of ``base`` where it starts with a slash; else null."""
-    link = F.trim(link)
+    """``link`` as a url: whole, or relative to the host, folder, path or address of ``base``; null if blank.
+
+    Steps up (``..``) are followed one level at a time while a folder is there; other schemes have no host.
+    """
+    link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
+    site = F.concat(F.lit("http://"), host_of(base))
+    folder = F.regexp_replace(F.when(path_of(base) == "", "/").otherwise(path_of(base)), r"[^/]*$", "")
+    path = F.concat(folder, link)
+    for _ in range(UP):
+        path = F.regexp_replace(F.regexp_replace(path, r"/\.(?=/|$)", ""), r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
     return (
-        F.when(link.contains("://"), link)
+        F.when(link == "", None)
+        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host_of(base), link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path_of(base), link))
+        .when(link.startswith("#"), F.concat(site, path_of(base), query_of(base)))
+        .otherwise(F.concat(site, path))
     )
 
 
@@ -91,18 +106,25 @@ def html_links(pages: DataFrame) -> DataFrame:
     return links.select(F.col("url").alias("src"), _absolute(target, F.col("url")).alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, default: str = "allow", redirects: DataFrame | None = None) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: tuple = RULES, default: str = "allow", redirects: DataFrame | None = None, spelling: bool = False
+) -> DataFrame:
     """Add host, path, rule, verdict and alias_group to ``pages`` (url, optionally html).
 
-    ``redirects`` (src, dst urls) adds edges to those found in the pages. A page that a rule fits has
+    ``redirects`` (src, dst urls) adds edges to those found in the pages; ``spelling`` adds those between an
+    address and its :func:`canonical` spelling, which nobody has declared. Of rules that are equally long
+    the first counts. A page that a rule fits has
     the rule's verdict. Any other page has allow if its group holds an explicitly allowed url, else
     block if it holds an explicitly blocked one, else ``default``. Urls that occur only as targets
     count in their group. A url that is null or has no host belongs to no group and has the default.
-    Repeated rows keep their number; columns of the names added are replaced; other columns stay.
+    Urls and html of any length are read whole. Repeated rows keep their number, an empty table stays
+    empty; columns of the names added are replaced; other columns stay.
     """
     made = ("host", "path", "rule", "verdict", "alias_group", "_address", "_ruled")
     pages = pages.drop(*made)
-    edges = pages.select(address(F.col("url")).alias("src"), canonical(F.col("url")).alias("dst"))
+    # without spellings an address leads to itself: it is a member of its own group
+    form = canonical if spelling else address
+    edges = pages.select(address(F.col("url")).alias("src"), form(F.col("url")).alias("dst"))
     if "html" in pages.columns:
         named = html_links(pages)
         redirects = named if redirects is None else redirects.select("src", "dst").unionByName(named)
@@ -110,7 +132,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, default: str = "allow", redire
         src, dst = F.col("src"), F.col("dst")
         redirects = materialise(redirects)
         edges = edges.unionByName(redirects.select(address(src).alias("src"), address(dst).alias("dst")))
-        edges = edges.unionByName(redirects.select(address(dst).alias("src"), canonical(dst).alias("dst")))
+        edges = edges.unionByName(redirects.select(address(dst).alias("src"), form(dst).alias("dst")))
     edges = materialise(edges.filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
     groups = materialise(connected_components(edges))
 
@@ -125,7 +147,9 @@ def judge(pages: DataFrame, rules: tuple = RULES, default: str = "allow", redire
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "_address": address(F.col("url"))})
     out = out.withColumns({"rule": rule, "verdict": verdict})
-    out = out.join(groups, F.col("_address") == F.col("node"), "left").drop("node")
-    out = out.withColumn("alias_group", F.coalesce("component", "_address")).drop("component", "_address")
-    out = out.join(decided, "alias_group", "left")
+    # rows without an address have no group: they pass by the joins, where they would meet in one task
+    bare = out.filter("_address IS NULL").withColumns({"alias_group": F.lit(None).cast("string"), "_ruled": F.lit(None).cast("string")})
+    out = out.filter("_address IS NOT NULL").join(groups, F.col("_address") == F.col("node"), "left").drop("node")
+    out = out.withColumn("alias_group", F.coalesce("component", "_address")).drop("component")
+    out = out.join(decided, "alias_group", "left").unionByName(bare).drop("_address")
     return out.withColumn("verdict", F.coalesce("verdict", "_ruled", F.lit(default))).drop("_ruled")

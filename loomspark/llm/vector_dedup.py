@@ -91,8 +91,10 @@ def near_duplicates(
 
     Links join vectors of one non-null label at cosine >= threshold. A vector that is null, empty,
     zero or holds a null or non-finite component links with nothing and is its own component; vectors of
-    different lengths never link. Ids are expected to be unique; rows that repeat an id with the same
-    vector count as copies. An empty table gives an empty result. The number of links counts copies.
+    different lengths never link, nor do those whose squares exceed the range of doubles. Ids are whole
+    numbers and expected to be unique: rows that repeat an id with the same vector count as copies, rows
+    that repeat it with another vector are one node of the graph and get the larger count. An empty table
+    gives an empty result. The number of links counts copies.
     """
     made = ("n_links", "component_id", "kept")
     vectors = vectors.drop(*made)
@@ -120,7 +122,7 @@ def near_duplicates(
         F.col("id").alias("_id"),
         (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"),
-    ).dropDuplicates(["_id"])
+    ).groupBy("_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = vectors.join(members, F.col(id) == F.col("_id"), "left").drop("_id")
     out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": F.coalesce("component_id", F.col(id))})
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))

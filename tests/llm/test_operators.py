@@ -75,7 +75,7 @@ def test_url_rules_and_aliases(spark):
         (13, "http://e.net/1?ref=q", '<link rel=canonical href="http://g.com/de/1">'), (14, "http://example.org", ""),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: r for r in url_filters.judge(df).collect()}
+    got = {r.page_id: r for r in url_filters.judge(df, spelling=True).collect()}
     want = {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("com/fr/", "allow"), 4: (None, "allow"), 5: (None, "allow"),
             6: (None, "allow"), 7: (None, "allow"), 8: (None, "block"), 9: (None, "block"), 10: (None, "block"), 11: (None, "allow"),
             12: (None, "allow"), 13: (None, "allow"), 14: (None, "allow")}
@@ -84,6 +84,24 @@ def test_url_rules_and_aliases(spark):
     assert url_filters.judge(df).count() == len(rows) and url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_url_redirects_and_relative_links(spark):
+    link = lambda x: f'<p>{"x" * 300000}</p><link rel="canonical" href="{x}">'
+    rows = [
+        (1, "http://a.com/de/1", ""), (2, "http://b.net/x/y/page", link("../../de/2?a=1&amp;b=2")), (3, "http://c.net/p", link("q")), (4, "http://d.net/a/", link("?s=1")),
+        (5, "http://e.net/" + "z" * 20000, link("//a.com/de/1")), (6, "http://e.net/" + "z" * 20000 + ".html", ""), (7, "http://f.net/", link("")), (8, "http://g.net", link("mailto:x@y")),
+        (9, None, link("http://a.com/de/1")), (10, "http://h.net/h", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.src[7:12]: r.dst for r in url_filters.html_links(df).collect()}
+    assert found == {"b.net": "http://b.net/de/2?a=1&b=2", "c.net": "http://c.net/q", "d.net": "http://d.net/a/?s=1", "e.net": "http://a.com/de/1", "g.net": "mailto:x@y"}
+    redirects = spark.createDataFrame([("http://b.net/de/2?a=1&b=2", "http://a.com/de/1"), ("http://h.net/h", "http://x.org/"), ("http://h.net/h", "http://c.com/de/"), (None, "http://x.org/")], "src string, dst string")
+    got = {r.page_id: r.verdict for r in url_filters.judge(df, redirects=redirects).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow"}
+    assert url_filters.judge(df, redirects=redirects, spelling=True).filter("page_id = 6").first().verdict == "block"
+    same = (("c.net", "", "allow"), ("net", "/p", "block"))  # equally long: the first counts
+    assert url_filters.judge(df, rules=same).filter("page_id = 3").first().rule == "c.net"
+
+
 def test_quality_rules(docs):
     extra = docs.sparkSession.createDataFrame(
         [(900, prose(60) + " the of and $$$ ***\n\n a\n a\nb"), (901, "the cat sat " * 30), (902, "a b a b a b")], "doc_id long, text string"
