@@ -537,3 +537,40 @@ def test_pipeline(spark, tmp_path):
     text = {r.doc_id: r.text for r in deduped}
     own = bpe.ByteBpe(bpe.load_ranks(bpe.default_vocabulary()[0]), bpe.default_vocabulary()[1])
     assert all(r.ids == own.encode(text[r.doc_id]) for r in final)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Clashing columns, null and empty texts, null and repeated ids; each stage against a plain version."""
+    import corpus_pipeline
+
+    good = ["\n".join(f"the {w} and the {v} of it are in this house {i}" for w, v in zip(prose(5).split(), prose(5).split(), strict=True)) for i in range(40)]
+    bad = [" ".join("xq%%%" for _ in range(80)) for _ in range(20)]
+    long = prose(30000) + "\n" + good[3]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), i, -1.5, "p", "kept") for i, t in enumerate([*good, good[0].replace("house", "garden", 1), long, *bad])]
+    rows += [(900, None, None, None, None, 1, 0.0, "p", "kept"), (901, "", "en", "s0", 0, 1, 0.0, "p", "kept"), (None, good[5], "en", "s1", 9, 1, 0.0, "p", "kept"), rows[7], rows[7]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, Score double, position string, n_lines string"
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r[0], int("%%%" not in r[1]), 0) for r in rows if r[0] is not None and r[1]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept, stages = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stages[name], before = kept.collect(), kept
+        kept = shared.materialise(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == docs.columns and {r.n_lines for r in kept.collect()} == {"kept"}, name
+        assert stage(spark, shared.materialise(before.limit(0)), str(tmp_path)).count() == 0 or name == corpus_pipeline.STAGES[0][0]
+    assert not any("%%%" in (r.text or "") for r in stages["line dedup"]) and len(stages["line dedup"]) >= 44
+    inside = stages["n-gram Jaccard join"]
+    assert sum(r.doc_id == 7 for r in inside) == 3 and any(r.doc_id is None and r.text == good[5] for r in inside)
+    mixed_in = stages["mixing sources to target weights"]
+    sets = [(r, shingles(r.text)) for r in inside]
+    for r, s in sets:  # one row stays for each text that nothing links with, null ids stay
+        alone = r.doc_id is None or not any(o is not r and o.doc_id is not None and s and x and 100 * len(s & x) >= 75 * len(s | x) for o, x in sets)
+        assert not alone or r in mixed_in
+    assert sum(r.doc_id == 7 for r in mixed_in) == 1
+    final = corpus_pipeline.tokens(spark, kept, str(tmp_path)).collect()
+    assert [(r.file, r.row) for r in final] == sorted((r.file, r.row) for r in final)  # training order, and every copy
+    copies = Counter()
+    for r in mixing.mix(spark.createDataFrame(mixed_in, schema)).collect():
+        copies[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in final) == +copies
