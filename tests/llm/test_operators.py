@@ -143,6 +143,36 @@ def test_sharding_by_leaf_bytes_and_empty(spark, docs):
     assert sharding.kd_shards(docs.limit(0), size, sharding.document_dimensions(size), shards=4).count() == 0
 
 
+def test_split_points_against_a_sort(spark):
+    """Widest dimension, and the weighted median of each node found by sorting all its rows."""
+    rng = random.Random(23)
+    whole = 1 << sharding.COORDINATE_BITS
+    rows = []
+    for i in range(900):
+        node = i % 3
+        a = rng.choice([5, 9, whole // 3]) if node == 0 else rng.randrange(whole // 2)  # node 0: ties in the dimension
+        b = rng.randrange(whole) if node == 1 else 7
+        rows.append((i, rng.choice([0, 1, 5, 5, 40, 3000]) if node else 1, rng.choice([3, rng.randrange(1 << 30)]), a, b, node))
+    rows += [(1000 + i, 1, 3, 5, 7, 0) for i in range(20)]  # rows that nothing tells apart
+    base = spark.createDataFrame(rows, "_row long, size long, tie long, q_a long, q_b long, node int")
+    shards = {0: 2, 1: 3, 2: 5, 9: 4}
+    points = sharding._split_points(base, shards, ["q_a", "q_b"])
+    assert set(points) == {0, 1, 2}
+    for node, (dim, at) in points.items():
+        mine = [r for r in rows if r[5] == node]
+        widths = [max(r[k] for r in mine) - min(r[k] for r in mine) for k in (3, 4)]
+        assert dim == widths.index(max(widths))
+        sizes = Counter()
+        for r in mine:
+            sizes[r[3 + dim] << (sharding.ROUND_BITS * sharding.ROUNDS - sharding.COORDINATE_BITS) | r[2]] += r[1]
+        goal, upto, left = sum(sizes.values()) * (shards[node] // 2) / shards[node], 0, set()
+        for key in sorted(sizes):
+            if upto + sizes[key] < goal or (upto < goal <= upto + sizes[key] and 2 * (goal - upto) >= sizes[key]):
+                left.add(key)
+            upto += sizes[key]
+        assert {key for key in sizes if key < at} - left == set() and {k for k in left - {k for k in sizes if k < at} if sizes[k]} == set()
+
+
 @pytest.mark.parametrize("rule", token_counts.BOUNDARY_RULES)
 def test_token_counts(spark, docs, rule):
     import public_tokenizers
@@ -211,6 +241,55 @@ def test_byte_cnn_reads_the_whole_text():
         assert sum(int((p != 0).sum()) for p in parts) >= n and parts.shape[1] == byte_cnn.CHUNK
 
 
+def plain_features(net, text):
+    """Mean and maximum over chunks of the largest response of each filter, one product after another."""
+    data, stride = text.encode(), byte_cnn.CHUNK - byte_cnn.WIDTH + 1
+    tops = []
+    for start in range(0, max(len(data) - byte_cnn.WIDTH + 1, 1), stride):
+        part = data[start : start + byte_cnn.CHUNK]
+        part += bytes(byte_cnn.CHUNK - len(part))
+        ends = range(byte_cnn.CHUNK - byte_cnn.WIDTH + 1)
+        tops.append([
+            max(0.0, net.bias[f] + max(sum(float(net.filters[k, part[i + k], f]) for k in range(byte_cnn.WIDTH)) for i in ends))
+            for f in range(byte_cnn.FILTERS)
+        ])
+    return [sum(c) / len(tops) for c in zip(*tops, strict=True)] + [max(c) for c in zip(*tops, strict=True)]
+
+
+def test_byte_cnn_against_a_plain_convolution():
+    net = byte_cnn.train(["abc é " * 50, "%%% 7" * 60] * 10, [1, 0] * 10, epochs=2)
+    cases = ["", "a", "abcd", "é東京", "x" * 252, "x" * 256 + "y", prose(60), prose(150), "%%% abc"]
+    got = net.score([*cases, None])
+    for text, score in zip([*cases, ""], got, strict=True):
+        z = sum(w * x for w, x in zip(net.weights.tolist(), plain_features(net, text), strict=True)) + net.intercept
+        assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_byte_cnn_learns_down_the_gradient(monkeypatch):
+    """The first step of training moves each weight against the sign of a numeric gradient of the loss."""
+    texts, labels = [prose(70), "%%% $$$ " * 30, prose(20), "### 12 " * 9], [1, 0, 1, 0]
+    start, after = byte_cnn.train(texts, labels, epochs=1, rate=0.0), byte_cnn.train(texts, labels, epochs=1, rate=1e-3)
+
+    def loss():
+        p = np.clip(start.score(texts), 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(np.array(labels) == 1, np.log(p), np.log(1 - p)))
+
+    checked = 0
+    for values, moved in ((start.filters, after.filters), (start.bias, after.bias), (start.weights, after.weights)):
+        flat, where = values.reshape(-1), np.abs((moved - values).reshape(-1))
+        for i in np.flatnonzero(where > 0)[:: max(1, int((where > 0).sum()) // 25)]:
+            kept, sides = flat[i], []
+            for by in (2e-3, -2e-3):
+                flat[i] = kept + by
+                sides.append(loss())
+            flat[i] = kept
+            slope = (sides[0] - sides[1]) / 4e-3
+            if abs(slope) > 1e-3:
+                checked += 1
+                assert np.sign(moved.reshape(-1)[i] - kept) == -np.sign(slope)
+    assert checked >= 15
+
+
 def test_vector_dedup(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((30, 16))
