@@ -69,10 +69,15 @@ def intervals(seen: DataFrame) -> DataFrame:
     )
     later = Window.partitionBy(*fact).orderBy("interval")
     heads = heads.withColumns({"valid_to": F.lead("valid_from").over(later), "closed_by": F.lead("opened_with").over(later)})
-    proof = runs.groupBy(*key, "source").agg(F.min_by(clamp(F.col("confidence")), F.struct("observed_at", "event_id")).alias("confidence"))
-    told = heads.select(*key).alias("h").join(proof.withColumnRenamed("interval", "_i").alias("e"), [*fact, "object"]).filter("_i <= interval")
-    best = told.groupBy(*key, "source").agg(F.max("confidence").alias("confidence"))
-    best = compounded(best, key)
+    proof = runs.groupBy(*key, "source").agg(F.min_by(clamp(F.col("confidence")), F.struct("observed_at", "event_id")).alias("_c"))
+    # what a source adds to the product is the step of its running maximum, so no interval meets its predecessors
+    earlier = Window.partitionBy(*fact, "object", "source").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
+    proof = proof.withColumn("_before", F.coalesce(F.max("_c").over(earlier), F.lit(0.0)))
+    factor = F.log(1 - 0.4 * F.greatest("_c", "_before")) - F.log(1 - 0.4 * F.col("_before"))
+    best = proof.groupBy(*key).agg(F.max("_c").alias("_m"), F.sum(factor).alias("_f"))
+    upto = Window.partitionBy(*fact, "object").orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
+    product = F.round(F.exp(F.sum("_f").over(upto)), 14)
+    best = best.select(*key, F.round(noisy_or(F.max("_m").over(upto), product), 6).alias("confidence"))
     out = heads.join(best, key, "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     closed = F.when(F.col("valid_to").isNull(), F.col("confidence")).otherwise(weakened(F.col("confidence"), F.col("closed_by")))
     return out.select(*key, "valid_from", "valid_to", F.round("closed_by", 6).alias("closed_by"), F.round(closed, 6).alias("confidence"))
