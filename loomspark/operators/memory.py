@@ -4,6 +4,7 @@ source profiles, provenance, recall and the context pack."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,3 +171,27 @@ def context_pack(hits: DataFrame, entities: DataFrame, edges: DataFrame, words:
     near = R.with_rank(near, *order)
     related = near.select(F.lit("relation").alias("section"), F.col("rank").cast("long").alias("rank"), F.col("relation_id").cast("string").alias("id"), "name", F.lit(None).cast("long").alias("tokens"))
     return documents.unionByName(named).unionByName(related)
+
+
+def purged(tables: dict[str, DataFrame], gone: dict[str, DataFrame], references: dict[str, dict[str, str]], keys: dict[str, str]) -> dict[str, DataFrame]:
+    """What is left of ``tables`` when rows go, and with them all rows that refer to these, through any depth.
+
+    ``gone``: for a table, one column of its keys to delete. ``references``: for a table, its columns and the
+    tables they point to, parents before children. ``keys``: the key column of each table others point to.
+    Null references hold no row back and delete none.
+    """
+    dead, left = {}, {}
+    for name, rows in tables.items():
+        lost = [(column, dead[parent]) for column, parent in references.get(name, {}).items() if parent in dead]
+        if name in gone:
+            lost.append((keys[name], gone[name].toDF("_gone")))
+        left[name] = rows
+        fallen = []
+        for column, ids in lost:
+            on = F.col(column) == F.col("_gone")
+            left[name] = left[name].join(ids, on, "left_anti")
+            if name in keys:
+                fallen.append(rows.join(ids, on, "left_semi").select(F.col(keys[name]).alias("_gone")))
+        if fallen:
+            dead[name] = reduce(DataFrame.union, fallen).distinct()
+    return left

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import evidence as E
+from loomspark.operators import extraction as X
 from loomspark.operators import graph as G
 from loomspark.operators import memory as M
 from loomspark.operators import ranking as R
@@ -287,3 +288,36 @@ def proposals_unreviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"))
     seen = by.agg(F.count_distinct(F.to_date("ts")).alias("seen_count"))
     return M.unreviewed(seen, by.agg(F.when(F.min("value") < 0.05, "approved").otherwise("pending").alias("state")))
+
+
+@query("""WITH d AS (SELECT doc_id FROM documents WHERE NOT source LIKE 'src1%'), o AS (SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM documents WHERE source LIKE 'src1%'))
+SELECT 'documents' AS name, count(*) AS kept FROM d UNION ALL SELECT 'orders', count(*) FROM o
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source LIKE 'src1%')""")
+def purge_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of some sources go, with the orders and vectors that refer to them and the lines of these orders."""
+    tables = {n: table(spark, sf_dir, n) for n in ("documents", "orders", "lineitem", "embeddings")}
+    gone = {"documents": tables["documents"].filter("source LIKE 'src1%'").select("doc_id")}
+    references = {"orders": {"o_orderkey": "documents"}, "lineitem": {"l_orderkey": "orders"}, "embeddings": {"vec_id": "documents"}}
+    left = M.purged(tables, gone, references, {"documents": "doc_id", "orders": "o_orderkey"})
+    counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("kept")) for name, rows in left.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS position, p_brand AS subject, p_type AS object FROM lineitem JOIN part ON p_partkey = l_partkey),
+own AS (SELECT doc_id, lower(subject) AS name, object AS alias FROM r WHERE position = 1),
+ends AS (SELECT doc_id, position * 2 AS pos, subject AS name FROM r UNION ALL SELECT doc_id, position * 2 + 1, object FROM r),
+lacking AS (SELECT doc_id, lower(name) AS key, min(pos) AS pos FROM ends e WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.doc_id = e.doc_id AND lower(e.name) IN (o.name, lower(o.alias))) GROUP BY 1, 2),
+asked AS (SELECT doc_id, key FROM lacking QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, key) <= 8)
+SELECT DISTINCT doc_id, name, false AS recovered FROM own UNION ALL SELECT doc_id, p_brand, true FROM asked JOIN (SELECT DISTINCT p_brand FROM part) ON lower(p_brand) = key""")
+def endpoint_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines relate a brand to a type; only the first line's are known as entities, and a
+    second look that knows brands alone is asked for the rest."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    lines = table(spark, sf_dir, "lineitem").join(brands, "l_partkey")
+    relations = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("position"), F.col("p_brand").alias("subject"), F.col("p_type").alias("object"))
+    first = relations.filter("position = 1").groupBy("doc_id", F.lower("subject").alias("name"))
+    own = first.agg(F.collect_set("object").alias("aliases"), F.lit(0.9).alias("confidence"))
+    asked = X.missing_endpoints(own, relations)
+    found = relations.select("doc_id", F.col("subject").alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit(0.5).alias("confidence"))
+    return X.with_recovered(own, found, asked).select("doc_id", "name", "recovered")

@@ -15,7 +15,7 @@ from loomspark.functions import text as T
 from loomspark.operators import analytics as A
 from loomspark.operators import curation as C
 from loomspark.operators import evidence as E
-from loomspark.operators import extraction, graph
+from loomspark.operators import extraction, graph, memory
 from loomspark.operators import ranking as R
 from loomspark.plans.curation import fake_extract
 from loomspark.plans.ingestion import extract_entities
@@ -231,6 +231,37 @@ def test_memory_tools(spark):
     assert C.ingest(spark.createDataFrame([(1, "w", "h"), (1, "w", "h"), (2, "w", "h"), (3, None, "h")], "doc_id int, workspace string, sha256 string")).filter("deduped").count() == 2
 
 
+def test_endpoint_recovery(spark):
+    own = spark.createDataFrame([(1, "Acme Labs", ["Acme"], 0.9), (2, "Solo", None, 0.9)], "doc_id int, name string, aliases array<string>, confidence double")
+    said = [(1, 0, "acme", "Ferry Ltd "), (1, 1, "FERRY LTD", "Zed"), (1, 2, "q", None), (3, 0, "New", "new"), (2, 0, "solo", "SOLO")]
+    relations = spark.createDataFrame(said, "doc_id int, position int, subject string, object string")
+    asked = extraction.missing_endpoints(own, relations)
+    assert sorted((r.doc_id, r.key, r.name) for r in asked.collect()) == [(1, "ferry ltd", "Ferry Ltd"), (1, "zed", "Zed"), (3, "new", "New")]
+    assert [r.name for r in extraction.missing_endpoints(own, relations, most=1).filter("doc_id = 1").collect()] == ["Ferry Ltd"]
+    found = [(1, "ferry ltd", [], 0.4), (1, "Ferry Ltd", [], 0.8), (1, "Invented", [], 1.0), (1, "ACME LABS", [], 1.0)]
+    found = spark.createDataFrame(found, own.schema)
+    rows = extraction.with_recovered(own, found, asked).select("doc_id", "name", "recovered").collect()
+    assert sorted(map(tuple, rows)) == [(1, "Acme Labs", False), (1, "Ferry Ltd", True), (2, "Solo", False)]
+    none = extraction.missing_endpoints(own.limit(0), relations.limit(0))
+    assert none.count() == 0 and extraction.with_recovered(own, found, none).count() == 2
+
+
+def test_purge_reaches_every_depth(spark):
+    tables = {
+        "docs": spark.createDataFrame([(1,), (2,), (None,)], "doc int"),
+        "chunks": spark.createDataFrame([(10, 1), (20, 2), (30, None)], "chunk int, doc int"),
+        "proofs": spark.createDataFrame([(10, 2), (20, 2), (20, 1), (None, None)], "chunk int, doc int"),
+        "apart": spark.createDataFrame([(1,)], "doc int"),
+    }
+    references = {"chunks": {"doc": "docs"}, "proofs": {"chunk": "chunks", "doc": "docs"}}
+    keys = {"docs": "doc", "chunks": "chunk"}
+    purge = lambda ids: memory.purged(tables, {"docs": spark.createDataFrame(ids, "doc int")}, references, keys)
+    left = {name: [tuple(r) for r in rows.collect()] for name, rows in purge([(1,), (1,), (9,)]).items()}
+    assert sorted(left["docs"], key=str) == [(2,), (None,)] and sorted(left["chunks"]) == [(20, 2), (30, None)]
+    assert sorted(left["proofs"], key=str) == [(20, 2), (None, None)] and left["apart"] == [(1,)]
+    assert all(rows.count() == tables[name].count() for name, rows in purge([]).items())
+
+
 def test_change_log_and_review(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, x string, y int")
     new = spark.createDataFrame([(1, "a", None), (3, "c", 3)], "id int, x string, y int")
