@@ -157,6 +157,38 @@ def review(proposals: DataFrame, decisions: DataFrame, id: str = "proposal_id")
     return proposals.join(last, id, "left").withColumn("state", F.coalesce(state, "state")).drop("_d")
 
 
+def approved_entities(proposals: DataFrame, entities: DataFrame, id: str = "proposal_id") -> DataFrame:
+    """(id, entity_id, made) of approved proposals (id, name, kind, state): the entity that each stands for.
+
+    One with the same name, whatever its case, and kind is taken as it is, the smallest id of several. Else
+    one is made, once for all proposals of that name and kind; its id is a hash of these, so reruns agree.
+    """
+    key = [F.lower("name").alias("_n"), F.col("kind").alias("_k")]
+    known = entities.groupBy(*key).agg(F.min("entity_id").alias("_e"))
+    wanted = proposals.filter("state = 'approved'").select(id, *key)
+    on = wanted["_n"].eqNullSafe(known["_n"]) & wanted["_k"].eqNullSafe(known["_k"])
+    made = F.sha2(F.concat_ws("\n", wanted["_k"], wanted["_n"]), 256)
+    return wanted.join(known, on, "left").select(id, F.coalesce(F.col("_e").cast("string"), made).alias("entity_id"), F.col("_e").isNull().alias("made"))
+
+
+def approved_edges(proposals: DataFrame, entities: DataFrame, edges: DataFrame, id: str = "proposal_id") -> DataFrame:
+    """Approved relations (id, subject, predicate, object, state) with ``outcome``: blocked while an end is
+    no entity, kept if the edge is current, superfluous if a smaller id makes the same edge, else made.
+
+    ``edges``: the current ones (subject, predicate, object), which may repeat. Null ends are blocked.
+    """
+    spo = ["subject", "predicate", "object"]
+    wanted = proposals.filter("state = 'approved'").select(id, *spo)
+    for end in ("subject", "object"):
+        there = entities.select(F.col("entity_id").alias(end)).distinct().withColumn(f"_{end}", F.lit(True))
+        wanted = wanted.join(there, end, "left")
+    current = edges.select(*spo).distinct().withColumn("_edge", F.lit(True))
+    first = wanted.groupBy(*spo).agg(F.min(id).alias("_first"))
+    rows = wanted.join(current, spo, "left").join(first, spo, "left")
+    outcome = F.when(F.col("_subject").isNull() | F.col("_object").isNull(), "blocked").when(F.col("_edge"), "kept").when(F.col(id) > F.col("_first"), "superfluous")
+    return rows.select(id, *spo, outcome.otherwise("made").alias("outcome"))
+
+
 def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The change log between two snapshots: (key, op, column, old_value, new_value) for each changed column."""
     o = old.select(F.col(key), F.struct(*columns).alias("_o"))

@@ -272,6 +272,21 @@ def test_change_log_and_review(spark):
     assert {r.proposal_id: r.state for r in C.review(proposals, decisions).collect()} == {1: "rejected", 2: "pending", 3: "approved"}
 
 
+def test_inserts_of_approved_reviews(spark):
+    have = spark.createDataFrame([(5, "Acme", "org"), (3, "ACME", "org"), (7, "Acme", "place")], "entity_id int, name string, kind string")
+    wanted = [(1, "acme", "org", "approved"), (2, "Beta", "org", "approved"), (3, "BETA", "org", "approved"), (4, "Acme", None, "approved"), (5, "acme", "org", "rejected")]
+    wanted = spark.createDataFrame(wanted, "proposal_id int, name string, kind string, state string")
+    got = {r.proposal_id: r for r in C.approved_entities(wanted, have).collect()}
+    assert set(got) == {1, 2, 3, 4} and (got[1].entity_id, got[1].made) == ("3", False)
+    assert got[2].made and got[2].entity_id == got[3].entity_id != got[4].entity_id and got[4].made
+    edges = spark.createDataFrame([(3, "p", 5), (3, "p", 5)], "subject int, predicate string, object int")
+    said = [(1, 3, "p", 5), (2, 5, "p", 3), (3, 5, "p", 3), (4, 3, "p", 9), (5, None, "p", 3)]
+    said = spark.createDataFrame([(*r, "approved") for r in said] + [(6, 3, "q", 5, "pending")], "proposal_id int, subject int, predicate string, object int, state string")
+    got = {r.proposal_id: r.outcome for r in C.approved_edges(said, have, edges).collect()}
+    assert got == {1: "kept", 2: "made", 3: "superfluous", 4: "blocked", 5: "blocked"}
+    assert C.approved_edges(said.limit(0), have, edges).count() == 0
+
+
 def test_hops(spark):
     edges = spark.createDataFrame([("k", "n", a, "n", b, "p", 1.0) for a, b in ((1, 2), (2, 3), (3, 1), (3, 4), (9, 8))], ", ".join(f"{c} {'long' if c in ('src', 'dst') else 'double' if c == 'confidence' else 'string'}" for c in graph.EDGE_COLUMNS))
     got = {r.id: r.hop for r in graph.hops(edges, spark.createDataFrame([("n", 1)], "kind string, id long"), 3).collect()}
