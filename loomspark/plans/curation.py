@@ -148,16 +148,16 @@ def review_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH cur AS (SELECT DISTINCT l_suppkey AS s, l_returnflag AS p, l_partkey AS o FROM lineitem WHERE l_linestatus = 'O'),
 w AS (SELECT event_id, user_id % 100 AS s, CASE event_type WHEN 'click' THEN 'A' WHEN 'view' THEN 'N' ELSE 'R' END AS p, event_id % 200 AS o FROM events WHERE value >= 10),
 f AS (SELECT s, p, o, min(event_id) AS first FROM w GROUP BY ALL)
-SELECT event_id AS proposal_id, s AS subject, p AS predicate, o AS object, CASE WHEN s NOT IN (SELECT s_suppkey FROM supplier UNION SELECT p_partkey FROM part) OR o NOT IN (SELECT s_suppkey FROM supplier UNION SELECT p_partkey FROM part) THEN 'blocked'
+SELECT event_id AS proposal_id, s AS subject, p AS predicate, o AS object, CASE WHEN s NOT IN (SELECT s_suppkey FROM supplier UNION SELECT p_partkey FROM part WHERE p_size > 5) OR o NOT IN (SELECT s_suppkey FROM supplier UNION SELECT p_partkey FROM part WHERE p_size > 5) THEN 'blocked'
   WHEN EXISTS (SELECT 1 FROM cur WHERE (cur.s, cur.p, cur.o) = (w.s, w.p, w.o)) THEN 'kept' WHEN event_id > first THEN 'superfluous' ELSE 'made' END AS outcome
 FROM w JOIN f USING (s, p, o)""")
 def review_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of some value are approved relations of a supplier and a part; order lines still open are the edges."""
+    """Events of some value are approved relations of suppliers and larger parts; order lines still open are the edges."""
     verb = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "N").otherwise("R")
     state = F.when(F.col("value") >= 10, "approved").otherwise("pending")
     ends = {"proposal_id": F.col("event_id"), "subject": F.col("user_id") % 100, "predicate": verb, "object": F.col("event_id") % 200, "state": state}
     proposals = table(spark, sf_dir, "events").select(*(c.alias(n) for n, c in ends.items()))
-    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id")).union(table(spark, sf_dir, "part").select("p_partkey"))
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity_id")).union(table(spark, sf_dir, "part").filter("p_size > 5").select("p_partkey"))
     opened = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'")
     edges = opened.select(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("l_partkey").alias("object"))
     return C.approved_edges(proposals, ids, edges)
