@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, byte_cnn, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts, url_filters, vector_dedup
+from loomspark.llm import bpe, byte_cnn, fill_middle, jaccard_join, line_dedup, mixing, prefix_trie, quality_rules, sharding, token_counts
+from loomspark.llm import url_filters, vector_dedup
 from loomspark.llm.shared import materialise, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +157,22 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("position")
+
+
+ORACLE_SQL["op12_prefix_trie"] = prefix_trie.ORACLE_SQL
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+ORACLE_SQL["op13_fill_middle"] = fill_middle.ORACLE_SQL
