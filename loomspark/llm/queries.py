@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, byte_cnn, fill_middle, jaccard_join, line_dedup, mixing, prefix_trie, quality_rules, sharding, token_counts
-from loomspark.llm import url_filters, vector_dedup
+from loomspark.llm import bpe, byte_cnn, fill_middle, hidden_markov, jaccard_join, line_dedup, mixing, prefix_trie, quality_rules
+from loomspark.llm import sharding, token_counts, url_filters, vector_dedup
 from loomspark.llm.shared import materialise, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return hidden_markov.language_model(table(spark, sf_dir, "documents").select("doc_id", "text"), learn)
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("position")
