@@ -28,7 +28,7 @@ from loomspark.llm.shared import materialise, scratch, slices
 
 STATES, ROUNDS, OWN = 6, 2, 50
 #: Bytes of text a block has at most (a longer text is a block), and words swept at a time.
-BLOCK_BYTES, SWEEP = 16 << 20, 1 << 18
+BLOCK_BYTES, SWEEP = 8 << 20, 1 << 17
 #: Texts, of at most so many bytes, from which the first guess of the states is taken; the driver reads them.
 SEEDS, SEED_BYTES = 384, 16_000
 #: Rounds over these texts, and what a state that a profile was not seen in keeps of the unigram estimate.
@@ -65,6 +65,7 @@ def encoded(docs: DataFrame, carried: list[str], block_bytes: int) -> DataFrame:
             ]
             out = pa.RecordBatch.from_arrays(made, ["block", *carried, "_learn", "_seed", "lengths", "tokens", "words", "trained"])
             words.clear(), parts.clear(), lengths.clear(), rows.clear()
+            pa.default_memory_pool().release_unused()
             return out
 
         for batch in batches:
@@ -156,11 +157,18 @@ class Packed:
         steps = int(lengths.max()) if len(lengths) else 0
         active = np.cumsum(np.bincount(lengths, minlength=steps + 1)[::-1])[::-1][1:]  # sequences longer than t
         offset = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
-        step = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = offset[step] + np.repeat(rank, lengths)
         packed, owner = np.empty_like(tokens), np.empty(len(tokens), np.int32)
-        packed[place] = tokens
-        owner[place] = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        ends = np.cumsum(lengths)
+        begin = 0
+        while begin < len(lengths):  # some sequences at a time, as the places are wide
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SWEEP, side="right")))
+            size, start = lengths[begin:end], int(ends[begin] - lengths[begin])
+            total = int(size.sum())
+            step = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+            place = offset[step] + np.repeat(rank[begin:end], size)
+            packed[place] = tokens[start : start + total]
+            owner[place] = np.repeat(np.arange(begin, end, dtype=np.int32), size)
+            begin = end
         return cls(packed, owner, offset)
 
     def spans(self) -> list[tuple[int, int]]:
@@ -310,9 +318,10 @@ def seed_texts(coded: DataFrame) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("lengths", "tokens", "counts", "at", "_seed")}
                 tokens, lengths, _, at = unpack(row)
-                profiles = np.array(row["profiles"], np.int64)
+                profiles = batch.column("profiles")[i].values.to_numpy()
                 ends = np.cumsum(lengths)
                 found = [(m, profiles[at[tokens[e - n : e]]].tobytes()) for m, n, e in zip(row["_seed"], lengths, ends, strict=True) if m is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["mark", "profiles"])
@@ -343,13 +352,13 @@ def baum_welch(coded: DataFrame, totals: DataFrame, model: Hmm, keep: Keep) -> H
     shared = Hmm(model.first, model.moves, model.tokens, model.distinct)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left.column(c)[0].as_py() for c in left.column_names}
+        row = {c: left.column(c)[0].as_py() for c in ("lengths", "tokens", "counts", "at", "_learn")}
         tokens, lengths, counts, at = unpack(row)
         learn = np.array(row["_learn"], bool)
         emissions = shared.emissions(placed(right, states), counts, at, np.float32)
         packed = Packed.of(tokens[np.repeat(learn, lengths)], lengths[learn].astype(np.int64))
         found, pairs, starts = expected(packed, emissions, shared.first.astype(np.float32), shared.moves.astype(np.float32), at, right.num_rows)
-        name = np.array(row["profiles"], np.int64)
+        name = left.column("profiles")[0].values.to_numpy()
         some = found.any(axis=1)
         name = np.concatenate([name[some], TRANSITIONS + np.arange(states), [FIRST]])
         values = np.vstack([found[some], pairs, starts])
