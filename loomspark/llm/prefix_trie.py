@@ -149,21 +149,17 @@ def joined_hash(rows: DataFrame, keys: list[str], keep: Keep) -> DataFrame:
 def doubled(arcs: DataFrame, keep: Keep) -> DataFrame:
     """(arc, rank): ``dist`` summed from each arc to the end of its list, by pointer doubling.
 
-    ``arcs`` has arc, next (null at the end) and dist. No two arcs share a next, so no key is ever hot, and
-    arcs that have reached the end take no part in later joins.
+    ``arcs`` has arc, next (null at the end) and dist. Arcs that have reached the end take no part in the
+    joins, and of the others no two share a next, so no key is ever hot.
     """
-    done, current = None, keep(arcs)
+    current = keep(arcs)
     while True:
-        ended = current.filter("next IS NULL").select("arc", "dist")
-        done = ended if done is None else done.unionByName(ended)
         live = current.filter("next IS NOT NULL")
         if live.isEmpty():
-            return done.select("arc", F.col("dist").alias("rank"))
+            return current.select("arc", F.col("dist").alias("rank"))
         jump = current.select(F.col("arc").alias("next"), F.col("next").alias("_next"), F.col("dist").alias("_dist"))
-        # the next arc may have ended in an earlier round: then its rank is final
-        past = done.select(F.col("arc").alias("next"), F.lit(None).cast(current.schema["next"].dataType).alias("_next"), F.col("dist").alias("_dist"))
-        jump = jump.filter("_next IS NOT NULL").unionByName(past)
-        current = keep(live.join(jump, "next").select("arc", F.col("_next").alias("next"), (F.col("dist") + F.col("_dist")).alias("dist")))
+        moved = live.join(jump, "next").select("arc", F.col("_next").alias("next"), (F.col("dist") + F.col("_dist")).alias("dist"))
+        current = keep(current.filter("next IS NULL").unionByName(moved))
 
 
 def list_ranks(arcs: DataFrame, keep: Keep, doubled_up_to: int = DOUBLED) -> DataFrame:
