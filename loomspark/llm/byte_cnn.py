@@ -101,7 +101,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 14, batch: int = 24
             z = features @ values[2] + values[3][0]
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[picked]) / len(picked)
             grad_rows = (error[:, None] * values[2][:FILTERS])[owner] / sizes[owner][:, None]
-            hit = pooled == most[owner]  # ties share nothing: each is a maximum
+            hit = (pooled == most[owner]).astype(np.float32)
+            hit /= np.add.reduceat(hit, first, axis=0)[owner]  # chunks that tie for a maximum share its gradient
             grad_rows = (grad_rows + hit * (error[:, None] * values[2][FILTERS:])[owner]) * (pooled > 0)
             grad = np.empty_like(values[0])
             column = np.arange(FILTERS)[None, :]

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = random.Random(17)
+
+
+@pytest.fixture(autouse=True)
+def own_generator(request):
+    """Each test draws from its own sequence, whatever ran before it."""
+    RNG.seed(request.node.name)
+
+
 VOCABULARY = [f"w{i}" for i in range(300)]
 
 
@@ -37,6 +45,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
+    RNG.seed(17)
     rows = [(i, t, RNG.choice(["en", None]), RNG.choice(["a", "b", "c", None]), len(t or ""), "extra") for i, t in enumerate(texts())]
     rows.append(rows[3])
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string").repartition(3)
@@ -265,28 +274,39 @@ def test_byte_cnn_against_a_plain_convolution():
         assert score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
 
-def test_byte_cnn_learns_down_the_gradient(monkeypatch):
-    """The first step of training moves each weight against the sign of a numeric gradient of the loss."""
-    texts, labels = [prose(70), "%%% $$$ " * 30, prose(20), "### 12 " * 9], [1, 0, 1, 0]
+@pytest.mark.parametrize("seed", range(12))
+def test_byte_cnn_learns_down_the_gradient(seed):
+    """The first step of training moves each weight against the sign of a numeric gradient of the loss.
+
+    Weights at which a maximum changes hands between the two sides have no slope there and are passed over:
+    for them a step of half the size gives another slope.
+    """
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    # repeated phrases: their chunks tie for the maximum
+    texts, labels = [words(70), "%%% $$$ " * 300, words(20), "### 12 " * 150], [1, 0, 1, 0]
     start, after = byte_cnn.train(texts, labels, epochs=1, rate=0.0), byte_cnn.train(texts, labels, epochs=1, rate=1e-3)
 
     def loss():
         p = np.clip(start.score(texts), 1e-9, 1 - 1e-9)
         return -np.mean(np.where(np.array(labels) == 1, np.log(p), np.log(1 - p)))
 
+    def slope(flat, i, step):
+        kept, sides = flat[i], []
+        for by in (step, -step):
+            flat[i] = kept + by
+            sides.append(loss())
+        flat[i] = kept
+        return (sides[0] - sides[1]) / (2 * step)
+
     checked = 0
     for values, moved in ((start.filters, after.filters), (start.bias, after.bias), (start.weights, after.weights)):
         flat, where = values.reshape(-1), np.abs((moved - values).reshape(-1))
         for i in np.flatnonzero(where > 0)[:: max(1, int((where > 0).sum()) // 25)]:
-            kept, sides = flat[i], []
-            for by in (2e-3, -2e-3):
-                flat[i] = kept + by
-                sides.append(loss())
-            flat[i] = kept
-            slope = (sides[0] - sides[1]) / 4e-3
-            if abs(slope) > 1e-3:
+            wide, narrow = slope(flat, i, 1e-3), slope(flat, i, 5e-4)
+            if abs(wide) > 1e-3 and abs(wide - narrow) < 0.05 * abs(wide):
                 checked += 1
-                assert np.sign(moved.reshape(-1)[i] - kept) == -np.sign(slope)
+                assert np.sign(moved.reshape(-1)[i] - flat[i]) == -np.sign(wide)
     assert checked >= 15
 
 
@@ -423,10 +443,14 @@ def test_line_dedup_blocks_of_one_partner(spark):
 
 
 def test_least_blocks_cover_common_blocks():
-    for _ in range(300):
-        a, b = ([" ".join("v" for _ in range(RNG.randint(0, 4))) + RNG.choice("pq") for _ in range(RNG.randint(1, 9))] for _ in "ab")
-        parts = [{key: (first, last) for first, last, key in line_dedup.least_blocks("\n".join(x), 6)} for x in (a, b)]
-        hit = {i for key in parts[0].keys() & parts[1].keys() for i in range(parts[0][key][0], parts[0][key][1] + 1)}
+    rng = random.Random(31)
+    for _ in range(3000):
+        a, b = ([" ".join("v" for _ in range(rng.randint(0, 4))) + rng.choice("pq") for _ in range(rng.randint(1, 9))] for _ in "ab")
+        parts = [defaultdict(list), defaultdict(list)]  # a text may have a block at several places
+        for x, places in zip((a, b), parts, strict=True):
+            for first, last, key in line_dedup.least_blocks("\n".join(x), 6):
+                places[key].append((first, last))
+        hit = {i for key in parts[0].keys() & parts[1].keys() for first, last in parts[0][key] for i in range(first, last + 1)}
         want, size = set(), lambda x: sum(len(t.split()) for t in x)
         for i in range(len(a)):
             for j in range(i + 1, len(a) + 1):
