@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import materialise, scratch, slices
+from loomspark.llm.shared import bucketed, materialise, release, scratch, slices
 
-STATES, ROUNDS, OWN = 6, 2, 50
+STATES, ROUNDS, OWN = 6, 2, 200
 #: Bytes of text a block has at most (a longer text is a block), and words swept at a time.
 BLOCK_BYTES, SWEEP = 8 << 20, 1 << 17
 #: Texts, of at most so many bytes, from which the first guess of the states is taken; the driver reads them.
@@ -335,7 +335,7 @@ def seed_texts(coded: DataFrame) -> list[np.ndarray]:
 def of_blocks(coded: DataFrame, model: Hmm) -> DataFrame:
     """(to, place, r): the ratios of each block's profiles; 1 for a profile of which nothing is known."""
     asked = coded.select(F.col("block").alias("to"), F.posexplode("profiles").alias("place", "profile"))
-    ones = F.array(*(F.lit(1.0) for _ in model.first))
+    ones = F.array(*(F.lit(1.0).cast("float") for _ in model.first))
     return asked.join(model.ratios, "profile", "left").select("to", "place", F.coalesce("r", ones).alias("r"))
 
 
@@ -362,18 +362,18 @@ def baum_welch(coded: DataFrame, totals: DataFrame, model: Hmm, keep: Keep) -> H
         some = found.any(axis=1)
         name = np.concatenate([name[some], TRANSITIONS + np.arange(states), [FIRST]])
         values = np.vstack([found[some], pairs, starts])
-        return pa.Table.from_arrays([pa.array(name), *(pa.array(values[:, s].astype(np.float64)) for s in range(states))], ["profile", *names])
+        return pa.Table.from_arrays([pa.array(name), *(pa.array(values[:, s].astype(np.float32)) for s in range(states))], ["profile", *names])
 
     left = coded.filter(F.exists("_learn", lambda x: x)).select("block", "_learn", "lengths", "tokens", "counts", "at", "profiles")
-    schema = ", ".join(["profile long", *(f"{c} double" for c in names)])
+    schema = ", ".join(["profile long", *(f"{c} float" for c in names)])
     found = left.groupBy("block").cogroup(of_blocks(left, model).groupBy("to")).applyInArrow(run, schema)
-    found = keep(found.groupBy("profile").agg(*(F.sum(c).alias(c) for c in names)))
+    found = keep(found.groupBy("profile").agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in names)))
     special = {r.profile: [r[c] for c in names] for r in found.filter(F.col("profile") <= FIRST).collect()}  # states + 1 rows
     of_states = found.filter(F.col("profile") > FIRST).agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in names)).first()
     share = (np.array(of_states, float) + 1e-9) / (sum(of_states) + 1e-9 * states)
     joined = found.join(totals, "profile")
     r = F.array(*(F.col(c) / F.lit(float(s)) / F.col("total") for c, s in zip(names, share, strict=True)))
-    ratios = keep(joined.select("profile", r.alias("r")))
+    ratios = keep(joined.select("profile", r.cast("array<float>").alias("r")))
     zero = [0.0] * states
     pairs = np.array([special.get(TRANSITIONS + s, zero) for s in range(states)])
     return Hmm(from_counts(special.get(FIRST, zero)), from_counts(pairs), model.tokens, model.distinct, ratios)
@@ -430,22 +430,27 @@ def language_model(
         seed = F.when(learn & (F.octet_length(text) <= SEED_BYTES) & (key <= F.lit(short).cast("long")), key)
         names = {c: f"_c{i}" for i, c in enumerate(carried)}
         asked = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), learn.alias("_learn"), seed.alias("_seed"), F.col(f"`{text}`").alias("_text"))
-        blocks = keep(encoded(asked, list(names.values()), block_bytes))
-        words = keep(lexicon(blocks, own))
+        blocks = materialise(encoded(asked, list(names.values()), block_bytes))
+        words = materialise(lexicon(blocks, own))
         n, v = words.agg(F.sum("trained"), F.count_if(F.col("first") & (F.col("c") > 0))).first()
-        coded = keep(recoded(blocks, words, list(names.values())))
         totals = keep(words.filter("first AND c > 0").groupBy("profile").agg(F.sum("c").cast("double").alias("total")))
+        # each round groups by block: buckets spare it the shuffle of all tokens
+        coded = bucketed(recoded(blocks, words, list(names.values())), "block")
+        release(words)
+        release(blocks)
         model = Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), n or 0, v or 0)
-        none = spark.createDataFrame([], "profile long, r array<double>")
+        none = spark.createDataFrame([], "profile long, r array<float>")
         model.ratios = none
         seeds = seed_texts(coded)
         if seeds:
             profiles, ratios, model.first, model.moves = first_guess(seeds, states)
-            frame = pa.table({"profile": profiles, "r": pa.array(list(ratios), pa.list_(pa.float64()))})
+            frame = pa.table({"profile": profiles, "r": pa.array(list(ratios.astype(np.float32)), pa.list_(pa.float32()))})
             model.ratios = keep(spark.createDataFrame(frame))
             for _ in range(rounds):
                 model = baum_welch(coded, totals, model, keep)
                 if told is not None:
                     told.append(model)
         out = scores(coded, model, list(names.values()))
-        return materialise(out.withColumnsRenamed({n: c for c, n in names.items()}))
+        out = materialise(out.withColumnsRenamed({n: c for c, n in names.items()}))
+        release(coded)
+        return out

@@ -47,11 +47,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` as a table in buckets of ``key`` and read it back: later groupings by ``key`` do not shuffle it."""
+    spark = df.sparkSession
+    name = f"loomspark_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._loomspark_path, out._loomspark_table = path, name
+    return out
+
+
 def release(df: DataFrame | None) -> None:
-    """Delete a table written by :func:`materialise` which no later plan reads."""
-    path = getattr(df, "_loomspark_path", None)
+    """Delete a table written by :func:`materialise` or :func:`bucketed` which no later plan reads."""
+    path, name = getattr(df, "_loomspark_path", None), getattr(df, "_loomspark_table", None)
     if path:
         spark = df.sparkSession
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
