@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.numbers import percent
@@ -79,3 +79,13 @@ def milestone(count: Column) -> Column:
 
 def attribution_tier(count: Column) -> Column:
     return F.when(count <= 25, "full").when(count <= 100, "conditional").otherwise("silent")
+
+
+def bounded(rows: DataFrame, keys: list[str], order: str, most: int = 101) -> DataFrame:
+    """(keys, n): how many rows each key has, counted up to ``most`` and no further.
+
+    A partition passes on ``most`` rows of a key at most (a window group limit), so a key with very many
+    rows costs its shuffle a bounded number of them. Null keys are one key.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.select(*keys, order).withColumn("_r", place).filter(F.col("_r") <= most).groupBy(*keys).agg(F.count("*").alias("n"))

@@ -1,18 +1,48 @@
-"""Cutting the lineage of iterative operators by checkpoints in the folder that a cluster shares."""
+"""Tables of iterative and stored operators in the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a local session without it uses a folder of its process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="loomspark-"))
+    return f"file://{_own_folder[0]}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: lineage ends here."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later plan reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint below ``spark.checkpoint.dir``; a local session without it uses a folder of its own."""
+    """``df`` as a checkpoint below the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='loomspark-')}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

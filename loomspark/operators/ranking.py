@@ -5,7 +5,9 @@ A candidate set is bounded by its limit. Windows without a partition key run on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,12 @@ SCORE_SHARE, RECENCY_SHARE = 0.7, 0.3
 BOOSTS = (0.4, 0.25, 0.15, 0.08, 0.04)
 
 
+def query_words(query: str) -> list[str]:
+    """The distinct tokens of a query, as functions.text.tokens, worked out once and given to Spark as literals:
+    it would evaluate them again for every row, and inside a lambda for every token of every row."""
+    return list(dict.fromkeys(t for t in re.split("[^a-z0-9]+", query.lower()) if len(t) > 1))
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k rows with the highest cosine similarity ``sim`` (6 digits), ties by id: a distributed top-k."""
     scored = vectors.withColumn("sim", F.round(cosine_to(F.col(vector), query), 6)).drop(vector)
@@ -91,8 +99,7 @@ def hybrid(
 def entity_boosts(entities: DataFrame, mentions: DataFrame, query: str) -> DataFrame:
     """(doc_id, boost): the five longest entity names that contain a query token give 0.4 down to 0.04
     to each document that mentions them, once an entity."""
-    words = F.array_distinct(tokens(F.lit(query)))
-    hit = entities.filter(F.exists(words, lambda t: F.lower("name").contains(t)))
+    hit = entities.filter(reduce(lambda a, t: a | F.lower("name").contains(t), query_words(query), F.lit(False)))
     best = hit.orderBy(F.desc(F.length("name")), "entity_id").limit(len(BOOSTS))
     ranked = best.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(F.length("name")), "entity_id")))
     ranked = ranked.select("entity_id", F.element_at(F.array(*(F.lit(x) for x in BOOSTS)), F.col("_r")).alias("_b"))
@@ -106,7 +113,7 @@ def full_text(docs: DataFrame, query: str) -> DataFrame:
     A text is split once for the filter and once for the score: the tokens that the query has are bound
     as a lambda variable, and only these few are counted.
     """
-    words = F.array_distinct(tokens(F.lit(query)))
+    words = F.array(*(F.lit(t) for t in query_words(query))).cast("array<string>")
     own = F.array(F.filter(tokens(F.col("text")), lambda t: F.array_contains(words, t)))
     count = lambda met, w: F.size(F.filter(met, lambda t: t == w))
     score = F.transform(own, lambda met: F.aggregate(F.array_distinct(met), F.lit(0.0), lambda s, w: s + count(met, w) / (count(met, w) + F.lit(1.0))))

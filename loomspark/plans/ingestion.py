@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import structured as S
 from loomspark.operators import extraction
+from loomspark.operators.lineage import new_folder
 from loomspark.plans.evidence import NOISY, OR_SQL
 from loomspark.plans.views import observations
 from loomspark.registry import query, table
@@ -52,8 +50,7 @@ def name_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomspark-')}"
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

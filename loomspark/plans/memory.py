@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import analytics as A
 from loomspark.operators import evidence as E
 from loomspark.operators import extraction as X
 from loomspark.operators import graph as G
@@ -250,7 +251,8 @@ def functional_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id AS workspace, least(count(*), 101) AS n FROM events GROUP BY 1""")
 def bounded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("workspace")).agg(F.least(F.count("*"), F.lit(101)).alias("n"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("workspace"), "event_id")
+    return A.bounded(rows, ["workspace"], "event_id", 101)
 
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean, max(value) AS highest, arg_max(value, (ts, event_id)) AS latest, count(*) AS n FROM events GROUP BY 1""")

@@ -16,9 +16,9 @@ def unique_events(events: DataFrame, keys: list[str], time: str, delay: str) ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
+def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run over all that is there now, batch by batch, and stop."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer.foreachBatch(each).start().awaitTermination()
 
 
