@@ -6,15 +6,16 @@ added up over all partitions, and their ratios are the next model. The scaled fo
 the exact likelihood of any text.
 
 Texts are encoded once, in blocks of some MB, and a block only ever needs the emissions of its own words:
-the table of words is joined to blocks by shuffles and never sent whole to a task or the driver. Words of
-OWN training occurrences or more have an emission profile of their own; rarer ones share the profile of
-their last two bytes. With profile r, states' shares s, c occurrences in N training tokens and V distinct
+the table of words is joined to blocks by shuffles and never sent whole to a task or the driver. Words that
+are at least OWN of all training tokens have an emission profile of their own; rarer ones share the profile
+of their last two bytes. So there are 1 / OWN + 65,536 profiles at most, while every word is counted. With profile r, states' shares s, c occurrences in N training tokens and V distinct
 ones, state k emits a word with probability (c * r_k + 0.5) / (N + 0.5 * (V + 1)): mixed by their shares the
 states give the unigram estimate of the base score, and an unknown word has the same mass in each.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from loomspark.llm.shared import bucketed, materialise, release, scratch, slices
 
-STATES, ROUNDS, OWN = 6, 2, 200
+STATES, ROUNDS, OWN = 6, 2, 5e-6
+#: Occurrences that a profile of its own needs in a small corpus.
+LEAST = 20
 #: Bytes of text a block has at most (a longer text is a block), and words swept at a time.
 BLOCK_BYTES, SWEEP = 8 << 20, 1 << 17
 #: Texts, of at most so many bytes, from which the first guess of the states is taken; the driver reads them.
@@ -409,7 +412,7 @@ def scores(coded: DataFrame, model: Hmm, carried: list[str]) -> DataFrame:
 
 
 def language_model(
-    docs: DataFrame, learn: Column, carried: list[str] | None = None, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, own: int = OWN,
+    docs: DataFrame, learn: Column, carried: list[str] | None = None, id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, own: int | None = None,
     block_bytes: int = BLOCK_BYTES, told: list | None = None,
 ) -> DataFrame:
     """Score all of ``docs`` by a model of those for which ``learn`` holds; ``carried`` columns (id if not given) come along.
@@ -418,7 +421,7 @@ def language_model(
     token too. A null text is empty; a null in ``learn`` counts as true; rows that repeat count as often as
     they stand there. Without training texts every token has probability 1; an empty table gives an empty
     one. Other columns are not read. Models of the rounds are appended to ``told``. One table, the result,
-    stays in the shared folder.
+    stays in the shared folder. ``own`` sets the occurrences from which a word has its own profile.
     """
     carried = [id] if carried is None else carried
     spark = docs.sparkSession
@@ -431,14 +434,15 @@ def language_model(
         names = {c: f"_c{i}" for i, c in enumerate(carried)}
         asked = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), learn.alias("_learn"), seed.alias("_seed"), F.col(f"`{text}`").alias("_text"))
         blocks = materialise(encoded(asked, list(names.values()), block_bytes))
-        words = materialise(lexicon(blocks, own))
-        n, v = words.agg(F.sum("trained"), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+        n = blocks.agg(F.sum(F.aggregate("trained", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+        words = materialise(lexicon(blocks, max(LEAST, math.ceil(OWN * n)) if own is None else own))
+        v = words.agg(F.count_if(F.col("first") & (F.col("c") > 0))).first()[0]
         totals = keep(words.filter("first AND c > 0").groupBy("profile").agg(F.sum("c").cast("double").alias("total")))
         # each round groups by block: buckets spare it the shuffle of all tokens
         coded = bucketed(recoded(blocks, words, list(names.values())), "block")
         release(words)
         release(blocks)
-        model = Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), n or 0, v or 0)
+        model = Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), n, v)
         none = spark.createDataFrame([], "profile long, r array<float>")
         model.ratios = none
         seeds = seed_texts(coded)
