@@ -32,9 +32,8 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the table declares few aliases: common spellings of an address count as such here
-    judged = url_filters.judge(table(spark, sf_dir, "pages"), spelling=True)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    judged = url_filters.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "alias_group", "group_pages")
 
 
 @query
@@ -85,21 +84,33 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
   CASE WHEN copies > 0 THEN {mixing.time_sql("((start + (copies - 1) * source_size) / target)", "place")} END AS last_position FROM n"""
 )
 
+#: Links as url_filters.html_links finds them, but for steps up in relative ones; components by a recursive query.
 ORACLE_SQL["op2_url_filters"] = r"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) AS q FROM u),
-r AS (SELECT *, CASE
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+tag AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM u),
+named AS (SELECT url, replace(trim(CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END), '&amp;', '&') AS link FROM tag),
+hop AS (SELECT url AS src, CASE WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
+  WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || link WHEN starts_with(link, '?') THEN regexp_extract(url, '(?s)^.*?://[^?#]*') || link
+  WHEN starts_with(link, '#') THEN url ELSE regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*'), '[^/]*$', '') || link END AS dst FROM named WHERE link <> ''),
+every AS (SELECT url FROM u UNION SELECT src FROM hop UNION SELECT dst FROM hop),
+h AS (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) AS q FROM every),
+r AS (SELECT *, CASE WHEN host <> '' THEN host || path || q END AS address, CASE
   WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
   WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
   WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
   WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-  WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
-  regexp_replace(host, '^(www|m)\.([^.]+\.)', '\2') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '(\.html?|/)$', '')
-  || regexp_replace(regexp_replace(regexp_replace(q, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$)', '\1'), '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*(&|$)', '\1'), '[?&]$', '') AS canon FROM h),
+  WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM h),
 v AS (SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM r),
-g AS (SELECT canon, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS ruled FROM v WHERE host <> '' GROUP BY canon)
-SELECT page_id, host, path, rule, coalesce(said, ruled, 'allow') AS verdict FROM v LEFT JOIN g ON v.canon = g.canon AND host <> ''"""
+e AS (SELECT a.address AS a, b.address AS b FROM hop JOIN v a ON a.url = hop.src JOIN v b ON b.url = hop.dst WHERE a.address <> b.address),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT address AS a, address AS b FROM v WHERE address IS NOT NULL UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+g AS (SELECT a AS address, min(b) AS alias_group FROM reach GROUP BY a),
+ruled AS (SELECT alias_group, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' END AS ruled FROM v JOIN g USING (address) GROUP BY alias_group),
+p AS (SELECT page_id, host, path, rule, said, alias_group FROM u JOIN v USING (url) LEFT JOIN g USING (address)),
+n AS (SELECT alias_group, count(*) AS group_pages FROM p WHERE alias_group IS NOT NULL GROUP BY alias_group)
+SELECT page_id, host, path, rule, coalesce(said, ruled, 'allow') AS verdict, alias_group, group_pages FROM p LEFT JOIN n USING (alias_group) LEFT JOIN ruled USING (alias_group)"""
 
 
 @query

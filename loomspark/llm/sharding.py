@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.shared import buckets_for, materialise, release, running_sum
+from loomspark.llm.prefix_trie import numbered
+from loomspark.llm.shared import buckets_for, materialise, release, running_sum, scratch
 
 ROUND_BITS, ROUNDS = 15, 4
 COORDINATE_BITS = 30
@@ -93,8 +94,9 @@ def kd_shards(
     Give the number of shards, or the bytes a leaf may hold. Texts are not carried through the splits and
     not returned. Rows are placed one by one: rows of equal text and metadata are neighbours at every
     split and are parted only where a median falls among them, while equal texts with other metadata may
-    go to other shards. Ties in a dimension go on by hashes of the text, the doc_id and the row. A very
-    long text may exceed a shard's share alone. Null metadata counts as an empty string. An empty table
+    go to other shards. Ties in a dimension go on by hashes of the text, the doc_id and a number among rows that
+    are equal in both and in metadata, so the result does not depend on files or partitions. A text of any
+    length is read for its size and hash only; a very long one may exceed a shard's share alone. Null metadata counts as an empty string. An empty table
     stays empty; with fewer rows than shards some shards are empty. Repeated rows are separate rows.
     Columns of the names added are replaced.
     """
@@ -105,11 +107,17 @@ def kd_shards(
     tie_bits = ROUND_BITS * ROUNDS - COORDINATE_BITS
     half = (1 << (tie_bits // 2)) - 1
     rest = [c for c in docs.columns if c not in ("size", "_row")]
-    texts = F.xxhash64("text").bitwiseAND(F.lit(half)) if "text" in docs.columns else F.lit(0)
-    tie = F.shiftleft(texts, tie_bits // 2).bitwiseOR(F.xxhash64("doc_id", "_row").bitwiseAND(F.lit(half)))
-    docs = materialise(docs.withColumns({**coordinates, "tie": tie}).drop("text"))
+    content = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    docs = materialise(docs.withColumns({**coordinates, "_content": content}).drop("text"))
     dims = list(coordinates)
-    base = docs.select("_row", "size", "tie", *dims, F.lit(0).alias("node"))
+    # rows with equal id, text and metadata are told apart by a number among them, so files and partitions decide nothing
+    alike = ["_content", "doc_id", *dims]
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(docs.select("_row", "size", *alike))
+        rows = numbered(rows, alike, ["_row"], "_copy", keep)
+        turn = F.xxhash64("doc_id", "_content", "_copy")
+        tie = F.shiftleft(F.col("_content").bitwiseAND(F.lit(half)), tie_bits // 2).bitwiseOR(turn.bitwiseAND(F.lit(half)))
+        base = first = materialise(rows.select("_row", "size", tie.alias("tie"), turn.alias("turn"), *dims, F.lit(0).alias("node")))
     total = docs.agg(F.sum("size"), F.count("*")).first()
     if shards is None:
         shards = max(1, -(-(total[0] or 0) // target_bytes))
@@ -119,13 +127,18 @@ def kd_shards(
         table = _small(spark, [(n, d, key, n + nodes[n] // 2) for n, (d, key) in points.items()], {"node": "int", "dim": "int", "at": "bigint", "right_node": "int"})
         moved = base.join(table, "node", "left")
         moved = moved.withColumn("node", F.when(_key(dims) >= F.col("at"), F.col("right_node")).otherwise(F.col("node")))
-        after = materialise(moved.select("_row", "size", "tie", *dims, "node"))
-        release(written)
+        after = materialise(moved.select("_row", "size", "tie", "turn", *dims, "node"))
+        release(written if written is not None else first)
         base = written = after
         nodes = {m: k for n, whole in nodes.items() for m, k in (((n, whole),) if whole == 1 else ((n, whole // 2), (n + whole // 2, whole - whole // 2)))}
     # slots go by a hash of the row, so that copies of one text are spread over the buckets
-    placed = base.select("_row", F.xxhash64("_row").bitwiseAND(F.lit((1 << 30) - 1)).alias("turn"), F.col("node").alias("shard"))
+    placed = base.select("_row", "turn", F.col("node").alias("shard"))
     n = buckets_for(total[1])
-    bucket = F.floor(F.col("turn") * n / (1 << 30)).cast("int")
-    placed = running_sum(placed, "shard", ["turn", "_row"], bucket, F.lit(1).cast("long"), "slot").drop("turn")
-    return docs.select("_row", *[c for c in rest if c != "text"], "size").join(placed, "_row").drop("_row")
+    bucket = F.floor(F.shiftrightunsigned("turn", 34) * n / (1 << 30)).cast("int")
+    # as unsigned numbers, so that buckets and rows have one order
+    order = [F.shiftrightunsigned("turn", 1), F.col("turn"), "_row"]
+    placed = running_sum(placed, "shard", order, bucket, F.lit(1).cast("long"), "slot").drop("turn")
+    out = materialise(docs.select("_row", *[c for c in rest if c != "text"], "size").join(placed, "_row").drop("_row"))
+    release(docs)
+    release(base)
+    return out

@@ -23,8 +23,6 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: Steps up that a relative link may take at most.
-UP = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,17 +69,26 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.regexp_replace(query, r"[?&]$", "")))
 
 
+def _resolved(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments: a step up leaves the folder it is in, if there is one."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    up = lambda s: F.when(F.size(s) > 1, F.slice(s, 1, F.size(s) - 1)).otherwise(s)
+    kept = F.aggregate(parts, none, lambda s, x: F.when(x == ".", s).when(x == "..", up(s)).otherwise(F.array_append(s, x)))
+    # a last segment of dots names a folder
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
 def _absolute(link: Column, base: Column) -> Column:
     """``link`` as a url: whole, or relative to the host, folder, path or address of ``base``; null if blank.
 
-    Steps up (``..``) are followed one level at a time while a folder is there; other schemes have no host.
+    Any number of steps up is followed; other schemes have no host.
     """
     link = F.replace(F.trim(link), F.lit("&amp;"), F.lit("&"))
     site = F.concat(F.lit("http://"), host_of(base))
     folder = F.regexp_replace(F.when(path_of(base) == "", "/").otherwise(path_of(base)), r"[^/]*$", "")
-    path = F.concat(folder, link)
-    for _ in range(UP):
-        path = F.regexp_replace(F.regexp_replace(path, r"/\.(?=/|$)", ""), r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
+    bare = F.regexp_extract(link, r"(?s)^[^?#]*", 0)
+    path = F.concat(_resolved(F.concat(folder, bare)), F.substr(link, F.length(bare) + 1))
     return (
         F.when(link == "", None)
         .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), link)
@@ -109,18 +116,18 @@ def html_links(pages: DataFrame) -> DataFrame:
 def judge(
     pages: DataFrame, rules: tuple = RULES, default: str = "allow", redirects: DataFrame | None = None, spelling: bool = False
 ) -> DataFrame:
-    """Add host, path, rule, verdict and alias_group to ``pages`` (url, optionally html).
+    """Add host, path, rule, verdict, alias_group and group_pages to ``pages`` (url, optionally html).
 
     ``redirects`` (src, dst urls) adds edges to those found in the pages; ``spelling`` adds those between an
     address and its :func:`canonical` spelling, which nobody has declared. Of rules that are equally long
     the first counts. A page that a rule fits has
     the rule's verdict. Any other page has allow if its group holds an explicitly allowed url, else
     block if it holds an explicitly blocked one, else ``default``. Urls that occur only as targets
-    count in their group. A url that is null or has no host belongs to no group and has the default.
+    count in their group; group_pages counts the pages of a group, null where there is none. A url that is null or has no host belongs to no group and has the default.
     Urls and html of any length are read whole. Repeated rows keep their number, an empty table stays
     empty; columns of the names added are replaced; other columns stay.
     """
-    made = ("host", "path", "rule", "verdict", "alias_group", "_address", "_ruled")
+    made = ("host", "path", "rule", "verdict", "alias_group", "group_pages", "_address", "_ruled")
     pages = pages.drop(*made)
     # without spellings an address leads to itself: it is a member of its own group
     form = canonical if spelling else address
@@ -148,8 +155,10 @@ def judge(
     out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "_address": address(F.col("url"))})
     out = out.withColumns({"rule": rule, "verdict": verdict})
     # rows without an address have no group: they pass by the joins, where they would meet in one task
-    bare = out.filter("_address IS NULL").withColumns({"alias_group": F.lit(None).cast("string"), "_ruled": F.lit(None).cast("string")})
+    nothing = F.lit(None).cast("string")
+    bare = out.filter("_address IS NULL").withColumns({"alias_group": nothing, "group_pages": nothing.cast("long"), "_ruled": nothing})
     out = out.filter("_address IS NOT NULL").join(groups, F.col("_address") == F.col("node"), "left").drop("node")
     out = out.withColumn("alias_group", F.coalesce("component", "_address")).drop("component")
-    out = out.join(decided, "alias_group", "left").unionByName(bare).drop("_address")
+    counted = out.groupBy("alias_group").agg(F.count("*").alias("group_pages"))
+    out = out.join(counted, "alias_group").join(decided, "alias_group", "left").unionByName(bare).drop("_address")
     return out.withColumn("verdict", F.coalesce("verdict", "_ruled", F.lit(default))).drop("_ruled")

@@ -7,7 +7,8 @@ their inner product with a known error. Pairs whose upper bound stays below the
 on their codes alone; every other pair is recomputed in double precision, so no pair below the threshold
 is ever linked.
 
-Candidates are vectors of one label that agree on a whole band of code bits. A pair is judged in the
+Candidates are vectors of one label that agree on a whole band of code bits. Only ids and codes meet in the
+bands; a vector is fetched where its code is near that of another one. A pair is judged in the
 first band that it shares, nowhere else. A band holding many vectors is cut into tiles and each pair of
 tiles is a task of its own, so a large group of near copies is spread, and no pair leaves a tile: what
 leaves is a count for each vector and a spanning forest of links. Equal vectors are one row with a
@@ -91,15 +92,17 @@ def near_duplicates(
 
     Links join vectors of one non-null label at cosine >= threshold. A vector that is null, empty,
     zero or holds a null or non-finite component links with nothing and is its own component; vectors of
-    different lengths never link, nor do those whose squares exceed the range of doubles. Ids are whole
-    numbers and expected to be unique: rows that repeat an id with the same vector count as copies, rows
+    different lengths never link. Vectors are scaled by their largest component first, so no square over- or
+    underflows. Ids are whole numbers (others are an error) and expected to be unique: rows that repeat an id with the same vector count as copies, rows
     that repeat it with another vector are one node of the graph and get the larger count. An empty table
     gives an empty result. The number of links counts copies.
     """
     made = ("n_links", "component_id", "kept")
     vectors = vectors.drop(*made)
-    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    usable = F.col(label).isNotNull() & F.coalesce((squares > 0) & (squares < float("inf")), F.lit(False))
+    if vectors.schema[id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id} must hold whole numbers")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    usable = F.col(label).isNotNull() & F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
     rows = vectors.filter(usable).select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     alike = rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     alike = materialise(alike)
@@ -151,7 +154,7 @@ def _links(alike: DataFrame, dim: int, count: int, threshold: float, seed: int)
         codes, f"label {label_type}, rep bigint, n bigint, keys array<bigint>, code binary, factors binary, raw binary"
     )
     coded = materialise(coded)
-    spread = coded.select("*", F.posexplode("keys").alias("band", "key"))
+    spread = coded.select("label", "rep", "code", F.posexplode("keys").alias("band", "key"))
     sizes = spread.groupBy("label", "band", "key").agg(F.count("*").alias("m")).filter("m > 1")
     placed = spread.join(sizes, ["label", "band", "key"])
     # a vector of tile t meets every tile of its band: pair (low, high) once
@@ -163,7 +166,30 @@ def _links(alike: DataFrame, dim: int, count: int, threshold: float, seed: int)
     bin_ = F.when(F.col("tiles") > 1, F.xxhash64("label", "band", "key", "low", "high")).otherwise(
         F.pmod(F.xxhash64("label", "band", "key"), F.lit(max(64, count * bands // (8 * TILE))))
     )
-    placed = placed.withColumn("bin", bin_).select("bin", "label", "band", "key", "low", "high", "tile", "rep", "n", "code", "factors", "raw")
+    where = ["bin", "label", "band", "key", "low", "high", "tile"]
+    placed = placed.withColumn("bin", bin_).select(*where, "rep", "code")
+    width = turns * dim
+    share = math.acos(threshold) / math.pi  # of bits in which vectors at the threshold differ, on average
+    apart = width * (share + SIGMAS * math.sqrt(share * (1 - share) / width))
+
+    def sift(group: pd.DataFrame) -> pd.DataFrame:
+        """The rows of each tile that are near some other by their codes: only these ask for their vectors."""
+        kept = []
+        for (_, low, high), one in _runs(group):
+            first = one["tile"].to_numpy() == low
+            left, right = (np.arange(len(one)),) * 2 if low == high else (np.flatnonzero(first), np.flatnonzero(~first))
+            signs = np.where(_bits(one["code"], width), np.float32(1), np.float32(-1))
+            near = signs[left] @ signs[right].T >= width - 2 * apart
+            if low == high:
+                np.fill_diagonal(near, False)
+            some = np.zeros(len(one), bool)
+            some[left] |= near.any(axis=1)
+            some[right] |= near.any(axis=0)
+            kept.append(one[some])
+        return pd.concat(kept)[[*where, "rep"]] if kept else group[[*where, "rep"]][:0]
+
+    sifted = placed.groupBy("bin").applyInPandas(sift, f"bin bigint, label {label_type}, band int, key bigint, low int, high int, tile int, rep bigint")
+    placed = sifted.join(coded.select("rep", "n", "code", "factors", "raw"), "rep").select(*where, "rep", "n", "code", "factors", "raw")
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
         turned = rotations(dim, turns, seed)
@@ -225,4 +251,5 @@ def _matrix(rows: pd.Series, kind: type) -> np.ndarray:
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)

@@ -107,10 +107,33 @@ def test_url_redirects_and_relative_links(spark):
     got = {r.page_id: r.verdict for r in url_filters.judge(df, redirects=redirects).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow"}
     assert url_filters.judge(df, redirects=redirects, spelling=True).filter("page_id = 6").first().verdict == "block"
+    assert {r.page_id: r.group_pages for r in url_filters.judge(df, redirects=redirects).collect()} == {1: 3, 2: 3, 3: 1, 4: 1, 5: 3, 6: 1, 7: 1, 8: 1, 9: None, 10: 1}
     same = (("c.net", "", "allow"), ("net", "/p", "block"))  # equally long: the first counts
     assert url_filters.judge(df, rules=same).filter("page_id = 3").first().rule == "c.net"
 
 
+def test_url_steps_up(spark):
+    cases = {"../" * 9 + "top": "/top", "a/./b/../c": "/1/2/3/a/c", "..": "/1/2/", ".": "/1/2/3/", "../x/": "/1/2/x/", "a//b": "/1/2/3/a//b", "../y?q=../..#../z": "/1/2/y?q=../..#../z", "../../../../../../deep": "/deep"}
+    rows = [(i, "http://h.net/1/2/3/page?x", f'<link rel="canonical" href="{link}">') for i, link in enumerate(cases)]
+    found = url_filters.html_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.dst for r in found) == sorted("http://h.net" + want for want in cases.values())
+
+
+def test_op2_follows_links_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    link = lambda x: f'<link href="{x}" rel="canonical">'
+    rows = [(1, "http://a.com/de/1", ""), (2, "http://b.net/x/page", link("/p?a=1&amp;b")), (3, "http://b.net/p?a=1&b", link("https://a.com/de/1")), (4, "http://c.net/p", link("q")), (5, "http://c.net/q", ""),
+            (6, "http://c.net/q", '<META http-equiv=refresh content="0;URL=http://z.org/">'), (7, None, link("http://a.com/de/1")), (8, "http://d.net/", link("//a.com/de/1")), (9, "no", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op2_url_filters"])
+    got = queries.QUERIES["op2_url_filters"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert {tuple(r) for r in got} == set(want.fetchall()) and len(got) == 9
+    assert {r.page_id: (r.verdict, r.group_pages) for r in got} == {1: ("block", 4), 2: ("block", 4), 3: ("block", 4), 4: ("allow", 3), 5: ("allow", 3), 6: ("allow", 3), 7: ("allow", None), 8: ("block", 4), 9: ("allow", None)}
+
+
 def test_quality_rules(docs):
     extra = docs.sparkSession.createDataFrame(
         [(900, prose(60) + " the of and $$$ ***\n\n a\n a\nb"), (901, "the cat sat " * 30), (902, "a b a b a b")], "doc_id long, text string"
@@ -152,6 +175,19 @@ def test_sharding_by_leaf_bytes_and_empty(spark, docs):
     assert sharding.kd_shards(docs.limit(0), size, sharding.document_dimensions(size), shards=4).count() == 0
 
 
+def test_shards_do_not_depend_on_the_layout(spark):
+    rng = random.Random(3)
+    rows = [(i, "long " * 4000 * (i % 50 == 0) + " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(0, 30))), "en", rng.choice("ab")) for i in range(150)]
+    rows += [(500, "the same", "en", "a")] * 40 + [(None, None, None, None)] * 3
+    results = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(parts, F.rand(parts))
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+        placed = sharding.kd_shards(docs, size, sharding.document_dimensions(size), shards=4)
+        results.append(sorted(placed.select("doc_id", "size", "shard", "slot").collect(), key=str))
+    assert results[0] == results[1] and len({r.shard for r in results[0] if r.doc_id == 500}) <= 4
+
+
 def test_split_points_against_a_sort(spark):
     """Widest dimension, and the weighted median of each node found by sorting all its rows."""
     rng = random.Random(23)
@@ -336,6 +372,32 @@ def test_vector_dedup(spark):
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_length_and_wrong_ids(spark):
+    rows = [(1, "a", [1e-170, 2e-170]), (2, "a", [1e-170, 2e-170]), (3, "a", [1e160, 2e160]), (4, "a", [-1e160, 2e160]), (5, "b", [5e-324, 0.0]), (6, "b", [1e308, 1.0]), (7, "b", [0.0, 0.0]), (8, "b", [1.0, float("inf")])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+    with pytest.raises(ValueError):
+        vector_dedup.near_duplicates(df.withColumn("vec_id", F.col("vec_id").cast("string")))
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    rows, pairs = [], {}
+    for i in range(400):
+        a, b = rng.standard_normal(64), rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cosine = (0.9300001, 0.935, 0.94, 0.95)[i % 4]
+        pairs.setdefault(cosine, []).append(2 * i)
+        rows += [(2 * i, "x", a.tolist()), (2 * i + 1, "x", (cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b)).tolist())]
+    rows += [(10_000 + i, "x", v.tolist()) for i, v in enumerate(rng.standard_normal((2000, 64)))]
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    for cosine, ids in pairs.items():
+        assert sum(got[i] == 1 for i in ids) >= (0.93 if cosine < 0.931 else 0.97) * len(ids)
+    assert all(got[i] == 0 for i in got if i >= 10_000)
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     a, b = rng.standard_normal((2, 64))
