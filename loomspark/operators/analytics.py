@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.numbers import percent
-from loomspark.functions.text import answer_form, tokens
+from loomspark.functions.text import answer_form, same_entity, tokens
 
 
 def storage_stats(docs: DataFrame) -> DataFrame:
@@ -89,3 +89,54 @@ def bounded(rows: DataFrame, keys: list[str], order: str, most: int = 101) -> Da
     """
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return rows.select(*keys, order).withColumn("_r", place).filter(F.col("_r") <= most).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def directions(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Add ``verdict`` to the expected relations (case_id, relation_id, subject, object): correct if a found one (case_id,
+    subject, object) has both ends, by distinctive words, reversed if one has them the other way round, else missing."""
+    other = found.select("case_id", F.col("subject").alias("_s"), F.col("object").alias("_o"))
+    both = expected.join(other, "case_id", "left")
+    right = F.coalesce(same_entity(F.col("_s"), F.col("subject")) & same_entity(F.col("_o"), F.col("object")), F.lit(False))
+    wrong = F.coalesce(same_entity(F.col("_s"), F.col("object")) & same_entity(F.col("_o"), F.col("subject")), F.lit(False))
+    best = F.max(F.when(right, 2).when(wrong, 1).otherwise(0))
+    verdict = F.element_at(F.array(F.lit("missing"), F.lit("reversed"), F.lit("correct")), best + 1)
+    return both.groupBy("case_id", "relation_id", "subject", "object").agg(verdict.alias("verdict"))
+
+
+def direction_summary(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """By ``keys``: total, correct, reversed, missing, directed accuracy, error rate, and precision among the found (0 of none)."""
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    rows = judged.groupBy(*keys).agg(F.count("*").alias("total"), *(count(v).alias(v) for v in ("correct", "reversed", "missing")))
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    c, r, m = F.col("correct"), F.col("reversed"), F.col("missing")
+    return rows.withColumns({"accuracy": ratio(c, F.col("total")), "error_rate": ratio(r + m, F.col("total")), "precision": ratio(c, c + r)})
+
+
+def adherence(scenarios: DataFrame, calls: DataFrame, misused: str = "save_memory") -> DataFrame:
+    """(category, n, correct, misuses, percent) with a total row (category null): does the first call of a scenario
+    name the expected tool?
+
+    scenarios: scenario_id, category, expected ("none" if no tool is right). calls: scenario_id, step, tool
+    (null where the run failed: such scenarios are left out). A misuse reaches for ``misused`` where
+    another tool is right, or for any where none is.
+    """
+    first = calls.groupBy("scenario_id").agg(F.min_by(F.struct("tool"), F.col("step")).alias("f"))
+    rows = scenarios.join(first, "scenario_id", "left").withColumn("got", F.when(F.col("f").isNull(), "none").otherwise(F.col("f.tool"))).filter("got IS NOT NULL")
+    right = F.col("got") == F.col("expected")
+    misuse = ~right & ((F.col("got") == misused) | (F.col("expected") == "none"))
+    out = rows.rollup("category").agg(F.count("*").alias("n"), F.count_if(right).alias("correct"), F.count_if(misuse).alias("misuses"))
+    return out.withColumn("percent", F.round(100.0 * F.col("correct") / F.col("n"), 1))
+
+
+def retrieval_quality(ranked: DataFrame, answers: DataFrame, ks: list[int]) -> DataFrame:
+    """(question_id, r_at_k ..., exact, f1): is the normalised answer within one of the first k texts, within the first,
+    and how well do the first text's tokens match? ``ranked``: question_id, rank, text; ``answers``: question_id, answer.
+    Questions without hits are false and 0; an answer that normalises to nothing is within any text."""
+    within = F.contains(answer_form(F.col("text")), answer_form(F.col("answer")))
+    both = answers.join(ranked, "question_id", "left")
+    at = F.min(F.when(within, F.col("rank")))
+    best = F.min_by(F.struct("text"), F.col("rank"))
+    rows = both.groupBy("question_id", "answer").agg(at.alias("_at"), best.alias("_b"))
+    first = F.coalesce(F.contains(answer_form(F.col("_b.text")), answer_form(F.col("answer"))), F.lit(False))
+    f1 = F.when(F.col("_b.text").isNull(), 0.0).otherwise(token_f1(F.col("_b.text"), F.col("answer")))
+    return rows.select("question_id", *(F.coalesce(F.col("_at") <= k, F.lit(False)).alias(f"r_at_{k}") for k in ks), first.alias("exact"), F.round(f1, 6).alias("f1"))

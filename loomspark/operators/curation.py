@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.numbers import clamp
 from loomspark.functions.text import clean_name, predicate_name, sanitize, type_name
+from loomspark.operators.evidence import compounded, strongest_per_source
 from loomspark.operators.lineage import cut
 
 
@@ -211,3 +212,35 @@ def reap(queue: DataFrame, as_of: Column, lease_minutes: int = 5, attempts: int
     stale = (F.col("status") == "processing") & (F.col("updated_at") < as_of - F.make_dt_interval(mins=F.lit(lease_minutes)))
     state = F.when(stale & (F.col("attempts") >= attempts), "failed").when(stale, "pending").otherwise(F.col("status"))
     return queue.withColumn("status", state)
+
+
+def pending_list(entities: DataFrame, kinds: DataFrame, documents: DataFrame, most: int = 50) -> DataFrame:
+    """Pending entity proposals (proposal_id, name, kind_id, confidence, state, doc_id) as a reviewer sees them, surest
+    first: with the kind's name and the source document's, null where either is gone."""
+    rows = entities.filter("state = 'pending'").orderBy(F.desc("confidence"), "proposal_id").limit(most)
+    rows = rows.join(kinds.select("kind_id", F.col("name").alias("kind")), "kind_id", "left").join(documents.select("doc_id", F.col("name").alias("source")), "doc_id", "left")
+    return rows.select("proposal_id", "name", "kind", F.round("confidence", 2).alias("confidence"), "source").orderBy(F.desc("confidence"), "proposal_id")
+
+
+def mentions_of_approved(proposals: DataFrame, resolved: DataFrame, mentions: DataFrame, id: str = "proposal_id") -> DataFrame:
+    """The mention rows (entity_id, doc_id, confidence) that approvals add: of each entity and source document the
+    surest proposal's, where no mention is there yet. ``resolved`` is from :func:`approved_entities`."""
+    rows = proposals.filter("doc_id IS NOT NULL").join(resolved.select(id, "entity_id"), id).groupBy("entity_id", "doc_id").agg(F.max(clamp(F.col("confidence"))).alias("confidence"))
+    return rows.join(mentions.select(F.col("entity_id").cast("string").alias("entity_id"), "doc_id").distinct(), ["entity_id", "doc_id"], "left_anti")
+
+
+def evidence_of_approved(proposals: DataFrame, outcomes: DataFrame, evidence: DataFrame, id: str = "proposal_id") -> tuple[DataFrame, DataFrame]:
+    """(new evidence, rescored edges) of approved relations.
+
+    Every approval that is not blocked is a sighting of its edge by its source document, which counts once an
+    edge and document; so an approval of an edge that is there already strengthens it. Edges that gain
+    evidence are scored again over all of theirs: (subject, predicate, object, sources, confidence).
+    ``outcomes`` is from :func:`approved_edges`; evidence has subject, predicate, object, source, confidence.
+    """
+    spo = ["subject", "predicate", "object"]
+    seen = outcomes.filter("outcome <> 'blocked'").select(id, *spo).join(proposals.select(id, F.col("doc_id").cast("string").alias("source"), "confidence"), id)
+    seen = seen.groupBy(*spo, "source").agg(F.max(clamp(F.col("confidence"))).alias("confidence"))
+    new = seen.join(evidence.select(*spo, "source").distinct(), [*spo, "source"], "left_anti")
+    touched = new.select(*spo).distinct()
+    every = evidence.select(*new.columns).join(touched, spo, "left_semi").unionByName(new)
+    return new, compounded(strongest_per_source(every))

@@ -71,6 +71,8 @@ def save_memories(store: BatchStore, batch: str, requests: DataFrame, **options)
     key; others are replays and leave nothing. Requests whose envelope is invalid are rejected with their
     problem. A note goes to the open session of its agent, which is made if there is none.
     """
+    if batch in store.committed():
+        return False
     requests = valid_envelopes(requests.withColumn("kind", F.lit("save_memory")))
     rejected = requests.filter("problem IS NOT NULL").select("workspace", "agent", "idempotency_key", "problem")
     known = store.read("events", SCHEMAS["events"]).select("workspace", "idempotency_key").distinct()

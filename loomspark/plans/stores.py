@@ -37,8 +37,9 @@ def _saved(spark: SparkSession, sf_dir: str) -> commits.BatchStore:
     """All requests saved in two batches by time; then both come again, one under its name and one under another."""
     store, requests = commits.BatchStore(spark, new_folder(spark, "memories")), _requests(spark, sf_dir)
     middle = requests.select(F.timestamp_micros(F.avg(F.unix_micros(F.col("at").cast("timestamp"))).cast("long")).cast("timestamp_ntz").alias("m")).first()
-    early = requests.filter(F.col("at") <= F.lit(middle.m)) if middle.m else requests
-    for name, rows in (("one", early), ("two", requests.exceptAll(early)), ("one", early), ("three", requests)):
+    soon = F.coalesce(F.col("at") <= F.lit(middle.m), F.lit(False))
+    early = requests.filter(soon)
+    for name, rows in (("one", early), ("two", requests.filter(~soon)), ("one", early), ("three", requests)):
         saves.save_memories(store, name, rows)
     return store
 
