@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.numbers import clamp
-from loomspark.functions.text import clean_name, predicate_name, sanitize, type_name
+from loomspark.functions.text import clean_aliases, clean_name, predicate_name, sanitize, type_name
 from loomspark.operators.evidence import compounded, strongest_per_source
 from loomspark.operators.lineage import cut
 
@@ -244,3 +244,59 @@ def evidence_of_approved(proposals: DataFrame, outcomes: DataFrame, evidence: Da
     touched = new.select(*spo).distinct()
     every = evidence.select(*new.columns).join(touched, spo, "left_semi").unionByName(new)
     return new, compounded(strongest_per_source(every))
+
+
+#: Fixed value: the confidence from which a proposal is promoted where a workspace does not say.
+PROMOTE_FROM = 0.6
+
+
+def promote_by_setting(proposals: DataFrame, kinds: DataFrame, settings: DataFrame) -> DataFrame:
+    """:func:`promote` with the threshold of each proposal's workspace: settings (workspace, least), text or number.
+
+    A setting that is missing or no number from 0 to 1 counts as 0.6. Adds ``threshold`` and ``state``.
+    """
+    own = settings.groupBy("workspace").agg(F.max(F.col("least").cast("string").try_cast("double")).alias("_t"))
+    rows = proposals.join(own, "workspace", "left")
+    rows = rows.withColumn("threshold", F.when(F.col("_t").between(0.0, 1.0), F.col("_t")).otherwise(PROMOTE_FROM)).drop("_t")
+    known = kinds.select(F.col("kind").alias("_k")).distinct()
+    rows = rows.join(known, F.col("kind") == F.col("_k"), "left")
+    ok = (F.col("confidence") >= F.col("threshold")) & F.col("_k").isNotNull()
+    return rows.withColumn("state", F.when(ok, "promoted").otherwise("pending")).drop("_k")
+
+
+def proposed(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity proposals, relation proposals, rejected) of agents' facts: workspace, agent, kind ("entity" or
+    "relation"), name, entity_kind, aliases, subject, predicate, object, doc_id, confidence.
+
+    Proposals stay pending, whatever their confidence, and name who made them. Their ids are hashes of what
+    they say and who says it, so the same fact said twice is one proposal, with its highest confidence. A fact
+    of another kind, or without what its kind needs, is rejected with its problem.
+    """
+    name, ends = clean_name(F.col("name")), (clean_name(F.col("subject").cast("string")), clean_name(F.col("object").cast("string")))
+    lacks = F.when(F.col("kind") == "entity", F.when(name.isNull(), "name")).when(
+        F.col("kind") == "relation", F.when(ends[0].isNull(), "subject").when(ends[1].isNull(), "object").when(clean_name(F.col("predicate")).isNull(), "predicate")
+    )
+    rows = facts.withColumn("problem", F.when(F.coalesce(F.col("kind").isin("entity", "relation"), F.lit(False)), lacks).otherwise("kind"))
+    good = rows.filter("problem IS NULL").withColumns({"made_by": F.concat(F.lit("agent:"), "agent"), "confidence": clamp(F.col("confidence"), 0.5), "name": name, "predicate": predicate_name(F.col("predicate"))})
+
+    def once(kind: str, says: list[str], rest: list[str]) -> DataFrame:
+        own = good.filter(F.col("kind") == kind).withColumns({c: F.col(c).cast("string") for c in says})
+        key = ["workspace", "made_by", *says]
+        id = F.sha2(F.concat_ws("|", F.lit(kind), *(F.coalesce(c, F.lit("")) for c in key)), 256)
+        kept = own.groupBy(*key).agg(F.max("confidence").alias("confidence"), *(F.min(c).alias(c) for c in rest))
+        return kept.select(id.alias("proposal_id"), *key, *rest, "confidence", F.lit("pending").alias("state"))
+
+    entities = once("entity", ["name", "entity_kind"], ["aliases", "doc_id"])
+    entities = entities.withColumn("aliases", clean_aliases(F.col("aliases")))
+    return entities, once("relation", ["subject", "predicate", "object"], ["doc_id"]), rows.filter("problem IS NOT NULL").select("workspace", "agent", "kind", "problem")
+
+
+def aliases_of(resolved: DataFrame) -> DataFrame:
+    """(kind, canonical, aliases): the other names of each entity, from :func:`resolve_names`, in order."""
+    others = F.array_sort(F.collect_set(F.when(F.col("name") != F.col("canonical"), F.col("name"))))
+    return resolved.groupBy("kind", "canonical").agg(others.alias("aliases"))
+
+
+def processed(docs: DataFrame) -> DataFrame:
+    """Documents whose processing is done: only these are searched."""
+    return docs.filter(F.col("state") == "done")

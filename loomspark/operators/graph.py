@@ -36,6 +36,19 @@ def directed(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> Dat
     return found
 
 
+def related(
+    edges: DataFrame, seeds: DataFrame, direction: str = "both", least: float = 0.0, kinds: list[str] | None = None, predicates: list[str] | None = None
+) -> DataFrame:
+    """Edges at the seeds with at least that confidence, to nodes of the kinds and of the predicates asked for.
+
+    What does not depend on the seeds is filtered before the joins, so that it reaches the scan.
+    """
+    rows = edges.filter(F.col("confidence") >= least)
+    rows = rows if predicates is None else rows.filter(F.col("predicate").isin(predicates))
+    found = directed(rows, seeds, direction)
+    return found if kinds is None else found.filter(F.col("other_kind").isin(kinds))
+
+
 def hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """(kind, id, hop): nodes within k steps, edges taken both ways, each at its least distance.
 

@@ -23,6 +23,16 @@ class Session:
     role: str = "agent"
     tenant: str = ""
     tenants: DataFrame | None = field(default=None, repr=False)
+    #: (workspace, status), if workspaces may be unknown or disabled
+    workspaces: DataFrame | None = field(default=None, repr=False)
+
+    def __post_init__(self) -> None:
+        if self.workspaces is not None and self.workspace:
+            found = self.workspaces.filter(F.col("workspace") == self.workspace).select("status").limit(1).collect()
+            if not found:
+                raise LookupError(f"workspace {self.workspace} not found")
+            if found[0].status == "disabled":
+                raise PermissionError(f"workspace {self.workspace} is disabled")
 
     def table(self, name: str) -> DataFrame:
         if not self.workspace:

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import STOP_WORDS
 from loomspark.operators import analytics as A
 from loomspark.operators import curation as C
 from loomspark.operators import evidence as E
+from loomspark.operators import graph as G
 from loomspark.operators import neighbors as N
 from loomspark.operators import pack as P
 from loomspark.operators import provenance as W
+from loomspark.operators import ranking as R
 from loomspark.plans.evidence import NOISY
 from loomspark.plans.graph import CANON_SQL, edges
-from loomspark.plans.views import EDGES_SQL, observations
+from loomspark.plans.retrieval import HYBRID_SQL, Q_SQL, STOP_SQL, VEC
+from loomspark.plans.views import DOCS_SQL, EDGES_SQL, TOKENS, docs, observations, query_text, query_vector, vectors
 from loomspark.registry import query, table
+from loomspark.sources import exports
 
 AS_OF = "1999-01-01 00:00:00"
 MEMORY_SQL = f"""documents_ AS (SELECT o_orderkey AS doc_id, (o_custkey % 10)::VARCHAR AS agent, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END AS sharing, o_orderdate AS created_at FROM orders),
@@ -240,3 +245,111 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = c.select(F.col("conv_id").alias("question_id"), (F.col("turn") + 1).alias("rank"), "text")
     answers = c.filter("turn = 1").select(F.col("conv_id").alias("question_id"), F.split(F.trim("text"), r"\s+")[0].alias("answer"))
     return A.retrieval_quality(ranked, answers, [1, 3]).drop("f1")
+
+
+EVAL_TOKENS = f"list_filter({TOKENS}, lambda w: w NOT IN ({STOP_SQL}))"
+
+
+@query(f"""WITH {DOCS_SQL}, {Q_SQL}, qt AS (SELECT unnest({EVAL_TOKENS.format("text")}) AS term FROM benchmark WHERE item_id = 3),
+cand AS (SELECT d.*, round(list_cosine_similarity({VEC.format("v.embedding")}, q.e), 6) AS sim FROM docs d JOIN embeddings v ON d.doc_id = v.vec_id, q ORDER BY sim DESC, d.doc_id LIMIT 30),
+tok AS (SELECT doc_id, unnest({EVAL_TOKENS.format("text")}) AS term FROM cand), n AS (SELECT c.doc_id, count(t.term) AS n FROM cand c LEFT JOIN tok t USING (doc_id) GROUP BY c.doc_id),
+stat AS (SELECT count(*) AS n_docs, avg(n) AS avg_len FROM n), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, count(*) AS w FROM qt GROUP BY term),
+p AS (SELECT f.doc_id, sum(w * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n.n / avg_len))) AS s, count(*) AS met
+  FROM tf f JOIN w USING (term) JOIN df USING (term) JOIN n USING (doc_id), stat GROUP BY f.doc_id),
+b AS (SELECT c.doc_id, c.sim, round(coalesce(s, 0), 6) AS bm25, coalesce(met, 0) AS met FROM cand c LEFT JOIN p USING (doc_id)),
+m AS (SELECT *, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 0::DOUBLE ELSE round((bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()), 6) END AS text_score,
+  CASE WHEN max(sim) OVER () = min(sim) OVER () THEN 0::DOUBLE ELSE round((sim - min(sim) OVER ()) / (max(sim) OVER () - min(sim) OVER ()), 6) END AS vector_score, row_number() OVER (ORDER BY met DESC, sim DESC, doc_id) - 1 AS place FROM b),
+f AS (SELECT *, CASE WHEN place < 3 THEN round(0.15::DOUBLE * (1 - place / 3), 6) ELSE 0 END::DOUBLE AS boost FROM m)
+SELECT doc_id, vector_score, text_score, boost, round(0.6::DOUBLE * vector_score + 0.4::DOUBLE * text_score + boost, 6) AS score FROM f ORDER BY score DESC, doc_id LIMIT 10""")
+def hybrid_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.hybrid_eval(docs(spark, sf_dir), vectors(spark, sf_dir), query_vector(spark, sf_dir), query_text(spark, sf_dir), 10, STOP_WORDS)
+    return found.select("doc_id", "vector_score", "text_score", "boost", "score")
+
+
+@query(f"""WITH {HYBRID_SQL}, r AS (SELECT doc_id, score, round(0.7::DOUBLE * score + 0.3::DOUBLE * (1 - (row_number() OVER (ORDER BY created_at DESC, doc_id) - 1) / count(*) OVER ()), 6) AS reranked FROM hyb)
+SELECT * FROM r ORDER BY reranked DESC, doc_id LIMIT 5""")
+def temporal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = lambda n: R.hybrid(docs(spark, sf_dir), vectors(spark, sf_dir), query_vector(spark, sf_dir), query_text(spark, sf_dir), n)
+    return R.temporal(search, 5).select("doc_id", "score", "reranked")
+
+
+@query(f"""WITH {CANON_SQL}, both_ AS (SELECT kind, src AS root, dst_kind AS other_kind, dst AS other, 'out' AS direction, predicate, confidence FROM canon WHERE src_kind = 'doc'
+  UNION ALL SELECT kind, dst, src_kind, src, 'in', predicate, confidence FROM canon WHERE dst_kind = 'doc')
+SELECT root, other_kind, other, direction, predicate, confidence FROM both_ WHERE confidence >= 0.93 AND other_kind = 'part' AND predicate IN ('contains', 'ordered') AND root IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
+def related_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.lit("doc").alias("kind"), F.col("o_orderkey").alias("id"))
+    found = G.related(edges(spark, sf_dir), seeds, "both", 0.93, ["part"], ["contains", "ordered"])
+    return found.select("root", "other_kind", "other", "direction", "predicate", "confidence")
+
+
+@query("""WITH RECURSIVE n AS (SELECT conv_id, turn AS node, CASE WHEN turn % 3 = 2 THEN turn - 2 WHEN turn > 0 THEN turn - 1 END AS parent, length(text) AS made FROM conversations),
+h AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN -1 ELSE max(node) END AS node FROM n GROUP BY conv_id),
+w AS (SELECT h.conv_id, h.node, 0 AS back FROM h WHERE conv_id % 3 <> 0 UNION ALL SELECT w.conv_id, n.parent, back + 1 FROM w JOIN n USING (conv_id, node) WHERE n.parent IS NOT NULL)
+SELECT conv_id, node, (max(back) OVER (PARTITION BY conv_id) - back)::BIGINT AS position FROM w WHERE EXISTS (SELECT 1 FROM n WHERE n.conv_id = w.conv_id AND n.node = w.node)
+UNION ALL SELECT conv_id, node, row_number() OVER (PARTITION BY conv_id ORDER BY made, node) - 1 FROM n WHERE conv_id % 3 = 0""")
+def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trees; every third names a head that is not there."""
+    turn, c = F.col("turn"), table(spark, sf_dir, "conversations")
+    parent = F.when(turn % 3 == 2, turn - 2).when(turn > 0, turn - 1)
+    nodes = c.select("conv_id", turn.alias("node"), parent.alias("parent"), F.length("text").alias("at"))
+    heads = c.groupBy("conv_id").agg(F.max("turn").alias("node")).withColumn("node", F.when(F.col("conv_id") % 3 == 0, -1).otherwise(F.col("node")))
+    return exports.active_messages(nodes, heads)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, upper(role[1]) || role[2:] || CASE WHEN turn % 2 = 0 THEN ' (' || strftime(TIMESTAMP '2024-01-01' + to_minutes(turn::INT), '%Y-%m-%dT%H:%M:%S.000Z') || ')' ELSE '' END || ':' || chr(10) || text AS said
+  FROM conversations WHERE trim(text) <> '')
+SELECT conv_id, sha256(trim('Chat Conversation: talk ' || conv_id || chr(10) || 'Conversation ID: ' || conv_id || chr(10) || 'Created: 2024-01-01T00:00:00.000Z' || chr(10) || chr(10) || string_agg(said, chr(10) || chr(10) ORDER BY turn))) AS sha256 FROM t GROUP BY conv_id""")
+def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    first = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    at = F.when(F.col("turn") % 2 == 0, first + F.make_dt_interval(mins=F.col("turn").cast("int")))
+    about = c.select("conv_id").distinct().select("conv_id", F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("title"), first.alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    shown = exports.render_export(c.select("conv_id", F.col("turn").alias("position"), "role", "text", at.alias("at")), about, "Chat")
+    return shown.select("conv_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""WITH p AS (SELECT event_id, event_type AS workspace, CASE WHEN user_id % 3 = 0 THEN 'unknown' ELSE 'thing' END AS kind, round(least(greatest(value / 100, 0), 1), 6) AS confidence FROM events)
+SELECT event_id, CASE workspace WHEN 'purchase' THEN 0.9 WHEN 'click' THEN 0.25 ELSE 0.6 END::DOUBLE AS threshold,
+  CASE WHEN kind = 'thing' AND confidence >= CASE workspace WHEN 'purchase' THEN 0.9 WHEN 'click' THEN 0.25 ELSE 0.6 END THEN 'promoted' ELSE 'pending' END AS state FROM p""")
+def promote_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = observations(spark, sf_dir).select("event_id", F.col("object").alias("workspace"), F.when(F.col("subject") % 3 == 0, "unknown").otherwise("thing").alias("kind"), "confidence")
+    settings = spark.createDataFrame([("purchase", "0.9"), ("click", " 0.25"), ("view", "7"), ("signup", "often")], "workspace string, least string")
+    return C.promote_by_setting(p, spark.createDataFrame([("thing",)], "kind string"), settings).select("event_id", "threshold", "state")
+
+
+@query("""WITH f AS (SELECT event_type AS workspace, 'agent:u' || user_id % 20 AS made_by, 'Thing ' || user_id AS name, 'k' || event_id % 3 AS entity_kind, round(least(greatest(value / 100, 0), 1), 6) AS confidence, event_id FROM events)
+SELECT sha256('entity|' || workspace || '|' || made_by || '|' || name || '|' || entity_kind) AS proposal_id, 'entity' AS kind, max(confidence) AS confidence, 'pending' AS state FROM f WHERE event_id % 2 = 0 GROUP BY workspace, made_by, name, entity_kind
+UNION ALL SELECT sha256('relation|' || workspace || '|' || made_by || '|' || name || '|likes|' || entity_kind), 'relation', max(confidence), 'pending' FROM f WHERE event_id % 2 = 1 AND event_id % 5 <> 0 GROUP BY workspace, made_by, name, entity_kind
+UNION ALL SELECT NULL, 'rejected ' || 'predicate', NULL, count(*)::VARCHAR FROM f WHERE event_id % 2 = 1 AND event_id % 5 = 0""")
+def propose_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id, seen = F.col("event_id"), observations(spark, sf_dir)
+    name, kind = F.concat(F.lit("Thing "), F.col("subject").cast("string")), F.concat(F.lit("k"), (id % 3).cast("string"))
+    facts = seen.select(
+        F.col("object").alias("workspace"), F.concat(F.lit("u"), (F.col("subject") % 20).cast("string")).alias("agent"), F.when(id % 2 == 0, "entity").otherwise("relation").alias("kind"),
+        F.concat(name, F.lit(" ")).alias("name"), kind.alias("entity_kind"), F.array(F.lit("alias")).alias("aliases"), name.alias("subject"), F.when(id % 5 != 0, "Currently likes").alias("predicate"), kind.alias("object"), id.alias("doc_id"), "confidence",
+    )
+    entities, relations, rejected = C.proposed(facts)
+    out = entities.select("proposal_id", F.lit("entity").alias("kind"), "confidence", "state").unionByName(relations.select("proposal_id", F.lit("relation").alias("kind"), "confidence", "state"))
+    lost = rejected.groupBy("problem").agg(F.count("*").alias("n"))
+    return out.unionByName(lost.select(F.lit(None).cast("string").alias("proposal_id"), F.concat(F.lit("rejected "), "problem").alias("kind"), F.lit(None).cast("double").alias("confidence"), F.col("n").cast("string").alias("state")))
+
+
+@query("""WITH n AS (SELECT DISTINCT kind, lower(name) AS name FROM (SELECT p_brand AS kind, p_name AS name FROM part UNION ALL SELECT p_brand, string_split(p_name, ' ')[1] FROM part WHERE p_size % 2 = 0)),
+b AS (SELECT s.kind, s.name, arg_max(l.name, (length(l.name), l.name)) AS canonical FROM n s JOIN n l ON s.kind = l.kind AND (starts_with(l.name, s.name || ' ') OR suffix(l.name, ' ' || s.name)) GROUP BY ALL),
+r AS (SELECT n.kind, n.name, coalesce(canonical, n.name) AS canonical FROM n LEFT JOIN b USING (kind, name))
+SELECT kind, canonical, coalesce(string_agg(name, '|' ORDER BY name) FILTER (name <> canonical), '') AS aliases FROM r GROUP BY ALL""")
+def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.col("p_brand").alias("kind"), F.col("p_name").alias("name"))
+    short = p.filter("p_size % 2 = 0").select(F.col("p_brand").alias("kind"), F.split("p_name", " ")[0].alias("name"))
+    return C.aliases_of(C.resolve_names(names.unionByName(short))).select("kind", "canonical", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("""WITH c AS (SELECT event_type AS path, max(ts) AS modified, CASE WHEN event_type IN ('purchase', 'click') THEN 'tree' END AS kind, count(*) FILTER (value > 20) AS n, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1)
+SELECT path, format('{:,}', n) || ' Chat ' || CASE WHEN n = 1 THEN 'conversation' ELSE 'conversations' END || ' from ' || CASE WHEN strftime(a, '%b %Y') = strftime(b, '%b %Y') THEN strftime(a, '%b %Y') ELSE strftime(a, '%b %Y') || ' to ' || strftime(b, '%b %Y') END AS line
+FROM c WHERE kind IS NOT NULL AND n > 0 ORDER BY modified DESC, path LIMIT 1""")
+def export_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("path")).agg(F.max("ts").alias("modified"), F.count_if(F.col("value") > 20).alias("conversations"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    found = exports.newest(e.withColumn("kind", F.when(F.col("path").isin("purchase", "click"), "tree")))
+    return found.select("path", exports.described(F.col("conversations"), "Chat", F.col("a"), F.col("b")).alias("line"))

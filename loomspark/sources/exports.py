@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators import forest
+
 MESSAGE = "struct<id: string, author: struct<role: string>, create_time: double, content: struct<content_type: string, parts: array<string>>>"
 TREE_SCHEMA = (
     "array<struct<id: string, title: string, create_time: string, update_time: string, current_node: string,"
@@ -43,26 +45,40 @@ def read_list_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def active_branch(nodes: DataFrame, heads: DataFrame) -> DataFrame:
-    """(conv_id, node, position): the path from the root to the head of each conversation.
+    """(conv_id, node, position): the path from the root to the head of each conversation, by pointer doubling.
+
+    A head that names an unknown node gives no path.
+    """
+    return forest.paths(nodes, heads, "conv_id", "node", "parent")
+
 
-    A conversation's tree is gathered into one map (it is one record of the export), and the walk is one
-    expression over it. A head that names an unknown node gives no path.
+def active_messages(nodes: DataFrame, heads: DataFrame) -> DataFrame:
+    """(conv_id, node, position) as :func:`active_branch`; where a conversation's head is missing or unknown, all its
+    nodes in order of time (``at``, null last), then of their names."""
+    known = heads.join(nodes.select("conv_id", "node").distinct(), ["conv_id", "node"], "left_semi").select("conv_id").distinct()
+    rest = nodes.join(heads.select("conv_id").distinct(), "conv_id", "left_semi").join(known, "conv_id", "left_anti")
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("at"), "node")
+    timed = rest.select("conv_id", "node", (F.row_number().over(order) - 1).cast("long").alias("position"))
+    return active_branch(nodes, heads).unionByName(timed)
+
+
+def render_export(turns: DataFrame, about: DataFrame, label: str) -> DataFrame:
+    """(conv_id, text): a conversation as a document, with what it is, its id and its dates on top.
+
+    turns: conv_id, position, role, text, at; about: conv_id, title, created_at, updated_at, whose nulls leave
+    their line out. ``label`` names the assistant. A turn is ``Role (time):`` and its text; blank turns are
+    left out, and so are conversations without a turn.
     """
-    schema = "array<struct<node: {0}, parent: {0}>>".format(nodes.schema["node"].dataType.simpleString())
-    trees = nodes.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("node", "parent"))).alias("up"))
-    paths = heads.join(trees, "conv_id")
-    # the tree of one conversation is one row; the walk is an aggregate over as many steps as it has nodes
-    empty = F.from_json(F.lit("[]"), schema)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.size("up")),
-        F.struct(F.col("node").alias("at"), empty.alias("seen")),
-        lambda s, _: F.when(F.map_contains_key(F.col("up"), s["at"]), F.struct(
-            F.element_at(F.col("up"), s["at"]).alias("at"), F.array_append(s["seen"], F.struct(s["at"].alias("node"), F.element_at(F.col("up"), s["at"]).alias("parent"))).alias("seen")
-        )).otherwise(s),
-        lambda s: F.reverse(s["seen"]),
+    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    role = F.concat(F.upper(F.substring("role", 1, 1)), F.expr("substring(role, 2)"))
+    said = F.concat(role, F.coalesce(F.concat(F.lit(" ("), time(F.col("at")), F.lit(")")), F.lit("")), F.lit(":\n"), F.col("text"))
+    listed = turns.filter(F.trim("text") != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", said.alias("said")))).alias("_l"))
+    head = F.concat_ws(
+        "\n", F.concat(F.lit(f"{label} Conversation: "), F.coalesce("title", F.lit(""))), F.concat(F.lit("Conversation ID: "), F.col("conv_id").cast("string")),
+        F.concat(F.lit("Created: "), time(F.col("created_at"))), F.concat(F.lit("Updated: "), time(F.col("updated_at"))),
     )
-    out = paths.select("conv_id", F.posexplode(walk).alias("position", "n"))
-    return out.select("conv_id", F.col("n.node").alias("node"), F.col("position").cast("long").alias("position"))
+    body = F.array_join(F.transform("_l", lambda x: x["said"]), "\n\n")
+    return listed.join(about, "conv_id").select("conv_id", F.trim(F.concat(head, F.lit("\n\n"), body)).alias("text"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -79,6 +95,32 @@ def summary(messages: DataFrame) -> DataFrame:
     return by.agg(F.count("*").alias("conversations"), F.sum("n").alias("messages"), F.min("a").alias("earliest"), F.max("b").alias("latest"))
 
 
+def span(about: DataFrame) -> DataFrame:
+    """One row over conversations (conv_id, created_at, updated_at): how many, the first and the last of all their times."""
+    return about.agg(
+        F.count("*").alias("conversations"), F.min(F.least("created_at", "updated_at")).alias("earliest"), F.max(F.greatest("created_at", "updated_at")).alias("latest")
+    )
+
+
+def newest(candidates: DataFrame) -> DataFrame:
+    """Of export files (path, modified, kind, conversations) the newest whose kind is known and that holds any."""
+    return candidates.filter("kind IS NOT NULL AND conversations > 0").orderBy(F.desc("modified"), "path").limit(1)
+
+
+def month_range(earliest: Column, latest: Column) -> Column:
+    """``from Jan 2024 to Jun 2026``, ``from Jan 2024`` if both are one month or only the first is known, ``through
+    Jun 2026`` if only the last is, else empty."""
+    a, b = F.date_format(earliest, "MMM yyyy"), F.date_format(latest, "MMM yyyy")
+    both = F.when(a == b, F.concat(F.lit("from "), a)).otherwise(F.concat(F.lit("from "), a, F.lit(" to "), b))
+    return F.coalesce(both, F.concat(F.lit("from "), a), F.concat(F.lit("through "), b), F.lit(""))
+
+
+def described(count: Column, label: str, earliest: Column, latest: Column) -> Column:
+    """``1,240 <label> conversations from Jan 2024 to Jun 2026``."""
+    noun = F.when(count == 1, "conversation").otherwise("conversations")
+    return F.trim(F.concat_ws(" ", F.format_number(count, 0), F.lit(label), noun, month_range(earliest, latest)))
+
+
 #: Files that only one kind of export holds.
 TREE_FILES = ("chat.html", "message_feedback.json", "model_comparisons.json", "user.json")
 LIST_FILES = ("projects.json", "users.json")

@@ -1,13 +1,18 @@
 """Neighbours, the context pack, provenance, review and evaluation on small fixtures with nulls and repeats."""
 
+import datetime as dt
 import json
 
 import pytest
 from loomspark.operators import analytics as A
 from loomspark.operators import curation as C
+from loomspark.operators import graph as G
 from loomspark.operators import neighbors as N
 from loomspark.operators import pack as P
 from loomspark.operators import provenance as W
+from loomspark.operators import ranking as R
+from loomspark.plans.session import Session
+from loomspark.sources import exports
 from pyspark.sql import functions as F
 
 
@@ -118,3 +123,63 @@ def test_evaluation(spark):
     answers = spark.createDataFrame([("q1", "blue house!"), ("q2", "Yes"), ("q3", "x")], "question_id string, answer string")
     rows = {r.question_id: (r.r_at_1, r.r_at_2, r.exact, r.f1) for r in A.retrieval_quality(ranked, answers, [1, 2]).collect()}
     assert rows == {"q1": (True, True, True, 0.571429), "q2": (False, True, False, 0.0), "q3": (False, False, False, 0.0)}
+
+
+def test_exports_without_a_head_and_as_documents(spark):
+    nodes = spark.createDataFrame([("c", "r", None, 1.0), ("c", "a", "r", 2.0), ("c", "b", "r", 3.0), ("d", "y", None, None), ("d", "x", None, None), ("d", "z", None, 1.0), ("e", "q", None, 1.0)], "conv_id string, node string, parent string, at double")
+    heads = spark.createDataFrame([("c", "b"), ("d", "gone"), ("e", None)], "conv_id string, node string")
+    got = {(r.conv_id, r.position): r.node for r in exports.active_messages(nodes, heads).collect()}
+    assert got == {("c", 0): "r", ("c", 1): "b", ("d", 0): "z", ("d", 1): "x", ("d", 2): "y", ("e", 0): "q"}
+    at = dt.datetime(2024, 2, 3, 4, 5, 6)
+    turns = spark.createDataFrame([("c", 1, "assistant", "yes", None), ("c", 0, "user", "hi", at), ("c", 2, "user", "  ", None), ("d", 0, "x", None, None)], "conv_id string, position int, role string, text string, at timestamp")
+    about = spark.createDataFrame([("c", "Title", at, None), ("d", None, None, None)], "conv_id string, title string, created_at timestamp, updated_at timestamp")
+    text = exports.render_export(turns, about, "Chat").collect()
+    assert [r.text for r in text] == ["Chat Conversation: Title\nConversation ID: c\nCreated: 2024-02-03T04:05:06.000Z\n\nUser (2024-02-03T04:05:06.000Z):\nhi\n\nAssistant:\nyes"]
+    s = exports.span(about.select("conv_id", "created_at", F.lit(dt.datetime(2025, 1, 1)).alias("updated_at"))).first()
+    assert (s.conversations, s.earliest, s.latest) == (2, at, dt.datetime(2025, 1, 1))
+    days = [(dt.date(2024, 1, 5), dt.date(2024, 1, 9)), (dt.date(2024, 1, 5), dt.date(2026, 6, 1)), (dt.date(2024, 1, 5), None), (None, dt.date(2024, 1, 5)), (None, None)]
+    shown = spark.createDataFrame(days, "a date, b date").select(exports.described(F.lit(1240), "Chat", F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in shown] == [f"1,240 Chat conversations {x}".strip() for x in ("from Jan 2024", "from Jan 2024 to Jun 2026", "from Jan 2024", "through Jan 2024", "")]
+
+
+def test_proposals_settings_guards_and_boosts(spark):
+    rows = [("w", "a", "entity", " N ", "k", [" x ", "x", ""], None, None, None, "d", 0.5), ("w", "a", "entity", "N", "k", None, None, None, None, "c", 0.9), ("w", "a", "entity", " ", "k", None, None, None, None, None, 0.9),
+            ("w", "b", "relation", None, None, None, "1", "now Likes", "2", None, None), ("w", "b", "relation", None, None, None, "1", None, "2", None, 1.0), ("w", "b", None, None, None, None, "1", None, "2", None, 1.0)]
+    facts = spark.createDataFrame(rows, "workspace string, agent string, kind string, name string, entity_kind string, aliases array<string>, subject string, predicate string, object string, doc_id string, confidence double")
+    entities, relations, rejected = C.proposed(facts)
+    assert [(r.name, r.made_by, r.aliases, r.confidence, r.state) for r in entities.collect()] == [("N", "agent:a", ["x"], 0.9, "pending")]
+    assert [(r.subject, r.predicate, r.object, r.confidence, r.state) for r in relations.collect()] == [("1", "likes", "2", 0.5, "pending")]
+    assert sorted((r.agent, r.problem) for r in rejected.collect()) == [("a", "name"), ("b", "kind"), ("b", "predicate")]
+    proposals = spark.createDataFrame([(1, "w", "k", 0.5), (2, "v", "k", 0.5), (3, None, "k", 0.7), (4, "w", "other", 0.9)], "id long, workspace string, kind string, confidence double")
+    settings = spark.createDataFrame([("w", "0.4"), ("v", "2")], "workspace string, least string")
+    states = {r.id: (r.threshold, r.state) for r in C.promote_by_setting(proposals, spark.createDataFrame([("k",)], "kind string"), settings).collect()}
+    assert states == {1: (0.4, "promoted"), 2: (0.6, "pending"), 3: (0.6, "promoted"), 4: (0.4, "pending")}
+    known = spark.createDataFrame([("w", "active"), ("off", "disabled")], "workspace string, status string")
+    docs = spark.createDataFrame([("w", "done"), ("w", "error")], "workspace string, state string")
+    assert C.processed(Session({"d": docs}, "w", workspaces=known).table("d")).count() == 1
+    for name, error in (("off", PermissionError), ("none", LookupError)):
+        with pytest.raises(error):
+            Session({"d": docs}, name, workspaces=known)
+    ents = spark.createDataFrame([(1, "Northwind Coffee", ["NW"]), (2, "Other", ["nw coffee"]), (3, "Third", None)], "entity_id long, name string, aliases array<string>")
+    mentions = spark.createDataFrame([(1, 10), (1, 10), (2, 11), (3, 12)], "entity_id long, doc_id long")
+    assert {r.doc_id: r.boost for r in R.entity_boosts(ents, mentions, "what of nw").collect()} == {10: 0.4}
+    assert R.entity_boosts(ents, mentions, "?").count() == 0
+    names = spark.createDataFrame([("k", "a b c"), ("k", "a b"), ("k", "c"), ("k", "z")], "kind string, name string")
+    assert {r.canonical: r.aliases for r in C.aliases_of(C.resolve_names(names)).collect()} == {"a b c": ["a b", "c"], "z": []}
+
+
+def test_hybrid_sorts_and_related(spark):
+    docs = spark.createDataFrame([(1, "apple pie", 3), (2, "apple", 2), (3, "pear", 1)], "doc_id long, text string, created_at int")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    turned = lambda found: found.withColumn("score", -F.col("score"))
+    ids = lambda **k: [r.doc_id for r in R.hybrid(docs, vectors, [1.0, 0.0], "apple", 3, reranker=turned, **k).collect()]
+    assert ids() == [3, 1, 2] or ids() == [3, 2, 1]
+    scores = [r.score for r in R.hybrid(docs, vectors, [1.0, 0.0], "apple", 3, sort="date_asc", reranker=turned).collect()]
+    assert ids(sort="date_asc") == [3, 2, 1] and max(scores) > 0  # under a date the reranker is not asked
+    found = R.hybrid_eval(docs, vectors, [1.0, 0.0], "the apple pie", 3, ["the"]).collect()
+    assert [(r.doc_id, r.boost) for r in found] == [(1, 0.15), (2, 0.1), (3, 0.05)] and found[0].vector_score == 1.0
+    assert [r.doc_id for r in R.temporal(lambda n: R.hybrid(docs, vectors, [1.0, 0.0], "apple", n), 2).collect()] == [1, 2]
+    edges = spark.createDataFrame([("k", "doc", 1, "part", 2, "has", 0.9), ("k", "doc", 1, "part", 3, "has", 0.5), ("k", "person", 4, "doc", 1, "wrote", 0.9), ("k", "doc", 1, "part", 5, "is", 0.9)], "kind string, src_kind string, src long, dst_kind string, dst long, predicate string, confidence double")
+    seeds = spark.createDataFrame([("doc", 1)], "kind string, id long")
+    assert {r.other for r in G.related(edges, seeds, least=0.6, predicates=["has", "wrote"]).collect()} == {2, 4}
+    assert {r.other for r in G.related(edges, seeds, "out", kinds=["part"]).collect()} == {2, 3, 5}
