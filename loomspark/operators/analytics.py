@@ -26,10 +26,11 @@ def graph_stats(spans: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def breakdown(docs: DataFrame, agents: DataFrame) -> DataFrame:
-    """Memories of each agent with its label, actions excluded."""
-    own = docs.filter("NOT is_action").groupBy("agent_id").agg(F.count("*").alias("memories"))
-    return own.join(agents, "agent_id", "left").withColumn("label", F.coalesce("label", F.col("agent_id").cast("string")))
+def breakdown(docs: DataFrame, agents: DataFrame, keys: tuple[str, ...] = ("agent_id",)) -> DataFrame:
+    """Memories of each agent with its label, actions excluded; with the key ("workspace", "agent_id") an agent is one
+    of its workspace. The last key is the label of an agent that has none."""
+    own = docs.filter("NOT is_action").groupBy(*keys).agg(F.count("*").alias("memories"))
+    return own.join(agents, list(keys), "left").withColumn("label", F.coalesce("label", F.col(keys[-1]).cast("string")))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -140,3 +141,56 @@ def retrieval_quality(ranked: DataFrame, answers: DataFrame, ks: list[int]) -> D
     first = F.coalesce(F.contains(answer_form(F.col("_b.text")), answer_form(F.col("answer"))), F.lit(False))
     f1 = F.when(F.col("_b.text").isNull(), 0.0).otherwise(token_f1(F.col("_b.text"), F.col("answer")))
     return rows.select("question_id", *(F.coalesce(F.col("_at") <= k, F.lit(False)).alias(f"r_at_{k}") for k in ks), first.alias("exact"), F.round(f1, 6).alias("f1"))
+
+
+#: States of proposals and writes, and the kinds of schema types that count as the engine's own.
+PENDING, AUTO_PROMOTED, DEAD = "pending", "auto_promoted", "dead_lettered"
+TYPE_KINDS = ("entity_kind", "relation_type")
+
+
+def health(tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """One row of a workspace's figures; a table that is not given counts as empty.
+
+    documents, chunks (embedded), entities, people, doc_people, people_people, doc_docs and entity_edges
+    (valid_to, confidence), entity_proposals (state, entity_id, doc_id), relation_proposals (state),
+    type_proposals (state, kind), evidence (kind, row_id, doc_id), events (idempotency_key, status), agents, notes.
+    Each table is read once, for all of its figures.
+    """
+    where = lambda c: F.count_if(c)
+    count = F.count(F.lit(1))
+    current = F.col("valid_to").isNull() | (F.col("valid_to") > as_of)
+    own = F.col("kind").isin(*TYPE_KINDS)
+    asked: dict[str, dict[str, Column]] = {
+        "documents": {"documents": count}, "chunks": {"chunks": count, "embedded_chunks": where(F.col("embedded"))}, "entities": {"entities": count}, "people": {"people": count},
+        "doc_people": {"_a": count}, "people_people": {"_b": count}, "doc_docs": {"_c": count},
+        "entity_edges": {"_d": count, "relations_superseded": where(F.col("valid_to") <= as_of), "mean_relation_confidence": F.round(F.avg(F.when(current, F.col("confidence"))), 3)},
+        "entity_proposals": {
+            "entities_pending": where(F.col("entity_id").isNull() & (F.col("state") == PENDING)), "entities_promoted": where(F.col("entity_id").isNotNull()),
+            "source_backed_pct": percent(where(F.col("doc_id").isNotNull()), count),
+        },
+        "relation_proposals": {"relations_pending": where(F.col("state") == PENDING)},
+        "type_proposals": {
+            "types_pending": where(own & (F.col("state") == PENDING)), "entity_kinds_pending": where((F.col("kind") == TYPE_KINDS[0]) & (F.col("state") == PENDING)),
+            "relation_types_pending": where((F.col("kind") == TYPE_KINDS[1]) & (F.col("state") == PENDING)), "types_auto_promoted": where(own & (F.col("state") == AUTO_PROMOTED)),
+        },
+        "events": {"memory_writes": count, "writes_keyed": where(F.col("idempotency_key").isNotNull()), "writes_dead": where(F.col("status") == DEAD)},
+        "agents": {"agents": count}, "notes": {"session_notes": count},
+    }
+    out, missing = None, {}
+    for name, figures in asked.items():
+        if name in tables:
+            row = tables[name].agg(*(c.alias(n) for n, c in figures.items()))
+            out = row if out is None else out.crossJoin(row)  # one row each
+        else:
+            missing |= dict.fromkeys(figures, 0)
+    if "evidence" in tables:
+        proven = tables["evidence"].filter((F.col("kind") == "entity_relation") & F.col("row_id").isNotNull()).groupBy("row_id").agg(F.count_distinct("doc_id").alias("n"))
+        row = proven.agg(where(F.col("n") >= 2).alias("relations_corroborated"))
+        out = row if out is None else out.crossJoin(row)
+    else:
+        missing["relations_corroborated"] = 0
+    if out is None:
+        raise ValueError("health needs a table")
+    of_none = {"mean_relation_confidence": F.lit(None).cast("double"), "source_backed_pct": F.lit(100.0)}
+    out = out.withColumns({n: of_none.get(n, F.lit(0).cast("long")) for n in missing}) if missing else out
+    return out.withColumn("relations", F.col("_a") + F.col("_b") + F.col("_c") + F.col("_d")).drop("_a", "_b", "_c", "_d")

@@ -35,6 +35,40 @@ def agent_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.breakdown(memories, agents)
 
 
+@query("""WITH o AS (SELECT count(*) AS documents FROM orders), l AS (SELECT count(*) AS chunks, count(*) FILTER (l_linenumber > 1) AS embedded_chunks, count(*) FILTER (l_shipdate <= TIMESTAMP '1995-01-01') AS relations_superseded,
+  round(avg(1 - l_discount) FILTER (l_shipdate > TIMESTAMP '1995-01-01'), 3) AS mean_relation_confidence FROM lineitem),
+p AS (SELECT count(*) FILTER (p_size % 3 <> 0 AND p_size % 2 = 0) AS entities_pending, count(*) FILTER (p_size % 3 = 0) AS entities_promoted, round(100.0::DOUBLE * count(*) FILTER (p_size > 5) / count(*), 1) AS source_backed_pct,
+  count(*) FILTER (p_size % 2 = 0) AS relations_pending, count(*) FILTER (p_size % 2 = 0 AND p_type IN ('SMALL', 'LARGE')) AS types_pending, count(*) FILTER (p_size % 2 = 0 AND p_type = 'SMALL') AS entity_kinds_pending,
+  count(*) FILTER (p_size % 2 = 0 AND p_type = 'LARGE') AS relation_types_pending, count(*) FILTER (p_size % 2 <> 0 AND p_type IN ('SMALL', 'LARGE')) AS types_auto_promoted, count(*) AS entities FROM part),
+e AS (SELECT count(*) AS memory_writes, count(*) FILTER (event_type <> 'view') AS writes_keyed, count(*) FILTER (event_type = 'error') AS writes_dead FROM events),
+c AS (SELECT count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2))
+SELECT documents, chunks, embedded_chunks, p.entities, (SELECT count(*) FROM customer) AS people, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + chunks AS relations, relations_superseded,
+  mean_relation_confidence, entities_pending, entities_promoted, source_backed_pct, relations_pending, types_pending, entity_kinds_pending, relation_types_pending, types_auto_promoted, memory_writes, writes_keyed, writes_dead,
+  0 AS agents, (SELECT count(*) FROM conversations) AS session_notes, c.n AS relations_corroborated FROM o, l, p, e, c""")
+def workspace_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, item, p, e, c, s = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part", "events", "customer", "supplier"))
+    state = lambda no: F.when(F.col("p_size") % 2 == 0, "pending").otherwise(no).alias("state")
+    kind = F.when(F.col("p_type") == "SMALL", "entity_kind").when(F.col("p_type") == "LARGE", "relation_type").otherwise("subtype")
+    tables = {
+        "documents": o, "chunks": item.select((F.col("l_linenumber") > 1).alias("embedded")), "entities": p, "people": c, "doc_people": o, "people_people": c, "doc_docs": s,
+        "entity_edges": item.select(F.col("l_shipdate").alias("valid_to"), (1 - F.col("l_discount")).alias("confidence")),
+        "entity_proposals": p.select(state("rejected"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey")).alias("entity_id"), F.when(F.col("p_size") > 5, F.col("p_partkey")).alias("doc_id")),
+        "relation_proposals": p.select(state("rejected")), "type_proposals": p.select(state("auto_promoted"), kind.alias("kind")),
+        "evidence": item.select(F.when(F.col("l_linenumber") <= 3, "entity_relation").otherwise("mention").alias("kind"), F.col("l_partkey").alias("row_id"), F.col("l_orderkey").alias("doc_id")),
+        "events": e.select(F.when(F.col("event_type") != "view", F.col("event_id")).alias("idempotency_key"), F.when(F.col("event_type") == "error", "dead_lettered").otherwise("completed").alias("status")),
+        "notes": table(spark, sf_dir, "conversations"),
+    }
+    return A.health(tables, F.expr("timestamp_ntz'1995-01-01 00:00:00'"))
+
+
+@query("""SELECT o_orderpriority AS workspace, o_custkey AS agent_id, count(*) AS memories, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent ' || o_custkey ELSE o_custkey::VARCHAR END AS label FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""")
+def agent_breakdown_by_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id = F.col("o_custkey").alias("agent_id")
+    memories = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("workspace"), id, (F.col("o_orderstatus") == "P").alias("is_action"))
+    agents = memories.filter("workspace = '1-URGENT'").select("workspace", "agent_id", F.concat(F.lit("urgent "), F.col("agent_id").cast("string")).alias("label")).distinct()
+    return A.breakdown(memories, agents, ("workspace", "agent_id"))
+
+
 @query("""SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, max(value) AS highest FROM events GROUP BY 1""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.nearest_rank(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})

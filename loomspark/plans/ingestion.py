@@ -69,6 +69,18 @@ def stream_idempotent_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{scratch}/events").agg(F.count("*").alias("kept"), F.count_distinct("user_id").alias("users"))
 
 
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'idempotency_key' WHEN event_id % 11 = 0 THEN 'trace_id' WHEN event_type = 'error' THEN 'kind' END AS problem FROM events)
+SELECT coalesce(problem, 'valid') AS outcome, count(*) AS n, min(event_id) AS first FROM e GROUP BY 1""")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, id = _scratch(spark), F.col("event_id")
+    key = F.when(id % 7 == 0, " ").otherwise(id.cast("string")).alias("idempotency_key")
+    trace, kind = F.when(id % 11 != 0, id.cast("string")).alias("trace_id"), F.when(F.col("event_type") != "error", F.col("event_type")).otherwise("").alias("kind")
+    pipelines.quarantine_stream(_event_stream(spark, sf_dir).select("event_id", key, trace, kind), f"{scratch}/offsets", f"{scratch}/events", f"{scratch}/quarantine")
+    good = spark.read.parquet(f"{scratch}/events").select(F.lit("valid").alias("outcome"), "event_id")
+    both = good.unionByName(spark.read.parquet(f"{scratch}/quarantine").select(F.col("problem").alias("outcome"), "event_id"))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
 @query(f"WITH {OR_SQL} SELECT subject, predicate, object, sources, round({NOISY}, 6) AS confidence FROM agg")
 def stream_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = _scratch(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.operators import evidence as E
+from loomspark.operators.curation import valid_envelopes
 
 
 def unique_events(events: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -31,6 +32,19 @@ def append_batches(stream: DataFrame, checkpoint: str, target: str) -> None:
     drain(stream, checkpoint, each)
 
 
+def quarantine_stream(events: DataFrame, checkpoint: str, target: str, quarantine: str) -> None:
+    """Write each batch's valid envelopes below ``target`` and the others, with their problem, below ``quarantine``;
+    a batch that runs again replaces its own rows in both."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        judged = valid_envelopes(batch).persist()
+        judged.filter("problem IS NULL").drop("problem").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        judged.filter("problem IS NOT NULL").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        judged.unpersist()
+
+    drain(events, checkpoint, each)
+
+
 def rescore_stream(sightings: DataFrame, checkpoint: str, evidence: str, scores: str) -> None:
     """Append sightings to the evidence table; after each batch recompute the edges it touched.
 
