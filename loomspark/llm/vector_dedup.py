@@ -30,6 +30,8 @@ from loomspark.llm.shared import connected_components, materialise
 BITS = 64  # of a rotation
 #: Rows of a tile: two tiles of 64 doubles and their products stay below 50 MB.
 TILE = 1024
+#: Bands of so many rows at most are compared pair by pair, larger ones as matrices.
+SMALL = 32
 #: Share of pairs exactly at the threshold that may share no band; closer pairs are missed far less.
 MISS = 0.02
 #: Standard deviations allowed below the threshold before a pair is dropped on its codes.
@@ -174,19 +176,33 @@ def _links(alike: DataFrame, dim: int, count: int, threshold: float, seed: int)
 
     def sift(group: pd.DataFrame) -> pd.DataFrame:
         """The rows of each tile that are near some other by their codes: only these ask for their vectors."""
-        kept = []
-        for (_, low, high), one in _runs(group):
-            first = one["tile"].to_numpy() == low
-            left, right = (np.arange(len(one)),) * 2 if low == high else (np.flatnonzero(first), np.flatnonzero(~first))
-            signs = np.where(_bits(one["code"], width), np.float32(1), np.float32(-1))
-            near = signs[left] @ signs[right].T >= width - 2 * apart
-            if low == high:
-                np.fill_diagonal(near, False)
-            some = np.zeros(len(one), bool)
-            some[left] |= near.any(axis=1)
-            some[right] |= near.any(axis=0)
-            kept.append(one[some])
-        return pd.concat(kept)[[*where, "rep"]] if kept else group[[*where, "rep"]][:0]
+        band = group.groupby(["label", "band", "key", "low", "high"], sort=False).ngroup().to_numpy()
+        order = np.argsort(band, kind="stable")
+        group, band = group.iloc[order], band[order]
+        codes = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(len(group), -1)
+        codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
+        parted, side = (group["low"] != group["high"]).to_numpy(), (group["tile"] == group["low"]).to_numpy()
+        near, held = np.zeros(len(group), bool), np.bincount(band)
+        # small bands at once: rows that stand so many places apart in one band
+        few = np.flatnonzero(held[band] <= SMALL)
+        for k in range(1, SMALL):
+            at = np.flatnonzero(band[few[k:]] == band[few[:-k]]) if len(few) > k else few[:0]
+            if not len(at):
+                break
+            i, j = few[at], few[at + k]
+            hit = (np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= apart) & (~parted[i] | (side[i] != side[j]))
+            near[i[hit]] = near[j[hit]] = True
+        ends = np.cumsum(held)
+        for g in np.flatnonzero(held > SMALL):
+            rows = np.arange(ends[g] - held[g], ends[g])
+            left, right = (rows, rows) if not parted[rows[0]] else (rows[side[rows]], rows[~side[rows]])
+            signs = [np.where(np.unpackbits(codes[x].view(np.uint8), axis=1)[:, :width], np.float32(1), np.float32(-1)) for x in (left, right)]
+            met = signs[0] @ signs[1].T >= width - 2 * apart
+            if not parted[rows[0]]:
+                np.fill_diagonal(met, False)
+            near[left] |= met.any(axis=1)
+            near[right] |= met.any(axis=0)
+        return group[near][[*where, "rep"]]
 
     sifted = placed.groupBy("bin").applyInPandas(sift, f"bin bigint, label {label_type}, band int, key bigint, low int, high int, tile int, rep bigint")
     placed = sifted.join(coded.select("rep", "n", "code", "factors", "raw"), "rep").select(*where, "rep", "n", "code", "factors", "raw")
