@@ -44,6 +44,8 @@ PIVOT_PERCENT = 50
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20
 #: Blocks by size in one step of the least ratio of sizes that can match.
 STEPS = 4
+#: Above all orders of size that differences have.
+TIED = 64
 #: Bits of the filter of documents to verify: 2 MB. More documents than an eighth of it are joined instead.
 DOCUMENT_BITS = 1 << 24
 
@@ -320,12 +322,21 @@ def _pivots(lists: DataFrame, percent: int, keep: Callable[[DataFrame], DataFram
     return pairs.groupBy(F.col("class").alias("a")).agg(F.max(F.struct("shared", "b")).alias("p")).select("a", "p.b")
 
 
-def _tiles(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _tied(percent: int) -> Column:
+    """Does a member link with the pivot of its group? Pivots do with themselves."""
+    return (100 + percent) * (F.col("size") - F.col("lost")).cast("long") >= percent * (F.col("n") + F.col("size")).cast("long")
+
+
+def _tiles(members: DataFrame, keep: Callable[[DataFrame], DataFrame], loose: int | None = None) -> DataFrame:
     """Rows of ``members`` for each tile (g, lo, hi) that compares their block (block) with another.
 
-    Blocks hold differences of about one size, so that whole tiles are certain without reading them.
+    Blocks hold differences of about one size, so that whole tiles are certain without reading them. With
+    ``loose``, the percentage of a link, members that link with their pivot are not compared with each
+    other: they are connected as it is. So a group of near copies of its pivot costs no tile.
     """
-    members = members.withColumn("bucket", F.floor(F.log2(F.octet_length("delta") / 8 + 1)).cast("int"))
+    order = F.floor(F.log2(F.octet_length("delta") / 8 + 1)).cast("int")
+    # blocks of tied members come first, with the numbers below ``tied``
+    members = members.withColumn("bucket", order if loose is None else order + F.when(_tied(loose), 0).otherwise(TIED))
     filled = members.groupBy("g", "bucket").agg(F.count("*").alias("rows"), F.sum(F.octet_length("delta").cast("long")).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK_ROWS), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
     # one short list a group: differences have some 40 orders of size at most
@@ -335,7 +346,12 @@ def _tiles(members: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFr
     own = F.expr("filter(plan, p -> p.bucket = bucket)[0].blocks")
     count = F.expr("aggregate(plan, 0, (n, p) -> n + p.blocks)")
     placed = members.join(plan, "g").withColumn("block", before + F.pmod(F.xxhash64("class"), own).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    if loose is not None:
+        tied = F.expr(f"aggregate(filter(plan, p -> p.bucket < {TIED}), 0, (n, p) -> n + p.blocks)")
+        placed = placed.withColumns({"first": F.when(F.col("block") < tied, tied).otherwise(0), "count": count}).filter("first < count")
+        placed = placed.withColumn("other", F.explode(F.sequence("first", F.col("count") - 1)))
+    else:
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
     return placed.select(
         "g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "n", "size", "lost", "docs", "delta"
     )
@@ -476,8 +492,11 @@ def _across(lists: DataFrame, members: DataFrame, percent: int, keep: Callable[[
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
-def _join(docs: DataFrame, words: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, n, class), (classes: class, rep, docs), tiles, and links (a, b) outside the tiles."""
+def _join(
+    docs: DataFrame, words: int, percent: int, keep: Callable[[DataFrame], DataFrame], loose: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n, class), (classes: class, rep, docs), tiles, and links (a, b) outside the tiles, which with
+    ``loose`` are those that connect and not all."""
     sets = keep(_sets(docs, words, percent, _frequent(docs, words, keep)))
     reps = keep(sets.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
     # index lists: one row for each first shingle of a class, with its position. A frequent shingle is in
@@ -497,12 +516,17 @@ def _join(docs: DataFrame, words: int, percent: int, keep: Callable[[DataFrame],
     members = keep(members.unionByName(roots))
     pairs = keep(_across(lists, members, percent, keep))
     across = keep(_linked(_with_sets(pairs, reps, docs, words, keep), percent))
-    return sets.select("doc_id", "n", "class"), reps, _tiles(members, keep), across
+    if loose:
+        ties = members.filter(_tied(percent) & (F.col("class") != F.col("g")))
+        across = across.unionByName(ties.select(F.greatest("class", "g").alias("a"), F.least("class", "g").alias("b")))
+    return sets.select("doc_id", "n", "class"), reps, _tiles(members, keep, percent if loose else None), across
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every document of ``docs`` (doc_id, text).
 
+    Without ``count_links`` n_links is null: links that connect nothing new are then not looked for.
+
     Two documents link when 100 * intersection >= percent * union of their sets; n_links counts the other
     documents that one links with, component_id is the smallest doc_id reachable by links. A null text,
     or one without words, has an empty set and links with nothing; very long texts are hashed whole.
@@ -513,22 +537,25 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     """
     docs = docs.select("doc_id", "text")
     with scratch(docs.sparkSession) as keep:
-        rows, reps, tiles, across = _join(docs, words, percent, keep)
+        rows, reps, tiles, across = _join(docs, words, percent, keep, not count_links)
         counted = keep(_by_tile(tiles, _counted, percent, "class bigint, others bigint, to bigint"))
         edges = counted.select(F.col("class").alias("src"), F.col("to").alias("dst"))
         groups = keep(connected_components(edges.unionByName(across.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
-        both = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = both.join(reps.select(F.col("class").alias("b"), F.col("docs").alias("others")), "b").select(F.col("a").alias("class"), "others")
-        others = others.unionByName(counted.select("class", "others")).groupBy("class").agg(F.sum("others").alias("others"))
         named = reps.join(groups, F.col("class") == F.col("node"), "left").select("class", "rep", "docs", F.coalesce("component", "class").alias("g"))
         named = keep(named)
         smallest = keep(named.groupBy("g").agg(F.min("rep").alias("component_id")))
-        named = named.join(smallest, "g").join(others, "class", "left")
-        named = materialise(named.select("class", "component_id", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+        named, counts = named.join(smallest, "g"), F.lit(None).cast("long")
+        if count_links:
+            both = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            others = both.join(reps.select(F.col("class").alias("b"), F.col("docs").alias("others")), "b").select(F.col("a").alias("class"), "others")
+            others = others.unionByName(counted.select("class", "others")).groupBy("class").agg(F.sum("others").alias("others"))
+            named = named.join(others, "class", "left")
+            counts = F.col("docs") - 1 + F.coalesce("others", F.lit(0))
+        named = materialise(named.select("class", "component_id", counts.alias("n_links")))
         rows = materialise(rows)
     linked = rows.join(named, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     empty = rows.filter("class IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))
+    return linked.unionByName(empty.withColumn("n_links", F.lit(0 if count_links else None).cast("long")))
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -553,7 +580,7 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     keyed = rows.filter("doc_id IS NOT NULL").select(F.struct("doc_id", "_row").alias("doc_id"), "text")
-    firsts = similar_documents(keyed, words, percent).filter("doc_id = component_id").select("doc_id._row")
+    firsts = similar_documents(keyed, words, percent, count_links=False).filter("doc_id = component_id").select("doc_id._row")
     firsts = firsts.unionByName(rows.filter("doc_id IS NULL").select("_row"))
     # the ids grow with the documents: a merge join at every size
     return rows.join(firsts.hint("merge"), "_row", "left_semi").select(*docs.columns)

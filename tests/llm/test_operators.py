@@ -614,6 +614,26 @@ def test_jaccard_join_at_the_threshold_and_in_chains(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("rows_of_block", [512, 4])
+def test_components_without_counts_are_the_same(spark, docs, monkeypatch, rows_of_block):
+    """Groups of near copies, members that only other members link with, chains, and the shared fixture."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", rows_of_block)
+    made = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for k in range(25):
+            own = words[:]
+            for _ in range(k % 7):
+                own[RNG.randrange(60)] = f"x{RNG.randrange(4)}"
+            made.append(" ".join(own[: 60 - k % 4]))
+        chain = [f"g{g}c{i}" for i in range(90)]
+        made += [" ".join(chain[4 * k : 4 * k + 50]) for k in range(10)]
+    rows = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(made)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    full = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(rows).collect()}
+    few = jaccard_join.similar_documents(rows, count_links=False).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in few} == full and {r.n_links for r in few} == {None}
+
+
 def test_jaccard_links(spark, docs):
     def shingles(text):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
