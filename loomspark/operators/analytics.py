@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,21 +178,21 @@ def health(tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
         "events": {"memory_writes": count, "writes_keyed": where(F.col("idempotency_key").isNotNull()), "writes_dead": where(F.col("status") == DEAD)},
         "agents": {"agents": count}, "notes": {"session_notes": count},
     }
-    out, missing = None, {}
+    rows, missing = [], {}
     for name, figures in asked.items():
         if name in tables:
-            row = tables[name].agg(*(c.alias(n) for n, c in figures.items()))
-            out = row if out is None else out.crossJoin(row)  # one row each
+            rows.append(tables[name].agg(*(c.alias(n) for n, c in figures.items())))
         else:
             missing |= dict.fromkeys(figures, 0)
     if "evidence" in tables:
         proven = tables["evidence"].filter((F.col("kind") == "entity_relation") & F.col("row_id").isNotNull()).groupBy("row_id").agg(F.count_distinct("doc_id").alias("n"))
-        row = proven.agg(where(F.col("n") >= 2).alias("relations_corroborated"))
-        out = row if out is None else out.crossJoin(row)
+        rows.append(proven.agg(where(F.col("n") >= 2).alias("relations_corroborated")))
     else:
         missing["relations_corroborated"] = 0
-    if out is None:
+    if not rows:
         raise ValueError("health needs a table")
+    one = [r.withColumn("_one", F.lit(1)) for r in rows]  # a row each
+    out = reduce(lambda a, b: a.join(b, "_one"), one).drop("_one")
     of_none = {"mean_relation_confidence": F.lit(None).cast("double"), "source_backed_pct": F.lit(100.0)}
     out = out.withColumns({n: of_none.get(n, F.lit(0).cast("long")) for n in missing}) if missing else out
     return out.withColumn("relations", F.col("_a") + F.col("_b") + F.col("_c") + F.col("_d")).drop("_a", "_b", "_c", "_d")

@@ -13,6 +13,7 @@ from loomspark.operators import provenance as W
 from loomspark.operators import ranking as R
 from loomspark.plans.session import Session
 from loomspark.sources import exports
+from loomspark.streaming import pipelines
 from pyspark.sql import functions as F
 
 
@@ -183,3 +184,34 @@ def test_hybrid_sorts_and_related(spark):
     seeds = spark.createDataFrame([("doc", 1)], "kind string, id long")
     assert {r.other for r in G.related(edges, seeds, least=0.6, predicates=["has", "wrote"]).collect()} == {2, 4}
     assert {r.other for r in G.related(edges, seeds, "out", kinds=["part"]).collect()} == {2, 3, 5}
+
+
+def test_health_and_breakdown(spark):
+    make = spark.createDataFrame
+    edges = make([(None, 0.5), (5, 0.9), (50, 0.7)], "valid_to int, confidence double")
+    proposals = make([("pending", None, "d"), ("approved", "e", None), ("rejected", None, "d")], "state string, entity_id string, doc_id string")
+    types = make([("pending", "entity_kind"), ("pending", "subtype"), ("auto_promoted", "relation_type"), ("pending", "relation_type")], "state string, kind string")
+    evidence = make([("entity_relation", "r", "d1"), ("entity_relation", "r", "d2"), ("entity_relation", "q", "d1"), ("mention", "s", "d1"), ("mention", "s", "d2"), ("entity_relation", None, "d3")], "kind string, row_id string, doc_id string")
+    events = make([("k", "completed"), (None, "dead_lettered")], "idempotency_key string, status string")
+    h = A.health({"entity_edges": edges, "entity_proposals": proposals, "type_proposals": types, "evidence": evidence, "events": events, "people": edges, "doc_people": edges}, F.lit(10)).first().asDict()
+    want = {"relations": 6, "relations_superseded": 1, "mean_relation_confidence": 0.6, "entities_pending": 1, "entities_promoted": 1, "source_backed_pct": 66.7, "types_pending": 2, "entity_kinds_pending": 1,
+            "relation_types_pending": 1, "types_auto_promoted": 1, "relations_corroborated": 1, "memory_writes": 2, "writes_keyed": 1, "writes_dead": 1, "people": 3, "documents": 0, "relations_pending": 0}
+    assert {k: h[k] for k in want} == want
+    none = A.health({"people": edges.limit(0)}, F.lit(1)).first()
+    assert (none.source_backed_pct, none.mean_relation_confidence, none.relations) == (100.0, None, 0)
+    with pytest.raises(ValueError):
+        A.health({}, F.lit(1))
+    docs = make([("w", "a", False), ("w", "a", True), ("v", "a", False), ("v", "b", False)], "workspace string, agent_id string, is_action boolean")
+    agents = make([("w", "a", "Ann")], "workspace string, agent_id string, label string")
+    assert {tuple(r) for r in A.breakdown(docs, agents, ("workspace", "agent_id")).collect()} == {("w", "a", 1, "Ann"), ("v", "a", 1, "a"), ("v", "b", 1, "b")}
+
+
+def test_invalid_writes_go_to_quarantine(spark, tmp_path):
+    schema = "idempotency_key string, trace_id string, kind string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for rows in ([("k", "t", "fact"), (" ", "t", "fact")], [("k2", None, "fact"), ("k3", "t", "")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        pipelines.quarantine_stream(stream, *(str(tmp_path / x) for x in ("offsets", "good", "bad")))
+    assert [r.idempotency_key for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["k"]
+    assert {(r.problem, r.batch) for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {("idempotency_key", 0), ("trace_id", 1), ("kind", 1)}
