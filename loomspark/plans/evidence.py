@@ -53,7 +53,7 @@ spans AS (SELECT *, lead(valid_from) OVER w AS valid_to, lead(opened) OVER w AS
 proof AS (SELECT subject, predicate, object, interval, source, arg_min(confidence, (observed_at, event_id)) AS c FROM runs GROUP BY ALL),
 best AS (SELECT s.subject, s.predicate, s.object, s.interval, p.source, max(p.c) AS c FROM spans s JOIN proof p
   ON s.subject = p.subject AND s.predicate = p.predicate AND s.object = p.object AND p.interval <= s.interval GROUP BY ALL),
-agg AS (SELECT subject, predicate, object, interval, max(c) AS m, product(1 - 0.4::DOUBLE * c) AS p FROM best WHERE c > 0 GROUP BY ALL),
+agg AS (SELECT subject, predicate, object, interval, max(c) AS m, round(product(1 - 0.4::DOUBLE * c), 14) AS p FROM best WHERE c > 0 GROUP BY ALL),
 conf AS (SELECT s.*, coalesce(round({NOISY}, 6), 0) AS c FROM spans s LEFT JOIN agg a ON s.subject = a.subject AND s.predicate = a.predicate AND s.object = a.object AND s.interval = a.interval)"""
 
 
