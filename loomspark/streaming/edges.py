@@ -41,7 +41,7 @@ class EdgeState(StatefulProcessor):
             for source, confidence in part.groupby("source")["confidence"].max().items():
                 best[source] = max(confidence, best.get(source, 0.0))
         for source, confidence in best.items():
-            have = self.sources.getValue((source,))
+            have = self.sources.getValue((source,)) if known else None  # a new edge has no sources yet
             before = have[0] if have else 0.0
             if confidence > before:
                 self.sources.updateValue((source,), (float(confidence),))
