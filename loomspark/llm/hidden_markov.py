@@ -100,15 +100,17 @@ def encoded(docs: DataFrame, carried: list[str], block_bytes: int) -> DataFrame:
 def lexicon(blocks: DataFrame, own: int) -> DataFrame:
     """(block, local, c, profile, first, trained) for each word of each block: c counts it in all training texts.
 
-    A profile is the number of a word, or -1 less the last two bytes of a rarer one; words that no training
-    text has share one. first marks one row of each word.
+    A profile is a hash of a word, not below 0, or -1 less the last two bytes of a rarer one; words that no
+    training text has share one. Should two words share a hash, they share a profile. first marks one row of
+    each word.
     """
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("local", "w"))
     pairs = pairs.select("block", "local", "w.words", "w.trained", (F.shiftleft("block", 24) + F.col("local")).alias("_id"))
     same = Window.partitionBy("words")
     pairs = pairs.withColumns({"c": F.sum("trained").over(same), "_word": F.min("_id").over(same)})
     ending = F.coalesce(F.conv(F.hex(F.substring("words", -2, 2)), 16, 10).cast("long"), F.lit(0))
-    profile = F.when(F.col("c") >= own, F.col("_word")).when(F.col("c") > 0, -1 - ending).otherwise(F.lit(-1))
+    number = F.shiftrightunsigned(F.xxhash64("words"), 2)  # of the word alone: files and blocks do not decide
+    profile = F.when(F.col("c") >= own, number).when(F.col("c") > 0, -1 - ending).otherwise(F.lit(-1))
     return pairs.select("block", "local", "c", profile.alias("profile"), (F.col("_id") == F.col("_word")).alias("first"), "trained")
 
 

@@ -165,6 +165,16 @@ def test_training_raises_the_likelihood_of_unseen_texts(spark):
     assert 0 < means[1] <= means[2] + 0.1 and means[2] > 3  # three vocabularies: log10(3) a word
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string, a double, b string").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    learn, results = F.col("doc_id") % 5 != 1, []
+    for parts, size in ((1, 1 << 24), (4, 700)):
+        out = hm.language_model(frame.repartition(parts, F.rand(parts)), learn, states=3, rounds=2, own=6, block_bytes=size).collect()
+        results.append({r.doc_id: (r.base_score, r.score) for r in out})
+    for d, (base, score) in results[0].items():
+        assert results[1][d] == (pytest.approx(base), pytest.approx(score, rel=1e-4))
+
+
 def test_nothing_to_learn_from_and_no_rows(spark):
     frame = spark.createDataFrame(corpus(), "doc_id long, text string, a double, b string")
     out = hm.language_model(frame, F.lit(False)).collect()
