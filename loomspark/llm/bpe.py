@@ -36,11 +36,10 @@ _BYTES = [bytes((b,)) for b in range(256)]
 _FRESH = [(0, ())]
 
 
-class _State:
-    __slots__ = ("key", "moves", "rest")
+class _State(dict):
+    """The moves by byte; ``key`` has all else, packed."""
 
-    def __init__(self, key: bytes, rest: tuple) -> None:
-        self.key, self.moves, self.rest = key, {}, rest
+    __slots__ = ("key",)
 
 
 class ByteBpe:
@@ -58,18 +57,23 @@ class ByteBpe:
         self.max_pairs, self.max_pieces, self.pieces = max_pairs, max_pieces, {}
         self.tokens = {v: k for k, v in ranks.items()}
         self.open = {t[:n] for t in ranks for n in range(len(t))}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.split_of: dict[int, tuple[int, int] | None] = {}
+        self.states: dict[bytes, _State] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[bytes, _State] = {}
+        # states lead to each other in circles: cut here, a dropped table is freed at once and not left to the collector
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
         self.start = self._state(-1, b"", ((0, ()),))
 
     def _state(self, last: int, text: bytes, live: tuple) -> _State:
         key = marshal.dumps((last, text, live), 2)  # this version writes equal values to equal bytes
         if (found := self.states.get(key)) is None:
-            found = self.states[key] = _State(key, live[-1][1])
+            found = self.states[key] = _State()
+            found.key = key
         return found
 
     def merge(self, piece: bytes, stop: int = 1) -> list[int]:
@@ -97,10 +101,10 @@ class ByteBpe:
         """
         if a < 0:
             return True
-        if (known := self.stable.get((a, b))) is None:
-            if len(self.stable) > self.max_pairs:
+        if (known := self.stable.get(pair := a << 32 | b)) is None:
+            if len(self.stable) >= self.max_pairs:
                 self.stable.clear()
-            known = self.stable[a, b] = self._faces(a, b)
+            known = self.stable[pair] = self._faces(a, b)
         return known
 
     def _faces(self, a: int, b: int) -> bool:
@@ -117,6 +121,8 @@ class ByteBpe:
                 return True
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple]:
+        if len(self.states) >= self.max_states:
+            self._reset()
         last, text, live = marshal.loads(state.key)
         text += _BYTES[byte]
         ranks, open_, stay, ending = self.ranks, self.open, [], None
@@ -145,7 +151,7 @@ class ByteBpe:
             if all(p for _, p in stay):
                 last = -1  # no start needs what went before
         to = (self._state(last, text, tuple(stay)), out)
-        state.moves[byte] = to
+        state[byte] = to
         return to
 
     def encode_piece(self, piece: bytes, out: list[int]) -> None:
@@ -153,15 +159,13 @@ class ByteBpe:
         if whole is not None:
             out.append(whole)
             return
-        if len(self.states) > self.max_states:
-            self._reset()
         state = self.start
         for byte in piece:
-            to = state.moves.get(byte) or self._move(state, byte)
+            to = state.get(byte) or self._move(state, byte)
             state = to[0]
             if to[1]:
                 out += to[1]
-        out += state.rest
+        out += marshal.loads(state.key)[2][-1][1]  # what the last start has pending
 
     def packed(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""

@@ -1,5 +1,6 @@
 """Encoding against the tiktoken library and against plain merging; decoding against Python's decoder."""
 
+import gc
 import hashlib
 import random
 
@@ -27,6 +28,32 @@ def test_texts_match_library_even_with_tiny_tables():
             assert own.encode(text) == LIBRARY.encode_ordinary(text)
 
 
+def test_dropped_states_are_freed_at_once():
+    def states():
+        return sum(type(x) is bpe._State for x in gc.get_objects())
+
+    rng = random.Random(11)
+    texts = ["".join(chr(rng.randrange(97, 123)) for _ in range(rng.randint(20, 60))) for _ in range(400)]
+    own = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, max_states=500)
+    gc.collect()
+    gc.disable()  # in a worker the collector seldom looks at old objects
+    try:
+        before = states()
+        for text in texts:
+            assert own.encode(text) == LIBRARY.encode_ordinary(text)
+            assert states() - before <= 500
+    finally:
+        gc.enable()
+
+
+def test_table_of_states_is_bounded_inside_one_piece():
+    rng = random.Random(12)
+    text = "".join(chr(rng.randrange(97, 123)) for _ in range(20_000))
+    own = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, max_states=500)
+    assert own.encode(text) == LIBRARY.encode_ordinary(text)
+    assert len(own.states) <= 500
+
+
 def test_decoder_streams_and_replaces():
     tokens = {v: k for k, v in RANKS.items()}
     rng = random.Random(5)
