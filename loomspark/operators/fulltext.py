@@ -110,7 +110,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, first: int = FIRST
 
 def matching(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, total): how many documents have a stem of each query."""
-    terms = query_terms(queries)
+    # kept, as in search: a join would push its filter on the term through all steps of the stem, one copied into the next
+    terms = query_terms(queries).cache()
     hits = wanted(index, terms).select("term", "docs").join(terms.select("query_id", "term"), "term")
     # a range is the unit: its documents are counted where they meet
     ids = hits.select("query_id", F.explode("docs").alias("doc_id")).distinct()
