@@ -1,5 +1,6 @@
 """Closed-form cases and properties of the memory-store operators."""
 
+import datetime as dt
 import math
 import os
 import random
@@ -371,3 +372,26 @@ def test_entry_points_work_without_the_optional_parts(tmp_path):
         "q = e.queries(); assert 'hybrid_search' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     )
     subprocess.run([sys.executable, "-c", code], cwd=here, check=True)
+
+
+def against_sql(spark, folder, name, events):
+    """Rows of a query over ``events`` that its SQL does not have, and the other way round."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{folder}/events.parquet/*.parquet'")
+    cursor = con.execute(entry.oracle_sql()[name])
+    columns = [c[0] for c in cursor.description]
+    want = {tuple(r) for r in cursor.fetchall()}
+    got = {tuple(r) for r in entry.queries()[name](spark, str(folder)).select(*columns).collect()}
+    return got - want, want - got
+
+
+def test_trend_rounds_ties_as_sql(spark, tmp_path):
+    # a first confidence of four digits that end in 5, then one of 0 on a later day: both steps are ties
+    days = [dt.datetime(2024, 1, d, 12) for d in (1, 2)]
+    events = [(2 * i + j, days[j], i, "view", (i / 10 + 0.05) * (1 - j)) for i in range(1000) for j in (0, 1)]
+    assert against_sql(spark, tmp_path, "confidence_trend", events) == (set(), set())
