@@ -395,3 +395,16 @@ def test_trend_rounds_ties_as_sql(spark, tmp_path):
     days = [dt.datetime(2024, 1, d, 12) for d in (1, 2)]
     events = [(2 * i + j, days[j], i, "view", (i / 10 + 0.05) * (1 - j)) for i in range(1000) for j in (0, 1)]
     assert against_sql(spark, tmp_path, "confidence_trend", events) == (set(), set())
+
+
+def test_intervals_round_ties_as_sql(spark, tmp_path):
+    # two sources of four digits whose compounded confidence has nine, the last three of them 500
+    days = [dt.datetime(2024, 1, d, 12) for d in (1, 2)]
+    pairs = [(a, q) for a in range(1, 10000) for q in range(1, 10001 - a, 50) if a * (25000 - q) % 250 == 125][::4]
+    events = [(2 * i + j, days[j], i, "view", c / 100) for i, (a, q) in enumerate(pairs) for j, c in enumerate((10000 - a, q))]
+    assert len(pairs) > 500 and against_sql(spark, tmp_path, "contradiction_intervals", events) == (set(), set())
+
+
+def test_intervals_without_evidence_have_no_confidence(spark):
+    seen = sightings(spark, [("ann", "works at", "a", "d1", 0.0, 1), ("ann", "works at", "b", "d2", 0.5, 2)])
+    assert [r.confidence for r in E.intervals(seen).orderBy("interval").collect()] == [0.0, 0.5]
