@@ -65,7 +65,8 @@ def neighbors(
     edges with agents; a person its documents and people. Of people's and entities' edges only those count
     that are valid at ``as_of``; documents that ``actor`` may not see are neither owned nor mentioned in.
     ``relation_types`` narrows the edges that have a type. ``limit`` keeps the first of each root and
-    branch: related documents by priority, then confidence; others latest first; ties by edge id.
+    branch: related documents by priority, then confidence; others latest first; ties by edge id, and
+    by the ends, predicate, type and confidence where edges share an id.
     """
     roots = roots.select("kind", F.col("id").cast("string").alias("id")).distinct()
     typed: Callable[[DataFrame], DataFrame] = lambda e: e.filter(F.col("relation_type").isin(relation_types)) if relation_types is not None else e
@@ -92,6 +93,8 @@ def neighbors(
         out = out.unionByName(more)
     if limit is not None:
         order = [F.desc_nulls_last("_priority"), F.when(F.col("branch") == "doc_doc", F.col("confidence")).desc_nulls_last(), F.desc_nulls_last("created_at"), F.asc("edge_id")]
+        # edges may share an id: without their values the layout would decide which of them stays
+        order += ["from_id", "to_id", "predicate", "relation_type", F.desc_nulls_last("confidence")]
         place = F.row_number().over(Window.partitionBy("branch", "root_kind", "root").orderBy(*order))
         out = out.withColumn("_r", place).filter(F.col("_r") <= limit).drop("_r")
     return out.select(*COLUMNS)

@@ -52,6 +52,16 @@ def test_neighbors(spark):
     assert spark.createDataFrame([("person", "e2")], "kind string, id string").transform(lambda r: N.nodes(N.neighbors(m, r, F.lit(0), "x"), r, names)).first().name == "Entity E2"
 
 
+def test_neighbors_that_share_an_edge_id(spark):
+    m, answers = memory(spark), []
+    roots = spark.createDataFrame([("doc", "d1")], "kind string, id string")
+    rows = [(7, e, "d1", c, 1) for e, c in (("e2", 0.9), ("e1", 0.7), ("e3", 0.8), ("e1", 0.95))]
+    for given in (rows, rows[::-1]):
+        m.mentions = spark.createDataFrame(given, "edge_id long, entity string, doc string, confidence double, created_at int").coalesce(1)
+        answers.append([(r.to_id, r.confidence) for r in N.neighbors(m, roots, F.lit(100), "a2", 1).filter("branch = 'doc_entity'").collect()])
+    assert answers == [[("e1", 0.95)], [("e1", 0.95)]]
+
+
 def test_pack_and_envelope(spark):
     hits = spark.createDataFrame([(1, "x" * 40, "t1", 0.9, 5, 1), (2, "y" * 40, "t2", 0.6, 6, 2), (3, "z" * 4000, "t1", 0.1, 7, 3)], "doc_id long, text string, type string, score double, created_at int, rank int")
     entities = spark.createDataFrame([(i, f"Ring {i:02}", None) for i in range(15)] + [(90, "Other", ["ring"]), (91, "None", ["RING"]), (92, None, None)], "entity_id long, name string, aliases array<string>")
