@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.stems import with_stem
 from loomspark.functions.text import STOP_WORDS, tokens
+from loomspark.operators.lineage import new_folder, removed
 
 #: Document ids of a block share all but so many low bits; folders that stems are hashed to.
 RANGE_BITS, BUCKETS = 8, 16
@@ -22,33 +23,41 @@ FIRST = 4
 #: Beyond so many words of all queries together, or ranges, blocks are found by a join and not by a pushed filter.
 PUSHED = 1000
 SCHEMA = "term string, range long, docs array<long>, counts array<int>, impact double, bucket int, batch string"
+WORDS = "doc_id long, word string, n int"
 
 
-def analysed(rows: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each token of ``text`` that is no stop word, with its stem ``term``; the text is dropped."""
+def words(rows: DataFrame, text: str = "text") -> DataFrame:
+    """How often (n) each row's ``text`` has each word that is no stop word; the text is dropped."""
     kept = [c for c in rows.columns if c != text]
-    words = rows.select(*kept, F.explode(tokens(F.col(text))).alias("word")).filter(~F.col("word").isin(*STOP_WORDS))
-    # a text repeats its words: each is stemmed once
-    return with_stem(words.groupBy(*kept, "word").agg(F.count("*").alias("n")))
+    found = rows.select(*kept, F.explode(tokens(F.col(text))).alias("word")).filter(~F.col("word").isin(*STOP_WORDS))
+    return found.groupBy(*kept, "word").agg(F.count("*").cast("int").alias("n"))
 
 
-def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term, n) of whole texts; null texts have none."""
-    return analysed(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).groupBy("doc_id", "term").agg(F.sum("n").cast("int").alias("n"))
+def postings(counted: DataFrame) -> DataFrame:
+    """(doc_id, term, range, n) of (doc_id, word, n). Texts repeat their words, and each other's: each word is stemmed once."""
+    # words are few beside the rows that have them: rows that meet a table of their part's words need no sort
+    stems = with_stem(counted.select("word").distinct()).hint("shuffle_hash")
+    # dealt as blocks are, so that one shuffle serves the sums and the blocks
+    rows = counted.join(stems, "word").select("doc_id", "term", F.shiftright("doc_id", RANGE_BITS).alias("range"), "n").repartition("term", "range")
+    return rows.groupBy("term", "range", "doc_id").agg(F.sum("n").cast("int").alias("n"))
 
 
 def blocked(found: DataFrame) -> DataFrame:
     """Postings gathered by (term, range of ids): at most 2 ** RANGE_BITS a block."""
     own = F.sort_array(F.collect_list(F.struct("doc_id", "n")))
-    out = found.groupBy("term", F.shiftright("doc_id", RANGE_BITS).alias("range")).agg(own.alias("p"), F.max(F.col("n") / (F.col("n") + 1.0)).alias("impact"))
+    out = found.groupBy("term", "range").agg(own.alias("p"), F.max(F.col("n") / (F.col("n") + 1.0)).alias("impact"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
     return out.select("term", "range", F.col("p.doc_id").alias("docs"), F.col("p.n").alias("counts"), "impact", bucket)
 
 
 def append(path: str, docs: DataFrame, batch: str, id: str = "doc_id", text: str = "text") -> None:
     """Index a batch of documents that the index does not have yet. Running a batch again replaces its own part only."""
-    made = blocked(postings(docs, id, text)).repartition("bucket").sortWithinPartitions("bucket", "term", "range")
+    spark, own = docs.sparkSession, new_folder(docs.sparkSession, "words")
+    # a document's words are counted where its text is; they are kept, being read twice
+    words(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")).write.parquet(own)
+    made = blocked(postings(spark.read.schema(WORDS).parquet(own))).repartition("bucket").sortWithinPartitions("bucket", "term", "range")
     made.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
+    removed(spark, own)
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +66,7 @@ def opened(spark: SparkSession, path: str) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, bucket): the distinct stems of each query (query_id, text)."""
-    terms = analysed(queries.select("query_id", "text")).select("query_id", "term").distinct()
+    terms = with_stem(words(queries.select("query_id", "text"))).select("query_id", "term").distinct()
     return terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
 
 
@@ -112,7 +121,11 @@ def matching(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, total): how many documents have a stem of each query."""
     # kept, as in search: a join would push its filter on the term through all steps of the stem, one copied into the next
     terms = query_terms(queries).cache()
-    hits = wanted(index, terms).select("term", "docs").join(terms.select("query_id", "term"), "term")
-    # a range is the unit: its documents are counted where they meet
-    ids = hits.select("query_id", F.explode("docs").alias("doc_id")).distinct()
-    return ids.groupBy("query_id").agg(F.count("*").alias("total"))
+    # a block's documents are bits of a few numbers, made once a block however many queries have its stem
+    masks = [f"_m{i}" for i in range(2**RANGE_BITS // 64)]
+    bits = "aggregate(docs, 0L, (m, d) -> m | if((shiftright(d, 6) & {}) = {}, shiftleft(1L, CAST(d & 63 AS INT)), 0L)) AS {}"
+    blocks = wanted(index, terms).selectExpr("term", "range", *(bits.format(len(masks) - 1, i, m) for i, m in enumerate(masks)))
+    own = blocks.join(terms.select("query_id", "term"), "term").groupBy("query_id", "range").agg(*(F.bit_or(m).alias(m) for m in masks))
+    # a null id has no range
+    found = F.when(F.col("range").isNull(), 1).otherwise(sum((F.bit_count(m) for m in masks), F.lit(0)))
+    return own.groupBy("query_id").agg(F.sum(found).alias("total"))

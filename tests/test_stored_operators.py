@@ -323,3 +323,20 @@ def test_benchmark_loader(spark, tmp_path):
     summary = spark.read.json(str(tmp_path / "out/summary")).collect()
     assert {(r.category, r.questions, r.ev_at_5, r.f1, r.run.strategy) for r in summary} == {(None, 2, 0.5, 0.75, "hybrid"), ("multi", 1, 1.0, 0.5, "hybrid"), ("old", 1, 0.0, 1.0, "hybrid")}
     assert spark.read.json(str(tmp_path / "out/questions")).count() == 2
+
+
+def test_full_text_stems_each_word_once(spark, tmp_path, monkeypatch):
+    stemmed, real = [], fulltext.with_stem
+    monkeypatch.setattr(fulltext, "with_stem", lambda rows, *more: stemmed.append(rows.count()) or real(rows, *more))
+    # words of one stem in one document, the largest and least ids of ranges, a null id, and ids that two batches share
+    given = [(i, "alpha alphas beta " * (1 + i % 3)) for i in (-257, -256, -1, 0, 63, 64, 127, 128, 255, 256, 2**40)] + [(None, "alpha"), (3, None)]
+    frame, path = spark.createDataFrame(given, "doc_id long, text string"), str(tmp_path / "index")
+    fulltext.append(path, frame, "a")
+    fulltext.append(path, frame.filter("doc_id < 64"), "b")
+    assert stemmed == [3, 3]
+    index = fulltext.opened(spark, path)
+    assert {(r.term, tuple(r.docs), tuple(r.counts)) for r in index.filter("batch = 'a' AND range = 0").collect()} == {
+        ("alpha", (0, 63, 64, 127, 128, 255), (2, 2, 4, 4, 6, 2)), ("beta", (0, 63, 64, 127, 128, 255), (1, 1, 2, 2, 3, 1))
+    }
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "none")], "query_id long, text string")
+    assert {(r.query_id, r.total) for r in fulltext.matching(index, asked).collect()} == {(1, 12), (2, 11)}
