@@ -40,6 +40,13 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def made(spark: SparkSession, path: str) -> str:
+    """``path``, a folder from now on, for a stream to read before anything is written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint below the shared folder."""
     context = df.sparkSession.sparkContext

@@ -340,3 +340,29 @@ def test_full_text_stems_each_word_once(spark, tmp_path, monkeypatch):
     }
     asked = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "none")], "query_id long, text string")
     assert {(r.query_id, r.total) for r in fulltext.matching(index, asked).collect()} == {(1, 12), (2, 11)}
+
+
+def test_live_edges_go_on_from_their_state_without_python(spark, tmp_path, monkeypatch):
+    plans, real = [], live.drain
+    monkeypatch.setattr(live, "drain", lambda stream, *more: plans.append(stream._jdf.queryExecution().analyzed().toString()) or real(stream, *more))
+    schema = "subject long, predicate string, object string, source string, confidence double"
+    calls = [
+        [(1, "did", "x", "s1", 0.5), (1, "did", "x", None, 0.0), (2, "did", "y", "s1", None)],
+        [(1, "did", "x", "s1", 0.5), (1, "did", "x", "s1", 0.4)],  # repeated and lower: nothing is raised
+        [(1, "did", "x", "s1", 0.8), (1, "did", "x", None, 0.7), (3, "did", "x", "s1", 1.0)],
+        [(2, "did", "y", "s2", 0.25), (1, "did", "x", "s1", 0.9), (1, "did", "x", "s1", 0.95)],
+    ]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.run_live_edges(stream, str(tmp_path / "c"), str(tmp_path / "e"))  # nothing has come yet
+    now = []
+    for rows in calls:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.run_live_edges(stream, str(tmp_path / "c"), str(tmp_path / "e"))
+        now.append({(r.subject, r.sources, r.confidence) for r in live.edges_now(spark.read.parquet(str(tmp_path / "e"))).collect()})
+    assert now[0] == now[1] == {(1, 1, 0.5), (2, 0, 0.0)}
+    assert now[2] == {(1, 2, round(1 - 0.2 * 0.72, 6)), (2, 0, 0.0), (3, 1, 1.0)}
+    assert now[3] == {(1, 2, 0.95), (2, 1, 0.25), (3, 1, 1.0)}
+    rows = spark.read.parquet(str(tmp_path / "e")).collect()
+    assert sorted((r.subject, r.batch) for r in rows if r.created) == [(1, 0), (2, 0), (3, min(r.batch for r in rows if r.subject == 3))]
+    assert not any("TransformWithState" in p or "Pandas" in p for p in plans)
