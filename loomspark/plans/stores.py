@@ -100,11 +100,11 @@ def causal_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.ranked(nodes, "trace", "event_id", "parent")
 
 
-def _in_batches(spark: SparkSession, rows: DataFrame, name: str, files: int, order: Column) -> DataFrame:
-    """``rows`` as a stream of ``files`` micro-batches, written first: batch i has the i-th part by ``order``."""
-    path, part = new_folder(spark, name), F.pmod(order, F.lit(files)).cast("int")
-    rows.withColumn("_part", part).repartition(files, "_part").write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _in_batches(spark: SparkSession, rows: DataFrame, name: str, batches: int, order: Column, files: int = 8) -> DataFrame:
+    """``rows`` as a stream of ``batches`` micro-batches, written first: a file has one remainder of ``order``, a batch ``files`` files."""
+    path, part = new_folder(spark, name), F.pmod(order, F.lit(batches * files)).cast("int")
+    rows.withColumn("_part", part).repartitionById(batches * files, "_part").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(f"WITH {OR_SQL} SELECT subject, predicate, object, sha256(concat_ws('|', subject, predicate, object)) AS edge_id, sources, round({NOISY}, 6) AS confidence FROM agg")
