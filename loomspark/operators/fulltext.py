@@ -16,8 +16,8 @@ from loomspark.functions.stems import with_stem
 from loomspark.functions.text import STOP_WORDS, tokens
 from loomspark.operators.lineage import new_folder, removed
 
-#: Document ids of a block share all but so many low bits; folders that stems are hashed to.
-RANGE_BITS, BUCKETS = 8, 16
+#: Document ids of a block share all but so many low bits; folders that stems are hashed to; files of a folder and batch at most.
+RANGE_BITS, BUCKETS, SLICES = 8, 16, 16
 #: Ranges of a query scored first.
 FIRST = 4
 #: Beyond so many words of all queries together, or ranges, blocks are found by a join and not by a pushed filter.
@@ -34,20 +34,20 @@ def words(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def postings(counted: DataFrame) -> DataFrame:
-    """(doc_id, term, range, n) of (doc_id, word, n). Texts repeat their words, and each other's: each word is stemmed once."""
+    """(doc_id, term, range, bucket, slice, n) of (doc_id, word, n). Texts repeat their words, and each other's: each word is stemmed once."""
     # words are few beside the rows that have them: rows that meet a table of their part's words need no sort
     stems = with_stem(counted.select("word").distinct()).hint("shuffle_hash")
-    # dealt as blocks are, so that one shuffle serves the sums and the blocks
-    rows = counted.join(stems, "word").select("doc_id", "term", F.shiftright("doc_id", RANGE_BITS).alias("range"), "n").repartition("term", "range")
-    return rows.groupBy("term", "range", "doc_id").agg(F.sum("n").cast("int").alias("n"))
+    place = {"range": F.shiftright("doc_id", RANGE_BITS), "bucket": F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")}
+    rows = counted.join(stems, "word").drop("word").withColumns(place).withColumn("slice", F.pmod(F.xxhash64("range"), F.lit(SLICES)).cast("int"))
+    # one shuffle serves the sums, the blocks and their folders
+    return rows.repartition("bucket", "slice").groupBy("bucket", "slice", "term", "range", "doc_id").agg(F.sum("n").cast("int").alias("n"))
 
 
 def blocked(found: DataFrame) -> DataFrame:
     """Postings gathered by (term, range of ids): at most 2 ** RANGE_BITS a block."""
     own = F.sort_array(F.collect_list(F.struct("doc_id", "n")))
-    out = found.groupBy("term", "range").agg(own.alias("p"), F.max(F.col("n") / (F.col("n") + 1.0)).alias("impact"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    return out.select("term", "range", F.col("p.doc_id").alias("docs"), F.col("p.n").alias("counts"), "impact", bucket)
+    out = found.groupBy("bucket", "slice", "term", "range").agg(own.alias("p"), F.max(F.col("n") / (F.col("n") + 1.0)).alias("impact"))
+    return out.select("term", "range", F.col("p.doc_id").alias("docs"), F.col("p.n").alias("counts"), "impact", "bucket")
 
 
 def append(path: str, docs: DataFrame, batch: str, id: str = "doc_id", text: str = "text") -> None:
@@ -55,9 +55,11 @@ def append(path: str, docs: DataFrame, batch: str, id: str = "doc_id", text: str
     spark, own = docs.sparkSession, new_folder(docs.sparkSession, "words")
     # a document's words are counted where its text is; they are kept, being read twice
     words(docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")).write.parquet(own)
-    made = blocked(postings(spark.read.schema(WORDS).parquet(own))).repartition("bucket").sortWithinPartitions("bucket", "term", "range")
+    made = blocked(postings(spark.read.schema(WORDS).parquet(own))).sortWithinPartitions("bucket", "term", "range")
     made.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
     removed(spark, own)
+    # the driver makes little garbage: without this the shuffles of all batches stay on disk together
+    spark._jvm.System.gc()
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:
